@@ -96,7 +96,7 @@ def matches(columns: Iterable[str], term: str) -> Column:
 
     def one(c: str) -> Column:
         if wildcard:
-            return fold(c).like(F.concat(F.lit("%"), fold(F.lit(term)), F.lit("%")))
+            return F.like(fold(c), F.concat(F.lit("%"), fold(F.lit(term)), F.lit("%")))
         return F.contains(F.collate(F.col(c), "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
 
     return reduce(lambda a, b: a | b, [F.coalesce(one(c), F.lit(False)) for c in columns])

@@ -64,12 +64,14 @@ def running(
     outputs: dict[str, Running],
     *,
     hot_rows: int = HOT_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add running columns per key in ascending ``order``.
 
-    ``order[0]`` is a number, date or timestamp; the last column breaks ties.
+    ``order[0]`` is a number, date or timestamp; the columns after it break ties.
+    ``sizes`` is a :func:`size_probe` of the same keys, where a cheaper input has them.
     """
-    total, largest = size_probe(df, keys)
+    total, largest = sizes or size_probe(df, keys)
     threshold = max(hot_rows, total // HOT_SHARE)
     if largest <= threshold:
         return _windowed(df, keys, order, outputs)
@@ -102,7 +104,7 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame]:
     """``df`` with a ``_slice`` column (0 for ordinary keys), and the hot keys alone."""
-    tie = order[-1] if len(order) > 1 and df.schema[order[-1]].dataType.typeName() in ("long", "integer") else None
+    tie = order[1] if len(order) > 1 and df.schema[order[1]].dataType.typeName() in ("long", "integer") else None
     hot = key_sizes(df, keys).filter(F.col("_n") > threshold).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
     at_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     marks = [i / SLICES for i in range(1, SLICES)]
