@@ -68,7 +68,7 @@ def running(
 ) -> DataFrame:
     """Add running columns per key in ascending ``order``.
 
-    ``order[0]`` is a number, date or timestamp; the columns after it break ties.
+    ``order[0]`` is a number, date, timestamp or text; the columns after it break ties.
     ``sizes`` is a :func:`size_probe` of the same keys, where a cheaper input has them.
     """
     total, largest = sizes or size_probe(df, keys)
@@ -95,6 +95,9 @@ def _number(df: DataFrame, column: str) -> Column:
         return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
     if kind == "date":
         return F.unix_date(column).cast("double")
+    if kind == "string":  # the first six bytes, in byte order
+        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     return F.col(column).cast("double")
 
 
@@ -104,7 +107,8 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame]:
     """``df`` with a ``_slice`` column (0 for ordinary keys), and the hot keys alone."""
-    tie = order[1] if len(order) > 1 and df.schema[order[1]].dataType.typeName() in ("long", "integer") else None
+    kinds = [df.schema[c].dataType.typeName() for c in order]
+    tie = order[1] if len(order) > 1 and kinds[0] != "string" and kinds[1] in ("long", "integer") else None
     hot = key_sizes(df, keys).filter(F.col("_n") > threshold).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
     at_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     marks = [i / SLICES for i in range(1, SLICES)]

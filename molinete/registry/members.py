@@ -295,9 +295,7 @@ def _(r: Roles):
     return attendance.entry_cooldown(r.client_entries.select("id", "client_id", "entered_at"))
 
 
-@query(
-    "register_entries",
-    f"""WITH RECURSIVE able AS (SELECT e.id, e.client_id, e.entered_at, m.id AS membership_id FROM client_entries e
+REGISTER_SQL = f"""WITH RECURSIVE able AS (SELECT e.id, e.client_id, e.entered_at, m.id AS membership_id FROM client_entries e
         JOIN clients c ON c.id = e.client_id JOIN memberships m ON m.client_id = e.client_id AND m.status = 'active'
         AND m.start_date <= CAST(e.entered_at AS DATE) AND m.end_date >= CAST(e.entered_at AS DATE)
         QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY m.end_date DESC, m.id DESC) = 1),
@@ -308,8 +306,10 @@ def _(r: Roles):
     SELECT e.id, e.client_id, e.entered_at, a.membership_id, coalesce(d.ok, false) AS accepted,
         CASE WHEN d.ok THEN NULL WHEN d.id IS NULL THEN 'no_active_membership' ELSE 'cooldown' END AS reason,
         CASE WHEN NOT d.ok THEN l.at + INTERVAL 30 MINUTE END AS next_allowed_at
-    FROM client_entries e LEFT JOIN able a ON a.id = e.id LEFT JOIN done d ON d.id = e.id LEFT JOIN last l ON l.id = e.id""",
-)
+    FROM client_entries e LEFT JOIN able a ON a.id = e.id LEFT JOIN done d ON d.id = e.id LEFT JOIN last l ON l.id = e.id"""
+
+
+@query("register_entries", REGISTER_SQL)
 def _(r: Roles):
     return M.register_entries(r.client_entries.select("id", "client_id", "entered_at"), r.clients, r.memberships)
 
@@ -388,29 +388,29 @@ def _enrolled(r: Roles):
 
 _JUDGED = f"""pairs AS (SELECT * FROM plan_instructors WHERE instructor_id < 4 AND plan_id % 3 = instructor_id % 3),
     per_plan AS (SELECT plan_id, count(*) AS n, min(instructor_id) AS sole FROM pairs GROUP BY plan_id),
-    req AS (SELECT o_orderkey AS id, o_orderdate AS at, o_custkey AS client_id, o_orderkey % 200 AS plan_id,
+    req AS (SELECT o_orderkey AS id, o_orderdate AS asked_at, o_custkey AS client_id, o_orderkey % 200 AS plan_id,
             CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 10 END AS asked,
             CASE WHEN o_orderkey % 23 <> 0 THEN {D} + CAST(o_orderkey % 45 - 9 AS INTEGER) END AS start,
             substr(o_orderpriority, 1, 1) AS k, CAST(greatest(0, p.price - o_orderkey % 3 * 10) AS DECIMAL(12,2)) AS due,
             p.active AS plan_active, p.duration_days AS dur, p.name AS plan_name FROM orders JOIN plans p ON p.id = o_orderkey % 200),
     checked AS (SELECT r.*, start + dur AS fin, dur <= 3 AS is_class, coalesce(n, 0) AS n, sole,
             CAST(round(due / 2.0, 2) AS DECIMAL(12,2)) AS half,
-            CASE WHEN start IS NULL THEN 'invalid_start_date' WHEN NOT plan_active THEN 'plan_not_found' END AS first,
+            CASE WHEN start IS NULL THEN 'invalid_start_date' WHEN NOT plan_active THEN 'plan_not_found' END AS early,
             CASE WHEN k = '5' THEN 'payment_missing' WHEN k = '4' AND r.id % 19 = 0 THEN 'payments_do_not_sum'
                 WHEN coalesce(n, 0) > 1 AND asked IS NULL THEN 'instructor_required'
                 WHEN coalesce(n, 0) > 0 AND asked IS NOT NULL AND (n > 1 OR asked <> 0)
                     AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.plan_id = r.plan_id AND q.instructor_id = asked)
-                    THEN 'instructor_not_in_plan' END AS after
+                    THEN 'instructor_not_in_plan' END AS late
         FROM req r LEFT JOIN per_plan USING (plan_id)),
-    numbered AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY at, id) AS i FROM checked),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY asked_at, id) AS i FROM checked),
     start_state AS (SELECT c.client_id, max(m.end_date) AS s FROM (SELECT DISTINCT client_id FROM checked) c
         LEFT JOIN memberships m ON m.client_id = c.client_id AND {_M} GROUP BY c.client_id),
     walk AS (SELECT client_id, CAST(0 AS BIGINT) AS i, s, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason FROM start_state
         UNION ALL SELECT w.client_id, n.i,
-            CASE WHEN n.first IS NULL AND n.after IS NULL AND (n.is_class OR w.s IS NULL OR n.start = w.s)
+            CASE WHEN n.early IS NULL AND n.late IS NULL AND (n.is_class OR w.s IS NULL OR n.start = w.s)
                 AND n.start <= {D} AND n.fin >= {D} THEN greatest(w.s, n.fin) ELSE w.s END,
-            n.id, coalesce(n.first, CASE WHEN NOT n.is_class AND w.s IS NOT NULL AND n.start <> w.s
-                THEN 'membership_in_force' END, n.after)
+            n.id, coalesce(n.early, CASE WHEN NOT n.is_class AND w.s IS NOT NULL AND n.start <> w.s
+                THEN 'membership_in_force' END, n.late)
         FROM walk w JOIN numbered n ON n.client_id = w.client_id AND n.i = w.i + 1)"""
 
 
@@ -429,7 +429,7 @@ def _(r: Roles):
         c.start AS start_date, c.fin AS end_date, 'active' AS status,
         CASE c.k WHEN '1' THEN 'cash' WHEN '2' THEN 'transfer' WHEN '3' THEN 'current_account' ELSE 'combined' END AS payment_method,
         CASE WHEN c.k IN ('3', '4') THEN 'pending' ELSE 'paid' END AS payment_status,
-        CASE WHEN c.k IN ('1', '2') THEN c.at END AS paid_at
+        CASE WHEN c.k IN ('1', '2') THEN c.asked_at END AS paid_at
     FROM walk w JOIN checked c ON c.id = w.id WHERE w.reason IS NULL""",
 )
 def _(r: Roles):
@@ -469,7 +469,7 @@ def _(r: Roles):
     opening AS (SELECT client_id, balance FROM current_account
         QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY created_at DESC, id DESC) = 1)
     SELECT l.id AS membership_id, l.line_no, l.client_id, l.amount, 'Membresía - ' || l.plan_name AS description,
-        CAST(coalesce(o.balance, 0) + sum(l.amount) OVER (PARTITION BY l.client_id ORDER BY l.at, l.id, l.line_no
+        CAST(coalesce(o.balance, 0) + sum(l.amount) OVER (PARTITION BY l.client_id ORDER BY l.asked_at, l.id, l.line_no
             ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance
     FROM lines l LEFT JOIN opening o ON o.client_id = l.client_id WHERE l.method = 'current_account'""",
 )
