@@ -122,24 +122,75 @@ def _posted(r: Roles):
     return S.post_sales(sale_requests(r), r.products, r.clients, r.cash_sessions, r.current_account)
 
 
-@query("post_sales_rejected")
+# One recursive step per sale in request order; ``walk`` keeps one row per key: (0, 0) the sale just decided,
+# (1, product) what is left of it, (2, sale) whether it was accepted.
+_WALK = """asked AS (SELECT q.request_id, q.product_id, q.quantity, p.id IS NULL AS unknown, p.name, p.code, p.unit, p.sale_price,
+        CAST(round(p.sale_price * q.quantity, 2) AS DECIMAL(12,2)) AS line_total
+        FROM sale_request_lines q LEFT JOIN products p ON p.id = q.product_id AND p.active WHERE q.product_id <> 0),
+    summed AS (SELECT request_id, bool_or(unknown) AS unknown, sum(line_total) AS subtotal FROM asked GROUP BY request_id),
+    req AS (SELECT o.o_orderkey AS request_id, o.o_orderdate AS requested_at, substr(o_orderpriority, 1, 1) AS method_no,
+            CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS client_id, s.subtotal,
+            CAST(greatest(0, o_orderkey % 5 - 1) AS DECIMAL(12,2)) AS off, CASE WHEN s.request_id IS NULL THEN 'no_items'
+                WHEN s.unknown THEN 'product_not_found' WHEN substr(o_orderpriority, 1, 1) = '5' THEN 'invalid_payment_method'
+                WHEN substr(o_orderpriority, 1, 1) = '4' AND o_orderkey % 13 = 0 THEN 'client_required'
+                WHEN substr(o_orderpriority, 1, 1) = '4' AND o_custkey % 10 = 0 THEN 'client_not_found' END AS early
+        FROM orders o LEFT JOIN summed s ON s.request_id = o.o_orderkey),
+    ranked AS (SELECT request_id, row_number() OVER (ORDER BY requested_at, request_id) AS n FROM req WHERE early IS NULL),
+    todo AS MATERIALIZED (SELECT k.n, a.product_id AS p, a.quantity AS q FROM ranked k JOIN asked a ON a.request_id = k.request_id),
+    walk(k, id, v) USING KEY (k, id) AS (
+        SELECT 0 AS k, CAST(0 AS BIGINT) AS id, CAST(0 AS DECIMAL(18,3)) AS v
+        UNION ALL SELECT 1, id, CAST(stock AS DECIMAL(18,3)) FROM products WHERE active
+        UNION
+        SELECT kind, CASE kind WHEN 0 THEN 0 WHEN 1 THEN p ELSE n END,
+            CAST(CASE kind WHEN 0 THEN n WHEN 1 THEN level - q ELSE CAST(fits AS INTEGER) END AS DECIMAL(18,3))
+        FROM (SELECT t.n, t.p, t.q, r.v AS level, bool_and(r.v >= t.q) OVER () AS fits
+            FROM walk w JOIN todo t ON w.k = 0 AND t.n = CAST(w.v AS BIGINT) + 1 JOIN recurring.walk r ON r.k = 1 AND r.id = t.p) s,
+            (VALUES (0), (1), (2)) kinds(kind) WHERE kind <> 1 OR fits),
+    verdict AS (SELECT q.*, coalesce(q.early, CASE WHEN w.v = 0 THEN 'insufficient_stock' END) AS reason
+        FROM req q LEFT JOIN ranked k ON k.request_id = q.request_id LEFT JOIN walk w ON w.k = 2 AND w.id = k.n)"""
+
+
+@query(
+    "post_sales_rejected", f"WITH RECURSIVE {_WALK} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"
+)
 def _(r: Roles):
     return _posted(r)["rejected"]
 
 
-@query("post_sales_sales")
+@query(
+    "post_sales_sales",
+    f"""WITH RECURSIVE {_WALK} SELECT request_id AS id, request_id % 25 AS user_id, client_id,
+        (SELECT id FROM cash_sessions WHERE status = 'open') AS cash_session_id,
+        CASE method_no WHEN '1' THEN 'cash' WHEN '2' THEN 'transfer' WHEN '3' THEN 'credit_card' ELSE 'current_account' END AS payment_method,
+        CAST(subtotal AS DECIMAL(38,2)) AS subtotal, off AS discount, CAST(subtotal - off AS DECIMAL(38,2)) AS total,
+        'completed' AS status, CASE WHEN request_id % 2 <> 0 THEN 'nota' END AS notes, requested_at AS created_at
+    FROM verdict WHERE reason IS NULL""",
+)
 def _(r: Roles):
     return _posted(r)["sales"]
 
 
-@query("post_sales_products")
+@query(
+    "post_sales_products",
+    f"""WITH RECURSIVE {_WALK} SELECT p.id, CAST(coalesce(w.v, p.stock) AS DECIMAL(18,3)) AS stock FROM products p
+    LEFT JOIN walk w ON w.k = 1 AND w.id = p.id""",
+)
 def _(r: Roles):
     return _posted(r)["products"].select("id", "stock")
 
 
-@query("post_sales_ledger")
+@query(
+    "post_sales_ledger",
+    f"""WITH RECURSIVE {_WALK}, opening AS (SELECT client_id, balance FROM current_account
+        QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY created_at DESC, id DESC) = 1)
+    SELECT q.request_id AS source_id, q.client_id, CAST(q.subtotal - q.off AS DECIMAL(12,2)) AS amount,
+        'Venta #' || q.request_id AS description, CAST(coalesce(o.balance, 0) + sum(q.subtotal - q.off) OVER (PARTITION BY q.client_id
+        ORDER BY q.requested_at, q.request_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance
+    FROM verdict q LEFT JOIN opening o ON o.client_id = q.client_id
+    WHERE q.reason IS NULL AND q.method_no = '4' AND q.subtotal - q.off > 0""",
+)
 def _(r: Roles):
-    return _posted(r)["current_account"]
+    return _posted(r)["current_account"].select("source_id", "client_id", "amount", "description", "balance")
 
 
 @query(
