@@ -76,7 +76,7 @@ def _by_line(bounded: DataFrame) -> DataFrame:
     head = (
         bounded.filter(F.col("_ahead") < HEAD)
         .groupBy("item_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*ORDER, "delta", "guarded", "base"))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "delta", "guarded", "base"))).alias("lines"))
     )
     start = F.struct(F.lit(0).cast(LEVEL).alias("extra"), F.array().cast("array<boolean>").alias("taken"))
 
@@ -101,10 +101,14 @@ def admit(
     ``lines``: ``request_id, requested_at, item_id, delta, guarded``, one per request and item
     (``single_line``: one per request). ``stock``: ``item_id, stock``, every item present.
     """
-    sizes = size_probe(lines, ["item_id"])
-    work = lines.join(stock.select("item_id", F.col("stock").alias("base")), "item_id").select(
-        *[c if c not in ("delta", "base") else _level(F.col(c)).alias(c) for c in _LINE], F.lit("open").alias("state")
+    stocked = lines.join(stock.select("item_id", F.col("stock").alias("base")), "item_id")
+    work = durable(
+        stocked.select(
+            *[c if c not in ("delta", "base") else _level(F.col(c)).alias(c) for c in _LINE],
+            F.lit("open").alias("state"),
+        )
     )
+    sizes = size_probe(work, ["item_id"])
     decided = []
     while True:
         bounded = _bounded(work, hot_rows, sizes)

@@ -102,7 +102,7 @@ def cooldown_accepted(
             "links"
         ),
     )
-    ordered = links.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("day", "links"))).alias("days"))
+    ordered = links.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("day", "links"))).alias("days"))
     if last_entries is None:
         ordered = ordered.withColumn("before", F.lit(None).cast("bigint"))
     else:

@@ -52,9 +52,10 @@ def nest(
     else:
         ordered = row_numbers(detail, [key], order, "_no")
         parts = ordered.withColumn(part, F.floor((F.col("_no") - 1) / items).cast("bigint"))
-    grouped = parts.groupBy(F.col(key).alias("_doc_id"), part).agg(
+    # Gathering does not shrink the data, so it is moved once and gathered where it lands.
+    grouped = parts.repartition(key, part).groupBy(F.col(key).alias("_doc_id"), part).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), entry.alias("e")))),
+            F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), entry.alias("e")))),
             lambda x: x["e"],
         ).alias(name)
     )

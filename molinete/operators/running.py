@@ -51,9 +51,13 @@ def key_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def size_probe(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows, rows of the largest key): one column-pruned pass, two numbers to the driver."""
-    row = key_sizes(df, keys).agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
+def size_probe(df: DataFrame, keys: Sequence[str], weight: Column | None = None) -> tuple[int, int]:
+    """(rows, rows of the largest key): one column-pruned pass, two numbers to the driver.
+
+    ``weight`` counts a row as that many, where each gives rise to several later.
+    """
+    sizes = key_sizes(df, keys) if weight is None else df.groupBy(*keys).agg(F.sum(weight).alias("_n"))
+    row = sizes.agg(F.sum("_n").alias("total"), F.max("_n").alias("largest")).first()
     return int(row["total"] or 0), int(row["largest"] or 0)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from molinete.functions.predicates import debt_filter
 from molinete.functions.scalars import blank_to_null, signed_amount
 from molinete.operators.rows import enrich, latest_per_key
-from molinete.operators.running import HOT_ROWS, Running, running
+from molinete.operators.running import HOT_ROWS, Running, running, size_probe
 from molinete.plans.cash import open_session
 
 BALANCE = "decimal(18,2)"
@@ -53,10 +53,12 @@ def debtors(clients: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def post_to_ledger(rows: DataFrame, ledger: DataFrame | None, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+def post_to_ledger(
+    rows: DataFrame, ledger: DataFrame | None, *, hot_rows: int = HOT_ROWS, sizes: tuple[int, int] | None = None
+) -> DataFrame:
     """Give new rows their balance: what the client owed before, plus the running sum of the new rows.
 
-    ``rows`` has ``client_id, type, amount, created_at, source_id, line_no``.
+    ``rows`` has ``client_id, type, amount, created_at, source_id, line_no``; ``sizes`` bounds its rows per client.
     """
     if ledger is None:
         opened = rows.withColumn("opening_balance", F.lit(0).cast(BALANCE))
@@ -69,6 +71,7 @@ def post_to_ledger(rows: DataFrame, ledger: DataFrame | None, *, hot_rows: int =
         ["created_at", "source_id", "line_no", "amount"],
         {"_moved": Running("sum", signed_amount())},
         hot_rows=hot_rows,
+        sizes=sizes,
     )
     balance = (F.coalesce("opening_balance", F.lit(0)) + F.col("_moved")).cast(BALANCE)
     return out.withColumn("balance", balance).drop("_moved", "opening_balance")
@@ -108,7 +111,12 @@ def post_account_payments(requests: DataFrame, ledger: DataFrame, sessions: Data
         "created_by",
         F.col("requested_at").alias("created_at"),
     )
-    return {"current_account": post_to_ledger(credits, ledger), "cash_movements": movements, "rejected": rejected}
+    sizes = size_probe(requests, ["client_id"])
+    return {
+        "current_account": post_to_ledger(credits, ledger, sizes=sizes),
+        "cash_movements": movements,
+        "rejected": rejected,
+    }
 
 
 def ledger_audit(ledger: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:

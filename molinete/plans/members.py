@@ -290,7 +290,8 @@ def register_entries(
     )
     both = spaced.unionByName(unable)
     earlier = Running("max", F.when(F.col("accepted"), F.col("entered_at")), inclusive=False)
-    timed = running(both, ["client_id"], ["entered_at", "id"], {"_last": earlier}, hot_rows=hot_rows)
+    sizes = size_probe(swipes, ["client_id"])
+    timed = running(both, ["client_id"], ["entered_at", "id"], {"_last": earlier}, hot_rows=hot_rows, sizes=sizes)
     if last_entries is not None:
         before = last_entries.groupBy("client_id").agg(F.max("entered_at").alias("_before"))
         timed = timed.join(before, "client_id", "left").withColumn("_last", F.greatest("_last", "_before")).drop("_before")
@@ -324,6 +325,11 @@ def _requested_payments(amount_due: Column) -> Column:
     return F.when(F.size(usable) > 0, usable).when(F.col("payment_method").isin(*PAYMENT_METHODS), single)
 
 
+def payment_count(payments: str = "payments") -> Column:
+    """At most how many payment rows a request gives rise to."""
+    return F.greatest(F.coalesce(F.size(payments), F.lit(1)), F.lit(1))
+
+
 def _paid(payments: Column) -> Column:
     return F.aggregate(payments, F.lit(0).cast("decimal(18,2)"), lambda s, p: (s + p["amount"]).cast("decimal(18,2)"))
 
@@ -541,6 +547,7 @@ def enrol(
         "created_by",
         "created_at",
     )
+    sizes = size_probe(requests, ["client_id"], payment_count())
     entries = accepted.filter("plan_duration = 1").select(
         F.col("request_id").alias("membership_id"), "client_id", F.col("requested_at").alias("entered_at"), "created_by"
     )
@@ -548,7 +555,7 @@ def enrol(
         "memberships": made,
         "membership_payments": payments,
         "cash_movements": movements,
-        "current_account": post_to_ledger(debits, ledger, hot_rows=hot_rows),
+        "current_account": post_to_ledger(debits, ledger, hot_rows=hot_rows, sizes=sizes),
         "client_entries": entries,
         "rejected": judged.filter("reason IS NOT NULL").select("request_id", "reason"),
     }

@@ -11,7 +11,7 @@ from molinete.functions.predicates import enum_filter, in_period
 from molinete.functions.scalars import Money, at_least_zero, blank_to_null, line_subtotal, money, payment_label
 from molinete.operators.admission import admit
 from molinete.operators.rows import apply_updates, enrich, nest, paginate
-from molinete.operators.running import HOT_ROWS
+from molinete.operators.running import HOT_ROWS, size_probe
 from molinete.plans.cash import open_session
 from molinete.plans.ledger import post_to_ledger
 from molinete.schema import DRAWER_METHODS, HEADER_METHODS, PAYMENT_METHODS, SALE_STATUSES
@@ -249,6 +249,7 @@ def post_sales(
         F.col("user_id").alias("created_by"),
         F.col("requested_at").alias("created_at"),
     )
+    sizes = size_probe(requests, ["client_id"], F.greatest(F.coalesce(F.size("payments"), F.lit(1)), F.lit(1)))
     return {
         "sales": sales,
         "sale_items": items,
@@ -256,7 +257,7 @@ def post_sales(
         "stock_movements": stock_rows,
         "products": apply_stock(products, stock_rows),
         "cash_movements": movements,
-        "current_account": post_to_ledger(debits, ledger, hot_rows=hot_rows),
+        "current_account": post_to_ledger(debits, ledger, hot_rows=hot_rows, sizes=sizes),
         "rejected": judged.filter("reason IS NOT NULL").select("request_id", "reason"),
     }
 

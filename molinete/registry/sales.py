@@ -94,7 +94,7 @@ def sale_requests(r: Roles):
     key = F.col("o_orderkey")
     digit = F.substring("o_orderpriority", 1, 1)
     items = r.sale_request_lines.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("product_id", "quantity"))).alias("items")
+        F.sort_array(F.collect_list(F.struct("product_id", "quantity"))).alias("items")
     )
     no_split = F.array().cast("array<struct<payment_method:string,amount:decimal(12,2)>>")
     return (

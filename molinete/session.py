@@ -27,6 +27,7 @@ def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in {**SETTINGS, **extra}.items():
         builder = builder.config(name, value)
