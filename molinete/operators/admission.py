@@ -119,5 +119,7 @@ def admit(
         if judged.filter("state = 'open'").isEmpty():
             break
         work = judged.filter("state <> 'rejected'")
+        if sizes[1] > hot_rows:  # what is left may have no hot item any more
+            sizes = size_probe(work, ["item_id"])
     every = reduce(DataFrame.unionByName, decided)
     return every if single_line else every.distinct()

@@ -87,6 +87,11 @@ def cooldown_accepted(
     replayed once from the state it truly starts in.
     """
     cooldown = minutes * 60
+    if last_entries is not None:
+        # What comes too soon after an earlier entry is out, whatever else is accepted; the rest starts free.
+        known = last_entries.groupBy("client_id").agg((F.max("sec") + cooldown).alias("_free_at"))
+        free = F.col("_free_at").isNull() | (F.col("sec") >= F.col("_free_at"))
+        swipes = swipes.join(known, "client_id", "left").filter(free)
     days = (
         swipes.select("client_id", "sec", F.floor(F.col("sec") / DAY).alias("day"))
         .groupBy("client_id", "day")
@@ -103,12 +108,6 @@ def cooldown_accepted(
         ),
     )
     ordered = links.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("day", "links"))).alias("days"))
-    if last_entries is None:
-        ordered = ordered.withColumn("before", F.lit(None).cast("bigint"))
-    else:
-        known = last_entries.groupBy("client_id").agg(F.max("sec").alias("before"))
-        ordered = ordered.join(known, "client_id", "left")
-
     def step(state: Column, d: Column) -> Column:
         taken = F.filter(
             d["links"], lambda link: state["last"].isNull() | (link["first"] >= state["last"] + cooldown)
@@ -122,7 +121,8 @@ def cooldown_accepted(
         )
 
     start = F.struct(
-        F.col("before").alias("last"), F.array().cast("array<struct<day:bigint,before:bigint>>").alias("seen")
+        F.lit(None).cast("bigint").alias("last"),
+        F.array().cast("array<struct<day:bigint,before:bigint>>").alias("seen"),
     )
     befores = ordered.select(
         "client_id", F.inline(F.aggregate("days", start, step, lambda s: s["seen"]))

@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molinete.session import durable
+
 HOT_ROWS = 2_000_000  # a window group below this is one ordinary task
 HOT_SHARE = 10_000  # hot keys hold > 1/10,000 of the rows each, so there are fewer than 10,000
 SLICES = 256  # slices per hot key
@@ -116,7 +118,8 @@ def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: in
     hot = key_sizes(df, keys).filter(F.col("_n") > threshold).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
     at_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     marks = [i / SLICES for i in range(1, SLICES)]
-    bounds = (
+    # Written once: the rows and the totals must be cut at the very same marks, in a retried task too.
+    bounds = durable(
         df.join(F.broadcast(hot), at_key)
         .groupBy(*hot.columns)
         .agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,22 +42,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     A machine-local folder is only made up in local mode, where the driver and
     the executors are one process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="molinete-checkpoint-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="molinete-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there.
+    """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
-    Used between the rounds of an iterative job: the plan stays short and a lost
-    executor costs a re-read, not a replay of all earlier rounds.
+    Used between the rounds of an iterative job and where a result must not be
+    worked out twice: a lost executor costs a re-read, not a replay of all earlier
+    rounds. A written table also starts the next plan afresh, with its true size and
+    none of the constraints that ``checkpoint()`` carries along and multiplies.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
