@@ -130,7 +130,9 @@ def format_day_set(days: Column) -> Column:
 
 def half_up_ratio(total: Column, n: Column) -> Column:
     """``total / n`` with one decimal, half up, in exact integer arithmetic; 0 when either is 0."""
-    tenths = F.floor((F.lit(20) * total + n) / (F.lit(2) * n)).cast("decimal(18,0)")
+    safe = F.greatest(n, F.lit(1))
+    doubled = F.lit(2) * safe
+    tenths = ((F.lit(20) * total + safe - F.pmod(F.lit(20) * total + safe, doubled)) / doubled).cast("decimal(18,0)")
     ratio = (tenths / F.lit(10)).cast("decimal(18,1)")
     return F.when((total > 0) & (n > 0), ratio).otherwise(F.lit(0).cast("decimal(18,1)"))
 

@@ -150,14 +150,10 @@ def entry_cooldown(
     if last_entries is not None:
         known = last_entries.select("client_id", epoch_seconds(ts).alias("sec"))
     kept = cooldown_accepted(timed, minutes=minutes, last_entries=known)
-    winners = (
-        timed.join(kept, ["client_id", "sec"], "left_semi")
-        .groupBy("client_id", "sec")
-        .agg(F.min("id").alias("id"))
-        .withColumn("accepted", F.lit(True))
-    )
+    moment = ["client_id", "sec"]
+    winners = timed.groupBy(*moment).agg(F.min("id").alias("_winner")).join(kept, moment, "left_semi")
     return (
-        timed.join(winners, ["client_id", "sec", "id"], "left")
-        .withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-        .drop("sec")
+        timed.join(winners, moment, "left")
+        .withColumn("accepted", F.coalesce(F.col("id") == F.col("_winner"), F.lit(False)))
+        .drop("sec", "_winner")
     )

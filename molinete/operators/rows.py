@@ -48,23 +48,28 @@ def nest(
     entry = F.struct(*fields)
     _, largest = size_probe(detail, [key])
     if largest <= items:
-        parts = detail.withColumn(part, F.lit(0).cast("bigint"))
+        parts, keys = detail, [key]
     else:
         ordered = row_numbers(detail, [key], order, "_no")
-        parts = ordered.withColumn(part, F.floor((F.col("_no") - 1) / items).cast("bigint"))
-    # Gathering does not shrink the data, so it is moved once and gathered where it lands.
-    grouped = parts.repartition(key, part).groupBy(F.col(key).alias("_doc_id"), part).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), entry.alias("e")))),
-            lambda x: x["e"],
-        ).alias(name)
+        parts, keys = ordered.withColumn(part, F.floor((F.col("_no") - 1) / items).cast("bigint")), [key, part]
+    # Gathering does not shrink the data, so it is moved once and gathered where it lands;
+    # in the ordinary case that is also where the header is joined.
+    grouped = (
+        parts.repartition(*keys)
+        .groupBy(*keys)
+        .agg(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), entry.alias("e")))),
+                lambda x: x["e"],
+            ).alias(name)
+        )
+        .withColumnRenamed(key, "_doc_id")
     )
     empty = F.array().cast(grouped.schema[name].dataType)
-    return (
-        header.join(grouped, F.col("id") == F.col("_doc_id"), "left")
-        .drop("_doc_id")
-        .withColumn(part, F.coalesce(F.col(part), F.lit(0).cast("bigint")))
-        .withColumn(name, F.coalesce(F.col(name), empty))
+    first = F.lit(0).cast("bigint")
+    joined = header.join(grouped, F.col("id") == F.col("_doc_id"), "left").drop("_doc_id")
+    return joined.withColumns(
+        {part: F.coalesce(F.col(part), first) if part in keys else first, name: F.coalesce(F.col(name), empty)}
     )
 
 

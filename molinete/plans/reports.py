@@ -103,17 +103,17 @@ def membership_summary(
     """One row. The average divides by at most ``cap`` clients (the ranking's length); ``None`` is the true mean."""
     total = _period_memberships(memberships, date_from, date_to, plan_id, instructor_id).agg(rows_count().alias("n"))
     active = memberships.filter(is_active(as_of)).agg(rows_count().alias("n"))
-    period_entries = in_period(entries, "entered_at", date_from, date_to)
-    per_client = period_entries.groupBy("client_id").agg(rows_count().alias("n"))
-    listed = per_client.join(clients.select(F.col("id").alias("client_id")), "client_id", "left_semi").agg(
-        rows_count().alias("n")
+    per_client = in_period(entries, "entered_at", date_from, date_to).groupBy("client_id").agg(rows_count().alias("n"))
+    known = clients.select(F.col("id").alias("client_id"), F.lit(1).alias("_known"))
+    counted = per_client.join(known, "client_id", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_entries_in_period"), F.count("_known").alias("_listed")
     )
-    n = listed.scalar() if cap is None else F.least(listed.scalar(), F.lit(cap).cast("bigint"))
-    return per_client.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_entries_in_period")).select(
+    listed = F.col("_listed") if cap is None else F.least(F.col("_listed"), F.lit(cap).cast("bigint"))
+    return counted.select(
         total.scalar().alias("total_memberships_in_period"),
         active.scalar().alias("active_memberships_total"),
         "total_entries_in_period",
-        half_up_ratio(F.col("total_entries_in_period"), n).alias("avg_entries_per_client"),
+        half_up_ratio(F.col("total_entries_in_period"), listed).alias("avg_entries_per_client"),
     )
 
 

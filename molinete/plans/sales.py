@@ -178,7 +178,8 @@ def post_sales(
 
     ``requests``: ``request_id, requested_at, user_id, client_id, items array<struct<product_id, quantity>>,
     payment_method, payments array<struct<payment_method, amount>>, discount, notes``.
-    The request id is the sale's key; ``(request_id, line_no)`` is that of its children.
+    The request id is the sale's key; ``(request_id, line_no)`` is that of its children. A request with
+    several faults is rejected for the first of: items, products, payments, client, stock.
     """
     lines = price_lines(requests, products)
     judged = judge_sales(requests, lines, clients, products, hot_rows=hot_rows)

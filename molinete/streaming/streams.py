@@ -121,7 +121,10 @@ def gate_batches(swipes: DataFrame, clients: DataFrame, memberships: DataFrame,
     def judge(batch: DataFrame, epoch: int) -> None:
         last = None
         if epoch > 0:
-            earlier = spark.read.parquet(out).filter((F.col("epoch") < epoch) & F.col("accepted"))
+            # Only entries less than a cooldown before this batch (or after it) can hold a swipe back.
+            since = batch.agg(F.min("entered_at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(COOLDOWN_MINUTES))).scalar()
+            recent = (F.col("epoch") < epoch) & F.col("accepted") & (F.col("entered_at") > since)
+            earlier = spark.read.parquet(out).filter(recent)
             last = earlier.groupBy("client_id").agg(F.max("entered_at").alias("entered_at"))
         judged = register_entries(batch, clients, memberships, last)
         judged.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
