@@ -143,17 +143,20 @@ def entry_cooldown(
     ts: str = "entered_at",
     minutes: int = COOLDOWN_MINUTES,
     last_entries: DataFrame | None = None,
+    eligible: Column | None = None,
 ) -> DataFrame:
-    """``swipes`` with ``accepted``; of several in one second the lowest id can be accepted."""
-    timed = swipes.withColumn("sec", epoch_seconds(ts))
+    """``swipes`` with ``accepted``; of several in one second the lowest id can be accepted.
+
+    Swipes that are not ``eligible`` are never accepted and hold nothing back.
+    """
+    able = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    timed = swipes.withColumns({"sec": epoch_seconds(ts), "_able": able})
     known = None
     if last_entries is not None:
         known = last_entries.select("client_id", epoch_seconds(ts).alias("sec"))
-    kept = cooldown_accepted(timed, minutes=minutes, last_entries=known)
+    candidates = timed.filter("_able").select("client_id", "sec", "id")
+    kept = cooldown_accepted(candidates, minutes=minutes, last_entries=known)
     moment = ["client_id", "sec"]
-    winners = timed.groupBy(*moment).agg(F.min("id").alias("_winner")).join(kept, moment, "left_semi")
-    return (
-        timed.join(winners, moment, "left")
-        .withColumn("accepted", F.coalesce(F.col("id") == F.col("_winner"), F.lit(False)))
-        .drop("sec", "_winner")
-    )
+    winners = candidates.groupBy(*moment).agg(F.min("id").alias("_winner")).join(kept, moment, "left_semi")
+    won = F.col("_able") & F.coalesce(F.col("id") == F.col("_winner"), F.lit(False))
+    return timed.join(winners, moment, "left").withColumn("accepted", won).drop("sec", "_able", "_winner")

@@ -282,13 +282,8 @@ def register_entries(
     """
     known = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_known"))
     judged = attribute_entries(swipes, memberships).join(known, "client_id", "left")
-    has_plan = F.col("_known") & F.col("membership_id").isNotNull()
-    able = judged.filter(has_plan)
-    spaced = entry_cooldown(able, minutes=minutes, last_entries=last_entries).withColumn("_cooled", F.lit(True))
-    unable = judged.filter(~F.coalesce(has_plan, F.lit(False))).withColumns(
-        {"accepted": F.lit(False), "_cooled": F.lit(False)}
-    )
-    both = spaced.unionByName(unable)
+    judged = judged.withColumn("_cooled", F.coalesce(F.col("_known") & F.col("membership_id").isNotNull(), F.lit(False)))
+    both = entry_cooldown(judged, minutes=minutes, last_entries=last_entries, eligible=F.col("_cooled"))
     earlier = Running("max", F.when(F.col("accepted"), F.col("entered_at")), inclusive=False)
     sizes = size_probe(swipes, ["client_id"])
     timed = running(both, ["client_id"], ["entered_at", "id"], {"_last": earlier}, hot_rows=hot_rows, sizes=sizes)
