@@ -35,9 +35,17 @@ def end_date(start: str | Column, duration: str | Column) -> Column:
 
 
 def epoch_seconds(ts: str | Column) -> Column:
-    """Whole seconds since the epoch of a time-zone-free timestamp."""
+    """Whole wall-clock seconds since 1970 of a time-zone-free timestamp, whatever the session's zone."""
     col = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_seconds(col.cast("timestamp"))
+    clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+    return F.unix_date(F.to_date(col)).cast("bigint") * 86_400 + clock
+
+
+def epoch_micros(ts: str | Column) -> Column:
+    """The same in microseconds, fractions kept."""
+    col = F.col(ts) if isinstance(ts, str) else ts
+    fraction = (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint") % 1_000_000
+    return epoch_seconds(col) * 1_000_000 + fraction
 
 
 def blank_to_null(c: str | Column) -> Column:

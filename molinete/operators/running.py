@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molinete.functions.scalars import epoch_micros
 from molinete.session import durable
 
 HOT_ROWS = 2_000_000  # a window group below this is one ordinary task
@@ -97,8 +98,10 @@ def _windowed(
 
 def _number(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(column).cast("double")
+    if kind == "timestamp_ntz":  # wall clock: a zone's clock change must not reorder it
+        return epoch_micros(column).cast("double")
     if kind == "date":
         return F.unix_date(column).cast("double")
     if kind == "string":  # the first six bytes, in byte order

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molinete.functions.scalars import expense, income
+from molinete.functions.scalars import epoch_micros, expense, income
 from molinete.operators.rows import enrich, nest
 from molinete.schema import INCOME_TYPES
 
@@ -74,10 +74,8 @@ MOVEMENT_FIELDS = (
 
 def session_documents(sessions: DataFrame, movements: DataFrame, users: DataFrame, *, items: int = 10_000) -> DataFrame:
     """Sessions with totals and their movements, newest first, as arrays of at most ``items``."""
-    newest_first = session_movements(movements, users).withColumn(
-        "_age", -F.unix_micros(F.col("created_at").cast("timestamp"))
-    )
-    ordered = newest_first.withColumn("_back", -F.col("id"))
+    newest_first = {"_age": -epoch_micros("created_at"), "_back": -F.col("id")}
+    ordered = session_movements(movements, users).withColumns(newest_first)
     header = _with_totals(_with_user(sessions, users), movements)
     return nest(header, ordered, "cash_session_id", ["_age", "_back"], MOVEMENT_FIELDS, "movements", items=items)
 

@@ -56,6 +56,19 @@ def test_money_and_numbers(spark):
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == (D("1.01"), 0, 0, "A1", None, D("4.16"))
 
 
+def test_wall_clock_ignores_the_session_zone(spark):
+    rows = [dt.datetime(2024, 3, 10, 1, 59, 59), dt.datetime(2024, 3, 10, 2, 30, 0, 250000), dt.datetime(1969, 12, 31, 23, 59, 59, 999999)]
+    df = spark.createDataFrame([(t,) for t in rows], "t timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = [tuple(r) for r in df.select(S.epoch_seconds("t"), S.epoch_micros("t")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    day = dt.timedelta(microseconds=1)
+    want = [(t - dt.datetime(1970, 1, 1)) // day for t in rows]
+    assert [g[1] for g in got] == want and [g[0] for g in got] == [w // 1_000_000 for w in want]
+
+
 def test_text_search(spark):
     df = spark.createDataFrame([(1, "María González", "x"), (2, "MARIA", None), (3, "Juan", "50%_a"), (4, None, None)], "id int, a string, b string")
     ids = lambda t: {r.id for r in P.text_search(df, ["a", "b"], t).collect()}
