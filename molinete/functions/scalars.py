@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -148,7 +147,3 @@ def half_up_ratio(total: Column, n: Column) -> Column:
 def weekday_rank(c: str | Column, names: tuple[str, ...]) -> Column:
     """Position in ``names`` from 1; 0 (sorts first) for anything else."""
     return F.find_in_set(c, F.lit(",".join(names)))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -37,14 +37,15 @@ def _bounded(work: DataFrame, hot_rows: int, sizes: tuple[int, int]) -> DataFram
     ``work`` holds undecided lines and those accepted in the round before.
     """
     zero = F.lit(0).cast(LEVEL)
-    open_ = F.col("state") == "open"
+    open_ = (F.col("state") == "open") & ~F.col("dry")
     sums = {
-        "_taken": F.when(F.col("state") == "accepted", F.col("delta")),
+        "_taken": F.when((F.col("state") == "accepted") & ~F.col("dry"), F.col("delta")),
         "_down": F.when(open_, F.least("delta", zero)),
         "_up": F.when(open_, F.greatest("delta", zero)),
     }
     outputs = {n: Running("sum", F.coalesce(v, zero), inclusive=False) for n, v in sums.items()}
-    outputs["_ahead"] = Running("sum", F.when(open_, F.lit(1)).otherwise(F.lit(0)), inclusive=False)
+    ahead = F.when(F.col("state") == "open", F.lit(1)).otherwise(F.lit(0))
+    outputs["_ahead"] = Running("sum", ahead, inclusive=False)
     seen = running(work, ["item_id"], ORDER, outputs, hot_rows=hot_rows, sizes=sizes)
     return (
         seen.filter("state = 'open'")
@@ -58,7 +59,7 @@ def _bounded(work: DataFrame, hot_rows: int, sizes: tuple[int, int]) -> DataFram
     )
 
 
-_LINE = ["request_id", "requested_at", "item_id", "delta", "guarded", "base"]
+_LINE = ["request_id", "requested_at", "item_id", "delta", "guarded", "dry", "base"]
 
 
 def _by_request(bounded: DataFrame) -> DataFrame:
@@ -76,13 +77,13 @@ def _by_line(bounded: DataFrame) -> DataFrame:
     head = (
         bounded.filter(F.col("_ahead") < HEAD)
         .groupBy("item_id")
-        .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "delta", "guarded", "base"))).alias("lines"))
+        .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "delta", "guarded", "dry", "base"))).alias("lines"))
     )
     start = F.struct(F.lit(0).cast(LEVEL).alias("extra"), F.array().cast("array<boolean>").alias("taken"))
 
     def step(s: Column, x: Column) -> Column:
         take = ~x["guarded"] | (x["base"] + s["extra"] + x["delta"] >= 0)
-        extra = _level(s["extra"] + F.when(take, x["delta"]).otherwise(F.lit(0)))
+        extra = _level(s["extra"] + F.when(take & ~x["dry"], x["delta"]).otherwise(F.lit(0)))
         return F.struct(extra.alias("extra"), F.concat(s["taken"], F.array(take)).alias("taken"))
 
     decided = (
@@ -99,8 +100,11 @@ def admit(
     """``request_id, accepted`` for every request.
 
     ``lines``: ``request_id, requested_at, item_id, delta, guarded``, one per request and item
-    (``single_line``: one per request). ``stock``: ``item_id, stock``, every item present.
+    (``single_line``: one per request). ``stock``: ``item_id, stock``, every item present. Lines with an
+    optional ``dry`` flag are judged in their turn but take nothing.
     """
+    if "dry" not in lines.columns:
+        lines = lines.withColumn("dry", F.lit(False))
     stocked = lines.join(stock.select("item_id", F.col("stock").alias("base")), "item_id")
     work = durable(
         stocked.select(

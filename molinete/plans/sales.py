@@ -149,7 +149,8 @@ def judge_sales(
         .withColumn("_after", after_stock)
         .drop("_client", "_client_active", "_unknown", "_subtotal", "_split")
     )
-    takers = rows.filter("_before IS NULL AND _after IS NULL").select("request_id", "requested_at")
+    # A request with a fault found after the stock check still meets that check, but takes nothing.
+    takers = rows.filter("_before IS NULL").select("request_id", "requested_at", F.col("_after").isNotNull().alias("dry"))
     demand = (
         lines.groupBy("request_id", F.col("product_id").alias("item_id"))
         .agg((-F.sum("quantity")).alias("delta"))
@@ -160,7 +161,7 @@ def judge_sales(
     short = F.when(~F.coalesce("accepted", F.lit(True)), "insufficient_stock")
     return (
         rows.join(verdicts, "request_id", "left")
-        .withColumn("reason", F.coalesce("_before", "_after", short))
+        .withColumn("reason", F.coalesce("_before", short, "_after"))
         .drop("_before", "_after", "accepted")
     )
 
@@ -179,7 +180,7 @@ def post_sales(
     ``requests``: ``request_id, requested_at, user_id, client_id, items array<struct<product_id, quantity>>,
     payment_method, payments array<struct<payment_method, amount>>, discount, notes``.
     The request id is the sale's key; ``(request_id, line_no)`` is that of its children. A request with
-    several faults is rejected for the first of: items, products, payments, client, stock.
+    several faults is rejected for the first of: items, products, stock, payments, client.
     """
     lines = price_lines(requests, products)
     judged = judge_sales(requests, lines, clients, products, hot_rows=hot_rows)

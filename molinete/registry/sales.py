@@ -131,22 +131,24 @@ _WALK = """asked AS (SELECT q.request_id, q.product_id, q.quantity, p.id IS NULL
     req AS (SELECT o.o_orderkey AS request_id, o.o_orderdate AS requested_at, substr(o_orderpriority, 1, 1) AS method_no,
             CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS client_id, s.subtotal,
             CAST(greatest(0, o_orderkey % 5 - 1) AS DECIMAL(12,2)) AS off, CASE WHEN s.request_id IS NULL THEN 'no_items'
-                WHEN s.unknown THEN 'product_not_found' WHEN substr(o_orderpriority, 1, 1) = '5' THEN 'invalid_payment_method'
+                WHEN s.unknown THEN 'product_not_found' END AS early,
+            CASE WHEN substr(o_orderpriority, 1, 1) = '5' THEN 'invalid_payment_method'
                 WHEN substr(o_orderpriority, 1, 1) = '4' AND o_orderkey % 13 = 0 THEN 'client_required'
-                WHEN substr(o_orderpriority, 1, 1) = '4' AND o_custkey % 10 = 0 THEN 'client_not_found' END AS early
+                WHEN substr(o_orderpriority, 1, 1) = '4' AND o_custkey % 10 = 0 THEN 'client_not_found' END AS late
         FROM orders o LEFT JOIN summed s ON s.request_id = o.o_orderkey),
-    ranked AS (SELECT request_id, row_number() OVER (ORDER BY requested_at, request_id) AS n FROM req WHERE early IS NULL),
-    todo AS MATERIALIZED (SELECT k.n, a.product_id AS p, a.quantity AS q FROM ranked k JOIN asked a ON a.request_id = k.request_id),
+    ranked AS (SELECT request_id, late IS NOT NULL AS dry, row_number() OVER (ORDER BY requested_at, request_id) AS n
+        FROM req WHERE early IS NULL),
+    todo AS MATERIALIZED (SELECT k.n, k.dry, a.product_id AS p, a.quantity AS q FROM ranked k JOIN asked a ON a.request_id = k.request_id),
     walk(k, id, v) USING KEY (k, id) AS (
         SELECT 0 AS k, CAST(0 AS BIGINT) AS id, CAST(0 AS DECIMAL(18,3)) AS v
         UNION ALL SELECT 1, id, CAST(stock AS DECIMAL(18,3)) FROM products WHERE active
         UNION
         SELECT kind, CASE kind WHEN 0 THEN 0 WHEN 1 THEN p ELSE n END,
             CAST(CASE kind WHEN 0 THEN n WHEN 1 THEN level - q ELSE CAST(fits AS INTEGER) END AS DECIMAL(18,3))
-        FROM (SELECT t.n, t.p, t.q, r.v AS level, bool_and(r.v >= t.q) OVER () AS fits
+        FROM (SELECT t.n, t.dry, t.p, t.q, r.v AS level, bool_and(r.v >= t.q) OVER () AS fits
             FROM walk w JOIN todo t ON w.k = 0 AND t.n = CAST(w.v AS BIGINT) + 1 JOIN recurring.walk r ON r.k = 1 AND r.id = t.p) s,
-            (VALUES (0), (1), (2)) kinds(kind) WHERE kind <> 1 OR fits),
-    verdict AS (SELECT q.*, coalesce(q.early, CASE WHEN w.v = 0 THEN 'insufficient_stock' END) AS reason
+            (VALUES (0), (1), (2)) kinds(kind) WHERE kind <> 1 OR (fits AND NOT dry)),
+    verdict AS (SELECT q.*, coalesce(q.early, CASE WHEN w.v = 0 THEN 'insufficient_stock' END, q.late) AS reason
         FROM req q LEFT JOIN ranked k ON k.request_id = q.request_id LEFT JOIN walk w ON w.k = 2 AND w.id = k.n)"""
 
 
