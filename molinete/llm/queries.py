@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from molinete.llm.common import read
 from molinete.llm.exact_dedup import exact_groups
 from molinete.llm.mixing import mix_sources
+from molinete.llm.packing import pack_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +80,8 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(read(spark, folder, "documents"))
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read(spark, folder, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
