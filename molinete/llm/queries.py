@@ -11,6 +11,7 @@ from molinete.llm.common import read
 from molinete.llm.exact_dedup import exact_groups
 from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
+from molinete.llm.simhash import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,8 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(read(spark, folder, "documents"), words_per_shingle=3, max_bits=2)
