@@ -12,6 +12,7 @@ from molinete.llm.exact_dedup import exact_groups
 from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
 from molinete.llm.simhash import near_groups
+from molinete.llm.toxicity import fit_toxicity, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +92,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(read(spark, folder, "documents"), words_per_shingle=3, max_bits=2)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, read(spark, folder, "labels")))
