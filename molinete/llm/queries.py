@@ -12,6 +12,7 @@ from molinete.llm.exact_dedup import exact_groups
 from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
 from molinete.llm.simhash import near_groups
+from molinete.llm.token_counts import token_counts
 from molinete.llm.toxicity import fit_toxicity, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,8 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return toxicity_scores(docs, fit_toxicity(docs, read(spark, folder, "labels")))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read(spark, folder, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
