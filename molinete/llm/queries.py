@@ -11,6 +11,7 @@ from molinete.llm.common import read
 from molinete.llm.exact_dedup import exact_groups
 from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
+from molinete.llm.quality import fit_quality, quality_scores
 from molinete.llm.simhash import near_groups
 from molinete.llm.token_counts import token_counts
 from molinete.llm.toxicity import fit_toxicity, toxicity_scores
@@ -104,3 +105,9 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"), model=public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return quality_scores(docs, fit_quality(docs, read(spark, folder, "labels"), cut=0.3), cut=0.3)
