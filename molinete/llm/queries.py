@@ -11,6 +11,7 @@ from molinete.llm.common import read
 from molinete.llm.exact_dedup import exact_groups
 from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
+from molinete.llm.pages import main_text
 from molinete.llm.quality import fit_quality, quality_scores
 from molinete.llm.simhash import near_groups
 from molinete.llm.token_counts import token_counts
@@ -111,3 +112,8 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return quality_scores(docs, fit_quality(docs, read(spark, folder, "labels"), cut=0.3), cut=0.3)
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(read(spark, folder, "pages"))
