@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,16 @@ CACHED_WORDS = 400_000
 SLICES = 256
 
 
-class WordIds(dict):
-    """Word (bytes without ASCII white space) -> its token ids as little-endian unsigned 32-bit bytes, filled on demand.
+#: ASCII signs that group into one pre-token when they stand in a row (the apostrophe has rules of its own).
+_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+def _letters(word: bytes) -> bool:
+    return word.isalpha() if word.isascii() else word.decode().isalpha()
+
+
+class WordIds:
+    """Word (bytes without ASCII white space) -> its token ids as little-endian unsigned 32-bit bytes, learned on demand.
 
     Right for a vocabulary whose pre-tokens never span ASCII white space, so that a text's ids are its words' ids in a row.
     """
@@ -28,23 +37,52 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.ids: dict[bytes, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        ids = self.library.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
-        return found
-
-    def of(self, text: bytes) -> bytes:
+        words = self.library.get_vocab()
+        #: which ids end a pre-token
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters alone are single pre-tokens: they are encoded as one text and told apart by the ids that end one."""
+        letters = [w for w in words if _letters(w)]
+        ids = self._encode(b" ".join(letters).decode())
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) == len(letters):
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(letters, ends, strict=True):
+                self.ids[word] = raw[4 * at : 4 * end]
+                at = end
+        # The others, or all if some word was several pre-tokens after all: each by itself.
+        for word in words:
+            if word not in self.ids:
+                self.ids[word] = self._encode(word.decode()).tobytes()
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        ids = self.ids
         # The vocabulary is lower case; only its special strings tell capitals apart.
-        words = (text if b"<|" in text else text.lower()).split()
-        return b"".join(map(self.__getitem__, words))
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        new = set().union(*split).difference(ids)
+        # A word of letters with signs behind it is its letters' ids and the signs'.
+        tailed = {w: stem for w in new if (stem := w.rstrip(_SIGNS)) != w and _letters(stem)}
+        whole = new.difference(tailed).union(tailed.values(), (w[len(stem) :] for w, stem in tailed.items()))
+        self._learn(sorted(whole.difference(ids)))
+        for word, stem in tailed.items():
+            ids[word] = ids[stem] + ids[word[len(stem) :]]
+        out = [b"".join(map(ids.__getitem__, words)) for words in split]
+        if len(ids) > CACHED_WORDS:
+            # What came first is mostly what is frequent; the rest is learned anew where it comes up.
+            for word in list(islice(ids, CACHED_WORDS, None)):
+                del ids[word]
+        return out
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -66,18 +104,19 @@ def token_pieces(docs: DataFrame, *, tokenizer: str, limit: int = 2048, end_id:
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer).of
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
         for batch in batches:
-            out = []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(body.as_py()) + end
-                for n, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    out.append((name, n, at // 4, len(part) // 4, zlib.crc32(part), part)[: 5 + with_ids])
-            columns = list(zip(*out, strict=True)) or [[]] * (5 + with_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
+            for first in range(0, batch.num_rows, 256):
+                part_of = batch.slice(first, 256)
+                rows = []
+                for name, ids in zip(part_of.column(0).to_pylist(), word_ids(tokenizer).of(part_of.column(1).to_pylist()), strict=True):
+                    ids += end
+                    for n, at in enumerate(range(0, len(ids), size)):
+                        piece = ids[at : at + size]
+                        rows.append((name, n, at // 4, len(piece) // 4, zlib.crc32(piece), piece)[: 5 + with_ids])
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("body")).mapInArrow(cut, schema)
 
