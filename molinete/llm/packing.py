@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import islice
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ _SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def _letters(word: bytes) -> bool:
-    return word.isalpha() if word.isascii() else word.decode().isalpha()
+    """Whether the word, as the vocabulary sees it, is letters alone."""
+    return word.isalpha() if word.isascii() else normalize("NFC", word.decode()).lower().isalpha()
 
 
 class WordIds:

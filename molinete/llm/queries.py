@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from molinete.llm.common import read
 from molinete.llm.exact_dedup import exact_groups
+from molinete.llm.lm import score_documents
 from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
 from molinete.llm.pages import main_text
@@ -117,3 +118,8 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_main_text")
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(read(spark, folder, "pages"))
+
+
+@query("op6_context_mixing")
+def op6_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(read(spark, folder, "documents"), folds=10)
