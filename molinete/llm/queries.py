@@ -14,6 +14,7 @@ from molinete.llm.mixing import mix_sources
 from molinete.llm.packing import pack_documents
 from molinete.llm.pages import main_text
 from molinete.llm.quality import fit_quality, quality_scores
+from molinete.llm.search import top_documents
 from molinete.llm.simhash import near_groups
 from molinete.llm.token_counts import token_counts
 from molinete.llm.toxicity import fit_toxicity, toxicity_scores
@@ -123,3 +124,9 @@ def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_context_mixing")
 def op6_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(read(spark, folder, "documents"), folds=10)
+
+
+@query("op1_search")
+def op1_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return top_documents(docs, docs.where("doc_id % 50 = 0"), k=10)
