@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molinete.operators.running import row_numbers, size_probe
+from molinete.operators.running import Running, running, size_probe
 
 DOCUMENT_ITEMS = 10_000
 
@@ -28,48 +29,39 @@ def enrich(df: DataFrame, dim: DataFrame, key: str, columns: Mapping[str, str],
     return df.join(side, F.col(key) == F.col("_dim_id"), how).drop("_dim_id")
 
 
-def nest(
-    header: DataFrame,
-    detail: DataFrame,
-    key: str,
-    order: Sequence[str],
-    fields: Sequence[str],
-    name: str,
-    *,
-    items: int = DOCUMENT_ITEMS,
-) -> DataFrame:
-    """Header rows with their details as an ordered array of structs (empty if none).
+@dataclass(frozen=True)
+class Details:
+    """Rows gathered under a header: ``fields`` of ``rows`` in ``order``. ``sizes``: a cheaper table with the same keys, if there is one."""
+
+    rows: DataFrame
+    order: Sequence[str]
+    fields: Sequence[str]
+    sizes: DataFrame | None = None
+
 
-    ``detail`` is matched by ``key`` to ``header.id``. A header with more than
-    ``items`` details becomes several rows, numbered by ``<name>_part`` from 0:
-    nothing is left out, and no task holds more than ``items`` of one header.
+def nest(header: DataFrame, key: str, details: Mapping[str, Details], *, items: int = DOCUMENT_ITEMS) -> DataFrame:
+    """Header rows by ``part`` (from 0), each kind of details as an ordered array of structs (empty if none).
+
+    Details are matched by ``key`` to ``header.id`` and numbered within their header; part ``p`` holds those from ``p * items`` on, at most
+    ``items`` of each kind. The grain is (header, part) whatever the sizes: a header has as many parts as its most numerous
+    kind needs, at least one, and every detail stands in exactly one of them.
     """
-    part = f"{name}_part"
-    entry = F.struct(*fields)
-    _, largest = size_probe(detail, [key])
-    if largest <= items:
-        parts, keys = detail, [key]
-    else:
-        ordered = row_numbers(detail, [key], order, "_no")
-        parts, keys = ordered.withColumn(part, F.floor((F.col("_no") - 1) / items).cast("bigint")), [key, part]
-    # Gathering does not shrink the data, so it is moved once and gathered where it lands;
-    # in the ordinary case that is also where the header is joined.
-    grouped = (
-        parts.repartition(*keys)
-        .groupBy(*keys)
-        .agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("o"), entry.alias("e")))),
-                lambda x: x["e"],
-            ).alias(name)
+    parts = None
+    for name, d in details.items():
+        ordered = running(d.rows, [key], d.order, {"_no": Running("count")}, sizes=size_probe(d.rows if d.sizes is None else d.sizes, [key]))
+        entry = F.struct(F.struct(*d.order).alias("o"), F.struct(*d.fields).alias("e"))
+        # Gathering does not shrink the data, so it is moved once, by header and part, and gathered where it lands.
+        gathered = (
+            ordered.withColumn("part", F.floor((F.col("_no") - 1) / items).cast("bigint"))
+            .repartition(key, "part")
+            .groupBy(key, "part")
+            .agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["e"]).alias(name))
         )
-        .withColumnRenamed(key, "_doc_id")
-    )
-    empty = F.array().cast(grouped.schema[name].dataType)
-    first = F.lit(0).cast("bigint")
-    joined = header.join(grouped, F.col("id") == F.col("_doc_id"), "left").drop("_doc_id")
+        parts = gathered if parts is None else parts.join(gathered, [key, "part"], "full")
+    empty = {name: F.array().cast(parts.schema[name].dataType) for name in details}
+    joined = header.join(parts.withColumnRenamed(key, "_doc_id"), F.col("id") == F.col("_doc_id"), "left").drop("_doc_id")
     return joined.withColumns(
-        {part: F.coalesce(F.col(part), first) if part in keys else first, name: F.coalesce(F.col(name), empty)}
+        {"part": F.coalesce("part", F.lit(0).cast("bigint")), **{name: F.coalesce(F.col(name), none) for name, none in empty.items()}}
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molinete.functions.scalars import epoch_micros, expense, income
-from molinete.operators.rows import enrich, nest
+from molinete.operators.rows import Details, enrich, nest
 from molinete.schema import INCOME_TYPES
 
 TOTAL = "decimal(38,2)"
@@ -73,11 +73,11 @@ MOVEMENT_FIELDS = (
 
 
 def session_documents(sessions: DataFrame, movements: DataFrame, users: DataFrame, *, items: int = 10_000) -> DataFrame:
-    """Sessions with totals and their movements, newest first, as arrays of at most ``items``."""
+    """Sessions with totals by ``part``, with their movements, newest first, as arrays of at most ``items``."""
     newest_first = {"_age": -epoch_micros("created_at"), "_back": -F.col("id")}
     ordered = session_movements(movements, users).withColumns(newest_first)
     header = _with_totals(_with_user(sessions, users), movements)
-    return nest(header, ordered, "cash_session_id", ["_age", "_back"], MOVEMENT_FIELDS, "movements", items=items)
+    return nest(header, "cash_session_id", {"movements": Details(ordered, ["_age", "_back"], MOVEMENT_FIELDS, sizes=movements)}, items=items)
 
 
 def session_detail(

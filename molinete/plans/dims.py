@@ -11,21 +11,19 @@ from pyspark.sql import functions as F
 
 from molinete.functions.predicates import visible
 from molinete.functions.scalars import blank_to_null, is_email, weekday_rank
-from molinete.operators.rows import enrich, nest
+from molinete.operators.rows import Details, enrich, nest
 from molinete.schema import FOREIGN_KEYS, ROLES, WEEKDAYS, ForeignKey
 
 
 def plans_with_instructors(
     plans: DataFrame, plan_instructors: DataFrame, instructors: DataFrame, *, items: int = 10_000
 ) -> DataFrame:
-    """Active plans by duration, each with its active instructors by name."""
+    """Active plans by duration and ``part``, each with its active instructors by name."""
     detail = enrich(
         plan_instructors, visible(instructors), "instructor_id", {"name": "name", "dni": "dni", "phone": "phone"}, how="inner"
     ).withColumnRenamed("instructor_id", "id")
-    documents = nest(
-        visible(plans), detail, "plan_id", ["name", "id"], ["id", "name", "dni", "phone"], "instructors", items=items
-    )
-    return documents.orderBy("duration_days", "id", "instructors_part")
+    names = Details(detail, ["name", "id"], ["id", "name", "dni", "phone"], sizes=plan_instructors)
+    return nest(visible(plans), "plan_id", {"instructors": names}, items=items).orderBy("duration_days", "id", "part")
 
 
 def weekly_schedule(classes: DataFrame, users: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from molinete.functions.predicates import enum_filter, in_period
 from molinete.functions.scalars import Money, at_least_zero, blank_to_null, line_subtotal, money, payment_label
 from molinete.operators.admission import admit
-from molinete.operators.rows import apply_updates, enrich, nest, paginate
+from molinete.operators.rows import Details, apply_updates, enrich, nest, paginate
 from molinete.operators.running import HOT_ROWS, size_probe
 from molinete.plans.cash import open_session
 from molinete.plans.ledger import post_to_ledger
@@ -58,11 +58,11 @@ def sale_documents(
     payment_order: tuple[str, ...] = ("payment_method", "amount"),
     part: int = 10_000,
 ) -> DataFrame:
-    """Each sale with its items and payments as arrays; both are gathered before they meet the header."""
+    """Each sale by ``part`` with its items and payments as arrays of at most ``part`` entries."""
     header = enrich(sales, users, "user_id", {"name": "user_name"})
     header = enrich(header, clients, "client_id", {"name": "client_name"})
-    with_items = nest(header, items, "sale_id", item_order, ITEM_FIELDS, "items", items=part)
-    return nest(with_items, payments, "sale_id", payment_order, PAYMENT_FIELDS, "payments", items=part)
+    details = {"items": Details(items, item_order, ITEM_FIELDS), "payments": Details(payments, payment_order, PAYMENT_FIELDS)}
+    return nest(header, "sale_id", details, items=part)
 
 
 def _usable_payments() -> Column:

@@ -135,11 +135,11 @@ def _flat(documents):
         ),
     )
     return documents.select(
-        "id", "status", "user_name", "total_income", "total_expenses", F.array_join(item, ";").alias("movements")
+        "id", "part", "status", "user_name", "total_income", "total_expenses", F.array_join(item, ";").alias("movements")
     )
 
 
-_DOCUMENT = f"""SELECT s.id, s.status, u.name AS user_name, CAST(coalesce(t.i, 0) AS DECIMAL(38,2)) AS total_income,
+_DOCUMENT = f"""SELECT s.id, CAST(0 AS BIGINT) AS part, s.status, u.name AS user_name, CAST(coalesce(t.i, 0) AS DECIMAL(38,2)) AS total_income,
         CAST(coalesce(t.e, 0) AS DECIMAL(38,2)) AS total_expenses, coalesce(d.movements, '') AS movements
     FROM cash_sessions s JOIN users u ON u.id = s.user_id LEFT JOIN {_SUMS} t ON t.cash_session_id = s.id
     LEFT JOIN (SELECT v.cash_session_id, string_agg({_ITEM}, ';' ORDER BY v.created_at DESC, v.id DESC) AS movements

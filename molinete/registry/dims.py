@@ -19,7 +19,7 @@ ACTIVE = f"status = 'active' AND start_date <= {D} AND end_date >= {D}"
 
 @query(
     "plans_with_instructors",
-    """SELECT p.id, p.name, p.duration_days, p.price, coalesce(i.instructors, '') AS instructors FROM plans p
+    """SELECT p.id, CAST(0 AS BIGINT) AS part, p.name, p.duration_days, p.price, coalesce(i.instructors, '') AS instructors FROM plans p
     LEFT JOIN (SELECT b.plan_id, string_agg(i.id || ':' || i.name || ':' || i.phone, ';' ORDER BY i.name, i.id) AS instructors
         FROM plan_instructors b JOIN instructors i ON i.id = b.instructor_id AND i.active GROUP BY b.plan_id) i ON i.plan_id = p.id
     WHERE p.active""",
@@ -27,7 +27,7 @@ ACTIVE = f"status = 'active' AND start_date <= {D} AND end_date >= {D}"
 def _(r: Roles):
     documents = X.plans_with_instructors(r.plans, r.plan_instructors, r.instructors)
     text = F.transform("instructors", lambda i: F.concat_ws(":", i["id"].cast("string"), i["name"], i["phone"]))
-    return documents.select("id", "name", "duration_days", "price", F.array_join(text, ";").alias("instructors"))
+    return documents.select("id", "part", "name", "duration_days", "price", F.array_join(text, ";").alias("instructors"))
 
 
 @query(

@@ -38,17 +38,23 @@ def _(r: Roles):
     )
 
 
-@query(
-    "sale_documents",
-    """SELECT s.id, s.total, u.name AS user_name, c.name AS client_name, coalesce(i.items, '') AS items,
-        coalesce(p.payments, '') AS payments
-    FROM sales s LEFT JOIN users u ON u.id = s.user_id LEFT JOIN clients c ON c.id = s.client_id
-    LEFT JOIN (SELECT sale_id, string_agg(line_no || ':' || product_id || ':' || product_name || ':' || quantity || ':' || subtotal,
-        ';' ORDER BY line_no, product_id, quantity, subtotal) AS items FROM sale_items GROUP BY sale_id) i ON i.sale_id = s.id
-    LEFT JOIN (SELECT sale_id, string_agg(payment_method || ':' || amount, ';' ORDER BY payment_method, amount) AS payments
-        FROM sale_payments GROUP BY sale_id) p ON p.sale_id = s.id""",
-)
-def _(r: Roles):
+def _documents(part: int) -> str:
+    """Each item and each payment once, in the part its number within the sale says."""
+    return f"""WITH i AS (SELECT sale_id, (no - 1) // {part} AS part,
+            string_agg(line_no || ':' || product_id || ':' || product_name || ':' || quantity || ':' || subtotal, ';' ORDER BY no) AS items
+        FROM (SELECT *, row_number() OVER (PARTITION BY sale_id ORDER BY line_no, product_id, quantity, subtotal) AS no FROM sale_items)
+        GROUP BY 1, 2),
+    p AS (SELECT sale_id, (no - 1) // {part} AS part, string_agg(payment_method || ':' || amount, ';' ORDER BY no) AS payments
+        FROM (SELECT *, row_number() OVER (PARTITION BY sale_id ORDER BY payment_method, amount) AS no FROM sale_payments)
+        GROUP BY 1, 2),
+    b AS (SELECT coalesce(i.sale_id, p.sale_id) AS sale_id, coalesce(i.part, p.part) AS part, items, payments
+        FROM i FULL JOIN p ON p.sale_id = i.sale_id AND p.part = i.part)
+    SELECT s.id, CAST(coalesce(b.part, 0) AS BIGINT) AS part, s.total, u.name AS user_name, c.name AS client_name,
+        coalesce(b.items, '') AS items, coalesce(b.payments, '') AS payments
+    FROM sales s LEFT JOIN users u ON u.id = s.user_id LEFT JOIN clients c ON c.id = s.client_id LEFT JOIN b ON b.sale_id = s.id"""
+
+
+def _document_rows(r: Roles, part: int):
     def line(i):
         return F.concat_ws(
             ":",
@@ -62,9 +68,10 @@ def _(r: Roles):
     def payment(p):
         return F.concat_ws(":", p["payment_method"], p["amount"].cast("string"))
 
-    documents = S.sale_documents(r.sales, r.sale_items, r.sale_payments, r.users, r.clients)
+    documents = S.sale_documents(r.sales, r.sale_items, r.sale_payments, r.users, r.clients, part=part)
     return documents.select(
         "id",
+        "part",
         "total",
         "user_name",
         "client_name",
@@ -73,6 +80,16 @@ def _(r: Roles):
     )
 
 
+@query("sale_documents", _documents(10_000))
+def _(r: Roles):
+    return _document_rows(r, 10_000)
+
+
+@query("sale_document_parts", _documents(2))
+def _(r: Roles):
+    return _document_rows(r, 2)
+
+
 @query(
     "sale_audit",
     """SELECT * FROM (SELECT s.id, s.subtotal, CAST(coalesce(i.t, 0) AS DECIMAL(38,2)) AS items_total, s.total,

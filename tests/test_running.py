@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from molinete.operators.running import Running, previous_value, row_numbers, running, size_probe
-from molinete.operators.rows import latest_per_key, nest
+from molinete.operators.rows import Details, latest_per_key, nest
 
 BASE = dt.datetime(2024, 1, 1)
 
@@ -100,12 +100,12 @@ def test_latest_per_key_limits_before_the_shuffle(spark):
 def test_nest_keeps_every_detail_in_order(spark, items):
     df = skewed(spark, n=600).filter("k IS NOT NULL")
     header = spark.range(0, 45).withColumnRenamed("id", "id")
-    docs = nest(header, df, "k", ["ts", "id"], ["id", "v"], "rows", items=items).collect()
+    docs = nest(header, "k", {"rows": Details(df, ["ts", "id"], ["id", "v"])}, items=items).collect()
     want = {}
     for r in sorted(df.collect(), key=lambda r: (r.ts, r.id)):
         want.setdefault(r.k, []).append((r.id, r.v))
     got = {}
-    for d in sorted(docs, key=lambda d: (d.id, d.rows_part)):
+    for d in sorted(docs, key=lambda d: (d.id, d.part)):
         assert len(d.rows) <= items
         got.setdefault(d.id, []).extend((x.id, x.v) for x in d.rows)
     assert set(got) == set(range(45))
