@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from molinete.functions.predicates import visible
 from molinete.functions.scalars import blank_to_null, is_email, weekday_rank
 from molinete.operators.rows import Details, enrich, nest
+from molinete.operators.unique import last_requested, settle_claims
 from molinete.schema import FOREIGN_KEYS, ROLES, WEEKDAYS, ForeignKey
 
 
@@ -140,14 +141,22 @@ def _clean(changes: DataFrame, spec: Spec) -> DataFrame:
     return changes.select("id", "requested_at", *extras, *[column(c) for c in spec.columns])
 
 
+def _values(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """One row per unique column that is not null: its ``place`` among them and its ``key``."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), key.alias("key")) for i, key in enumerate(columns.values())]))
+    return rows.withColumn("_value", stacked).select("*", "_value.place", "_value.key").drop("_value").filter("key IS NOT NULL")
+
+
 def upsert_dimension(current: DataFrame, changes: DataFrame, spec: Spec) -> dict[str, DataFrame]:
     """Create, update and soft-delete rows of a dimension in bulk.
 
     ``changes``: ``id, requested_at``, the spec's columns, and optionally ``active`` (missing means
-    true), ``deleted`` (true keeps the row, inactive) and ``created_by``; one row per id.
-    A unique value held by a row not changed here, or claimed earlier in the batch, rejects the change.
+    true), ``deleted`` (true keeps the row, inactive) and ``created_by``. Of several changes of an id the last requested counts,
+    the others are rejected as ``superseded``. A unique value is taken if another row has it, inactive ones too, and no accepted earlier
+    change gave it up, or if an accepted earlier change took it; a rejected change takes and frees nothing.
     """
-    rows = _clean(changes, spec)
+    rows, superseded = last_requested(_clean(changes, spec))
+    changes = rows
     deleted = F.coalesce("deleted", F.lit(False)) if "deleted" in rows.columns else F.lit(False)
     wanted_active = F.coalesce("active", F.lit(True)) if "active" in rows.columns else F.lit(True)
     old = current.select(
@@ -176,31 +185,17 @@ def upsert_dimension(current: DataFrame, changes: DataFrame, spec: Spec) -> dict
     checks.append((F.col("_deleted") & F.col("_exists").isNull(), "not_found"))
     reason = F.coalesce(*[F.when(bad, F.lit(name)) for bad, name in checks])
     merged = merged.withColumn("_reason", reason)
-    untouched = current.join(changes.select("id"), "id", "left_anti")
-    for c in spec.unique:
-        live = merged.filter(f"_reason IS NULL AND NOT _deleted AND {c} IS NOT NULL")
-        first = (
-            live.groupBy(same_text(c).alias("_text"))
-            .agg(F.min(F.struct("requested_at", "id")).alias("_w"))
-            .select("_text", F.col("_w.id").alias("_winner"))
-        )
-        held = untouched.filter(F.col(c).isNotNull()).select(same_text(c).alias("_held")).distinct()
-        merged = (
-            merged.withColumn("_key", same_text(c))
-            .join(first, F.col("_key") == F.col("_text"), "left")
-            .join(held, F.col("_key") == F.col("_held"), "left")
-            .withColumn(
-                "_reason",
-                F.coalesce(
-                    "_reason",
-                    F.when(
-                        ~F.col("_deleted") & (F.col("_held").isNotNull() | (F.col("_winner") != F.col("id"))),
-                        f"{c}_taken",
-                    ),
-                ),
-            )
-            .drop("_key", "_text", "_winner", "_held")
-        )
+    if spec.unique:
+        live = merged.filter("_reason IS NULL AND NOT _deleted")
+        asked = {c: same_text(c) for c in spec.unique}
+        claims = _values(live, asked).select("id", "requested_at", "place", "key")
+        mine = live.select(F.col("id").alias("_change"), "requested_at", *[asked[c].alias(f"_now_{i}") for i, c in enumerate(spec.unique)])
+        have = _values(current.join(mine, current["id"] == F.col("_change"), "left"), asked)
+        news = F.element_at(F.array(*[F.col(f"_now_{i}") for i in range(len(spec.unique))]), F.col("place") + 1)
+        held = have.select("id", "requested_at", "place", "key", (F.col("_change").isNotNull() & ~news.eqNullSafe(F.col("key"))).alias("moves"))
+        taken = settle_claims(claims, held).groupBy(F.col("id").alias("_loser")).agg(F.min("place").alias("_place"))
+        names = F.coalesce(*[F.when(F.col("_place") == i, F.lit(f"{c}_taken")) for i, c in enumerate(spec.unique)])
+        merged = merged.join(taken, F.col("id") == F.col("_loser"), "left").withColumn("_reason", F.coalesce("_reason", names)).drop("_loser", "_place")
     good = merged.filter("_reason IS NULL")
     written = good.select(
         "id",
@@ -220,7 +215,7 @@ def upsert_dimension(current: DataFrame, changes: DataFrame, spec: Spec) -> dict
     kept_rows = current.join(good.select("id"), "id", "left_anti")
     return {
         "table": kept_rows.unionByName(written.select(*current.columns)),
-        "rejected": merged.filter("_reason IS NOT NULL").select("id", F.col("_reason").alias("reason")),
+        "rejected": merged.filter("_reason IS NOT NULL").select("id", F.col("_reason").alias("reason")).unionByName(superseded),
     }
 
 

@@ -9,6 +9,7 @@ from molinete.functions.predicates import by_keys, enum_filter, opt_filter, text
 from molinete.functions.scalars import blank_to_null, non_negative_or_zero, product_code
 from molinete.operators.admission import admit
 from molinete.operators.rows import enrich, paginate
+from molinete.operators.unique import last_requested, settle_claims
 from molinete.operators.running import HOT_ROWS, Running, running
 from molinete.plans.sales import apply_stock
 from molinete.schema import STOCK_TYPES, UNITS
@@ -154,8 +155,10 @@ def upsert_products(changes: DataFrame, products: DataFrame) -> dict[str, DataFr
     """Create or update products. Stock changes only through movements; a new product's initial stock is one.
 
     ``changes``: ``id, requested_at, name, code, description, category, sale_price, cost_price, stock_inicial,
-    min_stock, unit, created_by``, one row per id (text numbers allowed). A code already taken is rejected.
+    min_stock, unit, created_by`` (text numbers allowed). Of several changes of an id the last requested counts, the others are rejected as
+    ``superseded``. A code is taken if another product has it and no accepted earlier change gave it up, or if an accepted earlier change took it.
     """
+    changes, superseded = last_requested(changes)
     clean = changes.select(
         "id",
         "requested_at",
@@ -170,20 +173,17 @@ def upsert_products(changes: DataFrame, products: DataFrame) -> dict[str, DataFr
         non_negative_or_zero("min_stock", "decimal(12,3)").alias("min_stock"),
         F.when(F.col("unit") == UNITS[1], UNITS[1]).otherwise(UNITS[0]).alias("unit"),
     )
-    # Of several changes claiming one code the earliest wins; a code held by a product not changed here is taken.
-    claim = F.struct("requested_at", "id")
-    winner = clean.groupBy(F.col("code").alias("_code")).agg(F.min(claim).alias("_w")).select("_code", F.col("_w.id").alias("_winner"))
-    held = (
-        products.join(clean.select("id"), "id", "left_anti")
-        .select(F.upper(F.trim("code")).alias("_held"))
-        .distinct()
-    )
-    judged = (
-        clean.join(winner, F.col("code") == F.col("_code"))
-        .join(held, F.col("code") == F.col("_held"), "left")
-        .withColumn("reason", F.when(F.col("_held").isNotNull() | (F.col("_winner") != F.col("id")), "code_taken"))
-        .drop("_code", "_winner", "_held")
+    claims = clean.select("id", "requested_at", F.lit(0).alias("place"), F.col("code").alias("key"))
+    mine = clean.select(F.col("id").alias("_change"), "requested_at", F.col("code").alias("_now"))
+    held = products.join(mine, F.col("id") == F.col("_change"), "left").select(
+        "id",
+        "requested_at",
+        F.lit(0).alias("place"),
+        F.upper(F.trim("code")).alias("key"),
+        (F.col("_change").isNotNull() & (F.col("_now") != F.upper(F.trim("code")))).alias("moves"),
     )
+    taken = settle_claims(claims, held.filter("key IS NOT NULL")).select(F.col("id").alias("_loser")).distinct()
+    judged = clean.join(taken, F.col("id") == F.col("_loser"), "left").withColumn("reason", F.when(F.col("_loser").isNotNull(), "code_taken")).drop("_loser")
     good = judged.filter("reason IS NULL")
     old = products.select(
         "id", F.col("stock").alias("_stock"), F.col("active").alias("_active"), F.lit(True).alias("_exists")
@@ -214,7 +214,7 @@ def upsert_products(changes: DataFrame, products: DataFrame) -> dict[str, DataFr
     return {
         "products": kept.unionByName(written),
         "stock_movements": first_stock,
-        "rejected": judged.filter("reason IS NOT NULL").select("id", "reason"),
+        "rejected": judged.filter("reason IS NOT NULL").select("id", "reason").unionByName(superseded),
     }
 
 

@@ -103,27 +103,30 @@ def _client_changes(r: Roles):
     return both.filter("_new OR c_custkey % 3 = 0").select(
         (key + F.when(F.col("_new"), top).otherwise(F.lit(0))).alias("id"),
         F.lit("2001-06-15 09:00:00").cast("timestamp_ntz").alias("requested_at"),
-        F.when(key % 17 == 0, F.lit(" "))
-        .when(F.col("_new") & (key % 5 == 0), F.concat(F.lit("CUSTOMER_"), F.lpad(key.cast("string"), 9, "0")))
+        F.when((key % 17 == 0) & (~F.col("_new") | (key % 2 == 0)), F.lit(" "))
+        .when(F.col("_new") & ((key % 5 == 0) | (key % 10 == 9)), F.concat(F.lit("CUSTOMER_"), F.lpad(key.cast("string"), 9, "0")))
         .otherwise(F.concat(F.when(F.col("_new"), "nuevo").otherwise("viejo"), key.cast("string")))
         .alias("username"),
         F.col("c_mktsegment").alias("name"),
         F.concat(F.when(F.col("_new"), "N").otherwise("V"), key.cast("string")).alias("dni"),
         F.lit(None).cast("string").alias("phone"),
         (key % 7 != 0).alias("active"),
-        (key % 10 == 9).alias("deleted"),
+        # Old clients deleted in the same batch keep their user names, which new ones ask for.
+        ((key % 10 == 9) & (~F.col("_new") | (key % 20 == 19))).alias("deleted"),
     )
 
 
 _CLIENT_SQL = """top AS (SELECT max(c_custkey) + 1 AS t FROM customer),
     ch AS (SELECT c_custkey + CASE WHEN n THEN t ELSE 0 END AS id,
-            CASE WHEN c_custkey % 17 = 0 THEN ' ' WHEN n AND c_custkey % 5 = 0 THEN 'CUSTOMER_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')
+            CASE WHEN c_custkey % 17 = 0 AND (NOT n OR c_custkey % 2 = 0) THEN ' ' WHEN n AND (c_custkey % 5 = 0 OR c_custkey % 10 = 9) THEN 'CUSTOMER_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')
                 ELSE (CASE WHEN n THEN 'nuevo' ELSE 'viejo' END) || c_custkey END AS username, c_mktsegment AS name,
-            (CASE WHEN n THEN 'N' ELSE 'V' END) || c_custkey AS dni, c_custkey % 7 <> 0 AS active, c_custkey % 10 = 9 AS deleted, n
+            (CASE WHEN n THEN 'N' ELSE 'V' END) || c_custkey AS dni, c_custkey % 7 <> 0 AS active, c_custkey % 10 = 9 AND (NOT n OR c_custkey % 20 = 19) AS deleted, n
         FROM customer, top, (VALUES (false), (true)) v(n) WHERE n OR c_custkey % 3 = 0),
     judged AS (SELECT ch.*, CASE WHEN NOT deleted AND trim(username) = '' THEN 'username_required'
             WHEN deleted AND n THEN 'not_found'
-            WHEN NOT deleted AND lower(username) IN (SELECT lower(username) FROM clients WHERE id NOT IN (SELECT id FROM ch))
+            -- Only clients renamed by a change that is itself accepted have given their name up.
+            WHEN NOT deleted AND lower(username) IN (SELECT lower(username) FROM clients WHERE id NOT IN
+                (SELECT id FROM ch WHERE NOT n AND NOT deleted AND trim(username) <> ''))
             THEN 'username_taken' END AS reason FROM ch)"""
 
 _SLIM = ("id", "username", "name", "dni", "phone", "active")

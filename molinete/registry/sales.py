@@ -431,7 +431,7 @@ def _product_changes(r: Roles):
         F.lit("2001-06-15 10:00:00").cast("timestamp_ntz").alias("requested_at"),
         (key % 25).alias("created_by"),
         F.concat(F.lit(" Producto "), key.cast("string")).alias("name"),
-        F.concat(F.lit(" p"), (key * 2 + F.when(key % 10 == 3, 1).otherwise(0)).cast("string")).alias("code"),
+        F.concat(F.lit(" p"), (key * 2 + F.when(key % 10 == 3, 1).when(key % 10 == 7, 2).otherwise(0)).cast("string")).alias("code"),
         F.lit(" ").alias("description"),
         F.col("c_mktsegment").alias("category"),
         F.when(key % 7 == 0, "gratis").otherwise(F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("sale_price"),
@@ -443,10 +443,13 @@ def _product_changes(r: Roles):
 
 
 _CHANGES = """ch AS (SELECT c_custkey * 2 AS id, 'Producto ' || c_custkey AS name,
-        'P' || (c_custkey * 2 + CASE WHEN c_custkey % 10 = 3 THEN 1 ELSE 0 END) AS code, c_mktsegment AS category,
+        'P' || (c_custkey * 2 + CASE c_custkey % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END) AS code, c_custkey % 10 AS d, c_mktsegment AS category,
         CASE WHEN c_custkey % 7 <> 0 AND c_acctbal >= 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) ELSE 0 END AS sale_price,
         CAST(c_custkey % 3 AS DECIMAL(12,3)) AS initial, CASE WHEN c_custkey % 2 = 0 THEN 'kg' ELSE 'unidad' END AS unit FROM customer),
-    good AS (SELECT * FROM ch WHERE code NOT IN (SELECT code FROM products WHERE id NOT IN (SELECT id FROM ch)))"""
+    -- A product keeps its code unless its own change is accepted; nobody asks for a code that is given up. Without such a product the
+    -- change before (7) has taken the code that the next one (8) asks for.
+    good AS (SELECT * FROM ch WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.code = ch.code AND p.id <> ch.id)
+        AND NOT (d = 8 AND EXISTS (SELECT 1 FROM ch e WHERE e.id = ch.id - 2) AND NOT EXISTS (SELECT 1 FROM products p WHERE p.id = ch.id)))"""
 
 
 @query(

@@ -87,8 +87,32 @@ def test_upsert_users(spark):
     out = dims.upsert_dimension(cur, ch, dims.SPECS["users"])
     got = {r.id: tuple(r) for r in out["table"].collect()}
     assert got[1] == (1, "admin", "A2", None, "admin", True) and got[2] == (2, "emp", "E", "e@x.ar", "empleado", False)
-    assert {r.id: r.reason for r in out["rejected"].collect()} == {3: "username_taken", 4: "email_invalid", 6: "role_invalid"}
-    assert 5 in got  # row 2, which held the address, is itself part of the batch
+    # row 2 is deleted in the batch and keeps its address
+    assert {r.id: r.reason for r in out["rejected"].collect()} == {3: "username_taken", 4: "email_invalid", 5: "email_taken", 6: "role_invalid"}
+
+
+def test_unique_values_change_hands_in_request_order(spark):
+    t1, t2 = T0 + dt.timedelta(hours=1), T0 + dt.timedelta(hours=2)
+    cur = spark.createDataFrame([(i, n, n, str(i), True) for i, n in enumerate("abcdef", 1)], "id bigint, username string, name string, dni string, active boolean")
+    spec = dims.Spec(columns=("username", "name", "dni"), required=("username", "name"), unique=("username", "dni"))
+
+    def run(rows):
+        out = dims.upsert_dimension(cur, spark.createDataFrame(rows, "id bigint, requested_at timestamp_ntz, username string, name string, dni string, deleted boolean"), spec)
+        assert quality.uniqueness_conflicts(out["table"], "username").count() == 0 and quality.uniqueness_conflicts(out["table"], "dni").count() == 0
+        return {r.id: r.reason for r in out["rejected"].collect()}
+
+    # given up before it is asked for, and after
+    assert run([(1, T0, "x", "n", "1", None), (2, t1, "a", "n", "2", None)]) == {}
+    assert run([(1, t1, "x", "n", "1", None), (2, T0, "a", "n", "2", None)]) == {2: "username_taken"}
+    # a rejected or deleting change gives nothing up; a change that loses one value takes no other
+    assert run([(1, T0, " ", "n", "1", None), (2, t1, "a", "n", "2", None)]) == {1: "username_required", 2: "username_taken"}
+    assert run([(1, T0, None, None, None, True), (2, t1, "a", "n", "2", None)]) == {2: "username_taken"}
+    assert run([(7, T0, "new", "n", "3", None), (8, t1, "new", "n", "9", None)]) == {7: "dni_taken"}
+    # a chain, a swap, a doubled id
+    chain = [(1, T0, "z", "n", "1", None), *[(i, T0 + dt.timedelta(minutes=i), "abcdef"[i - 2], "n", str(i), None) for i in range(2, 7)]]
+    assert run(chain) == {}
+    assert run([(1, T0, "b", "n", "1", None), (2, t1, "a", "n", "2", None)]) == {1: "username_taken", 2: "username_taken"}
+    assert run([(1, T0, "q", "n", "1", None), (1, t2, "r", "n", "1", None), (2, t1, "a", "n", "2", None)]) == {1: "superseded", 2: "username_taken"}
 
 
 def test_delete_propagates(spark):
