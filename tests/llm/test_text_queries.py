@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from molinete.llm import pages as pages_module
-from molinete.llm.context_mixing import Mixer, Model, Vocabulary, batch_of, huffman, odds_of, spelling, OFFSETS
+from molinete.llm.context_mixing import BYTES_BACK, Mixer, Model, Vocabulary, batch_of, huffman, odds_of, spelling, OFFSETS
 from molinete.llm.lm import score_documents
 from molinete.llm.markup import ARTICLE, blocks
 from molinete.llm.pages import common_places, main_text
@@ -121,7 +121,7 @@ def small_model():
     vocabulary = Vocabulary(words, 3, huffman(np.array([5, 3, 2, 4, 6])), huffman(np.arange(1, 257)))
     rng = np.random.default_rng(0)
     tables = odds_of(rng.integers(0, 30, (OFFSETS[-1], 2)))
-    model = Model(vocabulary, tables, Mixer.new(3), Mixer.new(4))
+    model = Model(vocabulary, tables, Mixer.new(3), Mixer.new(1 + len(BYTES_BACK)))
     model.words.weights += rng.normal(0, 0.2, model.words.weights.shape).astype(np.float32)
     return model
 
