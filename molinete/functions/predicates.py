@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 from functools import reduce
+from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,15 +54,12 @@ def ends_in(as_of: date | str, days: int) -> Column:
     return is_active(as_of) & (days_remaining(as_of) == days)
 
 
-def by_keys(df: DataFrame, key: str, keys: DataFrame | Iterable, *, literal_limit: int = 1000) -> DataFrame:
-    """Rows whose key is in a short list of literals or in a one-column DataFrame."""
-    if isinstance(keys, DataFrame):
-        wanted = keys.select(F.col(keys.columns[0]).alias(key))
-        return df.join(wanted, key, "left_semi")
-    values = list(keys)
-    if len(values) > literal_limit:
-        raise ValueError("pass a long key list as a DataFrame")
-    return df.filter(F.col(key).isin(values))
+def by_keys(df: DataFrame, key: str, keys: DataFrame | Iterable) -> DataFrame:
+    """Rows whose key is in a list of literals or in a one-column DataFrame; either way a semi join."""
+    if not isinstance(keys, DataFrame):
+        kind = df.schema[key].dataType.simpleString()
+        keys = df.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` {kind}")
+    return df.join(keys.select(F.col(keys.columns[0]).alias(key)), key, "left_semi")
 
 
 def visible(df: DataFrame, mode: str = "active") -> DataFrame:
@@ -80,26 +78,30 @@ def debt_filter(df: DataFrame, mode: str = "all") -> DataFrame:
     return df
 
 
-# Accented letters and the plain letters they compare equal to.
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuyync"
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin letters with marks, and the letters without; then the combining marks, which stand for nothing."""
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        letter = chr(code)
+        base = normalize("NFD", letter)[0]
+        if letter.lower() == letter and base != letter:
+            marked.append(letter)
+            plain.append(base)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
 
 
-def fold(c: str | Column) -> Column:
-    """Lower case without accents, for LIKE (which takes no collation that ignores both)."""
-    return F.translate(F.lower(c), _ACCENTED, _PLAIN)
+_MARKED, _PLAIN = _accents()
 
 
-def matches(columns: Iterable[str], term: str) -> Column:
-    """``LIKE %term%`` on any column, ignoring case and accents; ``%`` and ``_`` stay wildcards."""
-    wildcard = any(ch in term for ch in "%_\\")
+def fold(c: str | Column) -> Column:
+    """Lower case without accents."""
+    return F.translate(F.lower(c), _MARKED, _PLAIN)
 
-    def one(c: str) -> Column:
-        if wildcard:
-            return F.like(fold(c), F.concat(F.lit("%"), fold(F.lit(term)), F.lit("%")))
-        return F.contains(F.collate(F.col(c), "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
 
-    return reduce(lambda a, b: a | b, [F.coalesce(one(c), F.lit(False)) for c in columns])
+def matches(columns: Iterable[str], term: str) -> Column:
+    """``LIKE %term%`` on any column, ignoring case and accents; ``%`` and ``_`` are wildcards. One comparison for all terms."""
+    pattern = F.concat(F.lit("%"), fold(F.lit(term)), F.lit("%"))
+    return reduce(lambda a, b: a | b, [F.coalesce(F.like(fold(c), pattern), F.lit(False)) for c in columns])
 
 
 def text_search(df: DataFrame, columns: Iterable[str], term: str | None) -> DataFrame:

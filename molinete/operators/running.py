@@ -22,7 +22,7 @@ from molinete.session import durable
 HOT_ROWS = 2_000_000  # a window group below this is one ordinary task
 HOT_SHARE = 10_000  # hot keys hold > 1/10,000 of the rows each, so there are fewer than 10,000
 SLICES = 256  # slices per hot key
-TIE_SLICES = 64  # extra slices for one order value held by > 1/256 of a hot key's rows
+TIE_SLICES = 64  # slices of one order value held by > 1/256 of a hot key's rows
 
 
 @dataclass(frozen=True)
@@ -105,52 +105,85 @@ def _number(df: DataFrame, column: str) -> Column:
     if kind == "date":
         return F.unix_date(column).cast("double")
     if kind == "string":  # the first six bytes, in byte order
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
+        return _head(column, F.lit(0))
     return F.col(column).cast("double")
 
 
+def _head(column: str, skipped: Column) -> Column:
+    """Six bytes of a text behind the ``skipped`` ones, as a number in byte order."""
+    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), skipped + 1, F.lit(6))), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
+def _common_bytes(a: Column, b: Column) -> Column:
+    """How many bytes two texts have in common from the front; of a smallest and a largest, what all between them share."""
+    first, second = F.hex(F.encode(a, "UTF-8")), F.hex(F.encode(b, "UTF-8"))
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.length(first), F.length(second)) / 2, F.lit(1)).cast("int"))
+    same = F.filter(places, lambda i: F.substring(first, F.lit(1), 2 * i) == F.substring(second, F.lit(1), 2 * i))
+    return F.when(F.length(first) * F.length(second) > 0, F.size(same)).otherwise(F.lit(0))
+
+
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
+def _tie(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """What orders the rows of one value of ``order[0]``'s number: the next bytes of a text, else the column behind it."""
+    if df.schema[order[0]].dataType.typeName() == "string":
+        return _head(order[0], F.col("_skip") + 6)
+    if len(order) > 1 and df.schema[order[1]].dataType.typeName() in ("long", "integer", "string", "date", "timestamp", "timestamp_ntz"):
+        return _number(df, order[1])
+    return None
+
+
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], threshold: int) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a ``_slice`` column (0 for ordinary keys), and the hot keys alone."""
-    kinds = [df.schema[c].dataType.typeName() for c in order]
-    tie = order[1] if len(order) > 1 and kinds[0] != "string" and kinds[1] in ("long", "integer") else None
-    hot = key_sizes(df, keys).filter(F.col("_n") > threshold).select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    """``df`` with a ``_slice`` column (0 for ordinary keys), and the hot keys alone.
+
+    Slices end at quantiles of the key's order. A value that fills whole slices (an instant that a bulk load shares, texts with a common
+    beginning) is cut further at quantiles of what orders the rows within that very value.
+    """
+    is_text = df.schema[order[0]].dataType.typeName() == "string"
+    at, tie = _head(order[0], F.col("_skip")) if is_text else _number(df, order[0]), _tie(df, order)
+    # What all texts of a key begin with says nothing of their order.
+    skip = _common_bytes(F.min(order[0]), F.max(order[0])) if is_text else F.lit(0)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), skip.alias("_skip"))
+    hot = sizes.filter(F.col("_n") > threshold).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_skip")
+    hot_keys = [f"_h_{k}" for k in keys]
     at_key = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     marks = [i / SLICES for i in range(1, SLICES)]
     # Written once: the rows and the totals must be cut at the very same marks, in a retried task too.
     bounds = durable(
         df.join(F.broadcast(hot), at_key)
-        .groupBy(*hot.columns)
-        .agg(
-            F.percentile_approx(_number(df, order[0]), marks, 20 * SLICES).alias("_marks"),
-            (F.min(tie) if tie else F.lit(0)).cast("double").alias("_low"),
-            (F.max(tie) + 1 if tie else F.lit(1)).cast("double").alias("_high"),
-        )
+        .groupBy(*hot_keys, "_skip")
+        .agg(F.percentile_approx(at, marks, 20 * SLICES).alias("_marks"))
         .withColumn("_cuts", F.array_distinct("_marks"))
-        .withColumn(
-            "_heavy", F.filter("_cuts", lambda c: F.size(F.filter(F.col("_marks"), lambda m: m == c)) > 1)
-        )
+        .withColumn("_heavy", F.filter("_cuts", lambda c: F.size(F.filter(F.col("_marks"), lambda m: m == c)) > 1))
         .drop("_marks")
     )
-    at = _number(df, order[0])
-    slice_ = F.size(F.filter("_cuts", lambda c: c <= at)) * F.lit(TIE_SLICES + 2)
-    if tie:
-        in_tie = F.width_bucket(F.col(tie).cast("double"), F.col("_low"), F.col("_high"), F.lit(TIE_SLICES))
-        slice_ = slice_ + F.when(F.array_contains("_heavy", at), in_tie.cast("int")).otherwise(F.lit(TIE_SLICES + 1))
-    helpers = [*hot.columns, "_low", "_high", "_cuts", "_heavy"]
-    cut = (
-        df.join(F.broadcast(bounds), at_key, "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(slice_))
-        .drop(*helpers)
-    )
-    hot_only = (
-        df.join(F.broadcast(bounds), at_key).withColumn("_slice", slice_).drop(*helpers)
-    )
-    return cut, hot_only
+    helpers = [*hot_keys, "_skip", "_cuts", "_heavy"]
+    slice_ = F.size(F.filter("_cuts", lambda c: c <= at)) * F.lit(TIE_SLICES + 1)
+    if tie is not None:
+        # At most SLICES / 2 values of a key are heavy, so this stays as bounded as the keys.
+        steps = [i / TIE_SLICES for i in range(1, TIE_SLICES)]
+        heavy = durable(
+            df.join(F.broadcast(bounds), at_key)
+            .filter(F.array_contains("_heavy", at))
+            .groupBy(*hot_keys, at.alias("_at"))
+            .agg(F.array_distinct(F.percentile_approx(tie, steps, 20 * TIE_SLICES)).alias("_ties"))
+            .select(*[F.col(c).alias(f"_t{c}") for c in hot_keys], "_at", "_ties")
+        )
+        same_value = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t{c}")) for c in hot_keys]) & (at == F.col("_at"))
+        # Rows behind a heavy value and before the next cut come after all of its slices.
+        slice_ = slice_ + F.when(F.col("_ties").isNull(), F.lit(TIE_SLICES)).otherwise(F.size(F.filter("_ties", lambda c: c <= tie)))
+        helpers += [*(f"_t{c}" for c in hot_keys), "_at", "_ties"]
+
+    def marked(how: str) -> DataFrame:
+        joined = df.join(F.broadcast(bounds), at_key, how)
+        if tie is not None:
+            joined = joined.join(F.broadcast(heavy), same_value, "left")
+        return joined.withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(slice_)).drop(*helpers)
+
+    return marked("left"), marked("inner")
 
 
 def _sliced(

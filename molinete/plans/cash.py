@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molinete.functions.scalars import epoch_micros, expense, income
@@ -111,7 +111,8 @@ def close_sessions(sessions: DataFrame, movements: DataFrame, counts: DataFrame)
     """Close sessions by their counted amounts.
 
     ``counts``: ``session_id, closing_amount, closing_cash, closing_transfer, closing_card, notes, closed_at``.
-    The closing amount is the sum of the given methods if above zero, else ``closing_amount``.
+    The closing amount is the sum of the given methods if above zero, else ``closing_amount``. Of several valid counts of a session the first
+    closes it (by ``closed_at``, then the larger count); the others find it closed.
     """
     zero = F.lit(0).cast("decimal(12,2)")
     by_method = sum(
@@ -131,12 +132,19 @@ def close_sessions(sessions: DataFrame, movements: DataFrame, counts: DataFrame)
     )
     if "notes" not in sessions.columns:
         state = state.withColumn("notes", F.lit(None).cast("string"))
-    judged = asked.join(state, F.col("session_id") == F.col("id"), "left").withColumn(
+    checked = asked.join(state, F.col("session_id") == F.col("id"), "left").withColumn(
         "reason",
         F.when(F.col("counted").isNull(), "closing_amount_missing").when(
             F.col("id").isNull() | (F.col("status") != "open"), "session_not_open"
         ),
     )
+    valid = F.col("reason").isNull()
+    first = Window.partitionBy("session_id", valid).orderBy("new_closed_at", F.desc("counted"))
+    judged = (
+        checked.withColumn("_turn", F.row_number().over(first))
+        .withColumn("reason", F.when(valid & (F.col("_turn") > 1), "session_not_open").otherwise(F.col("reason")))
+        .drop("_turn")
+    )
     accepted = judged.filter(F.col("reason").isNull())
     money = "decimal(18,2)"
     expected = (F.col("opening_amount") + F.col("total_income") - F.col("total_expenses")).cast(money)

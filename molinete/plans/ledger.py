@@ -77,19 +77,23 @@ def post_to_ledger(
     return out.withColumn("balance", balance).drop("_moved", "opening_balance")
 
 
-def post_account_payments(requests: DataFrame, ledger: DataFrame, sessions: DataFrame) -> dict[str, DataFrame]:
-    """Payments on account: a credit row and an ``income`` drawer row each; all rejected without an open drawer.
+def post_account_payments(requests: DataFrame, ledger: DataFrame, sessions: DataFrame, clients: DataFrame) -> dict[str, DataFrame]:
+    """Payments on account: a credit row and an ``income`` drawer row each; rejected without an open drawer or for an unknown client.
 
     ``requests``: ``request_id, requested_at, client_id, amount, payment_method, description, created_by``.
     Paying more than is owed is allowed and leaves a negative balance.
     """
     session = open_session(sessions).select("id").scalar()
     text = F.coalesce(blank_to_null("description"), F.lit(PAYMENT_TEXT))
-    judged = requests.withColumn("cash_session_id", session)
-    accepted = judged.filter(F.col("cash_session_id").isNotNull())
-    rejected = judged.filter(F.col("cash_session_id").isNull()).select(
-        "request_id", F.lit("no_open_session").alias("reason")
+    known = clients.select(F.col("id").alias("_client")).distinct()
+    judged = (
+        requests.withColumn("cash_session_id", session)
+        .join(known, F.col("client_id") == F.col("_client"), "left")
+        .withColumn("reason", F.when(F.col("cash_session_id").isNull(), "no_open_session").when(F.col("_client").isNull(), "client_not_found"))
+        .drop("_client")
     )
+    accepted = judged.filter("reason IS NULL")
+    rejected = judged.filter("reason IS NOT NULL").select("request_id", "reason")
     credits = accepted.select(
         F.col("request_id").alias("source_id"),
         F.lit(1).alias("line_no"),

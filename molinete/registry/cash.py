@@ -57,11 +57,11 @@ def _(r: Roles):
 def _payment_requests(r: Roles):
     return (
         r.raw("events")
-        .filter("event_type = 'view'")
         .select(
             F.col("event_id").alias("request_id"),
             F.col("ts").alias("requested_at"),
-            F.col("user_id").alias("client_id"),
+            # some payers are no clients
+            F.when(F.col("event_id") % 11 == 0, -F.col("user_id")).otherwise(F.col("user_id")).alias("client_id"),
             F.col("value").cast("decimal(10,2)").alias("amount"),
             F.lit("cash").alias("payment_method"),
             F.when(F.col("event_id") % 2 == 0, " ").otherwise("Abono").alias("description"),
@@ -70,9 +70,9 @@ def _payment_requests(r: Roles):
     )
 
 
-_PAYMENTS = """SELECT event_id AS source_id, user_id AS client_id, CAST(value AS DECIMAL(10,2)) AS amount,
-    CASE WHEN event_id % 2 = 0 THEN 'Pago de cuenta corriente' ELSE 'Abono' END AS description, ts
-    FROM events WHERE event_type = 'view'"""
+_ASKED = """SELECT event_id AS source_id, CASE WHEN event_id % 11 = 0 THEN -user_id ELSE user_id END AS client_id, CAST(value AS DECIMAL(10,2)) AS amount,
+    CASE WHEN event_id % 2 = 0 THEN 'Pago de cuenta corriente' ELSE 'Abono' END AS description, ts FROM events"""
+_PAYMENTS = f"SELECT * FROM ({_ASKED}) WHERE client_id IN (SELECT id FROM clients)"
 
 
 @query(
@@ -84,7 +84,7 @@ _PAYMENTS = """SELECT event_id AS source_id, user_id AS client_id, CAST(value AS
     FROM pay p LEFT JOIN l ON l.client_id = p.client_id""",
 )
 def _(r: Roles):
-    out = L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions)["current_account"]
+    out = L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions, r.clients)["current_account"]
     return out.select("source_id", "client_id", "type", "amount", "description", "balance")
 
 
@@ -94,10 +94,18 @@ def _(r: Roles):
         'cuenta_corriente_' || source_id AS reference FROM ({_PAYMENTS})""",
 )
 def _(r: Roles):
-    out = L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions)["cash_movements"]
+    out = L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions, r.clients)["cash_movements"]
     return out.select("cash_session_id", "type", "amount", "description", "reference")
 
 
+@query(
+    "account_payments_rejected",
+    f"SELECT source_id AS request_id, 'client_not_found' AS reason FROM ({_ASKED}) WHERE client_id NOT IN (SELECT id FROM clients)",
+)
+def _(r: Roles):
+    return L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions, r.clients)["rejected"]
+
+
 @query(
     "ledger_audit",
     """SELECT id, client_id, CAST(balance + CASE WHEN id % 50 = 0 THEN 1 ELSE 0 END AS DECIMAL(18,2)) AS balance,
@@ -176,7 +184,8 @@ def _(r: Roles):
 def _closings(r: Roles):
     """Counted amounts for every session; those of even ids are still open here."""
     sessions = r.cash_sessions.withColumn("status", F.when(F.col("id") % 2 == 0, "open").otherwise("closed"))
-    part = lambda n: (F.col("id") * n).cast("decimal(10,2)")
+    part_of = lambda c, n: (F.col(c) * n).cast("decimal(10,2)")
+    part = lambda n: part_of("id", n)
     counts = r.cash_sessions.select(
         F.col("id").alias("session_id"),
         F.when(F.col("id") % 4 == 0, F.lit("150.00").cast("decimal(10,2)")).alias("closing_amount"),
@@ -186,10 +195,13 @@ def _closings(r: Roles):
         F.lit("").alias("notes"),
         F.col("opened_at").alias("closed_at"),
     )
-    return C.close_sessions(sessions, r.cash_movements, counts)
+    # every sixth session is counted again an hour later
+    again = counts.filter("session_id % 6 = 0").withColumns({"closing_cash": part_of("session_id", 20), "closed_at": F.expr("closed_at + INTERVAL 1 HOUR")})
+    return C.close_sessions(sessions, r.cash_movements, counts.unionByName(again))
 
 
-_COUNTED = """CASE WHEN id % 3 <> 0 AND id > 0 THEN CAST(id * 15 AS DECIMAL(18,2)) WHEN id % 4 = 0 THEN CAST(150 AS DECIMAL(18,2)) END"""
+_FIRST = "CASE WHEN id % 3 <> 0 AND id > 0 THEN CAST(id * 15 AS DECIMAL(18,2)) WHEN id % 4 = 0 THEN CAST(150 AS DECIMAL(18,2)) END"
+_COUNTED = f"coalesce({_FIRST}, CASE WHEN id % 6 = 0 THEN CAST(id * 20 AS DECIMAL(18,2)) END)"
 
 
 @query(
@@ -205,8 +217,9 @@ def _(r: Roles):
 
 @query(
     "close_sessions_rejected",
-    f"""SELECT id AS session_id, CASE WHEN {_COUNTED} IS NULL THEN 'closing_amount_missing' ELSE 'session_not_open' END AS reason
-    FROM cash_sessions WHERE {_COUNTED} IS NULL OR id % 2 <> 0""",
+    f"""SELECT id AS session_id, CASE WHEN {_FIRST} IS NULL THEN 'closing_amount_missing' ELSE 'session_not_open' END AS reason
+    FROM cash_sessions WHERE {_FIRST} IS NULL OR id % 2 <> 0
+    UNION ALL SELECT id, 'session_not_open' FROM cash_sessions WHERE id % 6 = 0 AND {_FIRST} IS NOT NULL""",
 )
 def _(r: Roles):
     return _closings(r)["rejected"]

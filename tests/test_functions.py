@@ -76,6 +76,20 @@ def test_text_search(spark):
     assert ids("m_r%a") == {1, 2} and ids("ju%n") == {3} and ids("  ") == {1, 2, 3, 4} and ids(None) == {1, 2, 3, 4}
 
 
+def test_one_accent_rule_with_and_without_wildcards(spark):
+    names = ["Nováček", "NOVACEK", "Nova\u0301c\u030cek", "Łukasz Ő", "novak"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, a string")
+    for term in ("acek", "acek%", "a_ek", "ÁČEK"):
+        assert {r.id for r in P.text_search(df, ["a"], term).collect()} == {0, 1, 2}
+    assert {r.id for r in P.text_search(df, ["a"], "sz o").collect()} == {3}
+
+
+def test_key_lists_of_any_length(spark):
+    df = spark.range(5000)
+    assert P.by_keys(df, "id", range(10, 4010)).count() == 4000
+    assert P.by_keys(df, "id", []).count() == 0
+
+
 def test_validity_and_periods(spark):
     d = dt.date(2024, 1, 31)
     rows = [(1, "active", d, d), (2, "active", d - dt.timedelta(9), d - dt.timedelta(1)), (3, "expired", d, d), (4, "active", d + dt.timedelta(1), d + dt.timedelta(2))]

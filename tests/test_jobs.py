@@ -366,6 +366,10 @@ def test_close_session(spark):
         out = cash.close_sessions(open_drawer(spark), m, spark.createDataFrame([row], counts))
         got = out["cash_sessions"].first()
         assert (got.closing_amount, got.expected_amount, got.difference) == want
+    later = (1, D(7), None, None, None, None, T0 + dt.timedelta(hours=1))
+    twice = cash.close_sessions(open_drawer(spark), m, spark.createDataFrame([later, (1, None, None, None, None, None, T0), row], counts))
+    assert [r.closing_amount for r in twice["cash_sessions"].collect()] == [150]
+    assert sorted(tuple(r) for r in twice["rejected"].collect()) == [(1, "closing_amount_missing"), (1, "session_not_open")]
     shut = cash.close_sessions(open_drawer(spark, False), m, spark.createDataFrame([row, (2, None, None, None, None, None, T0)], counts))
     assert {r.session_id: r.reason for r in shut["rejected"].collect()} == {1: "session_not_open", 2: "closing_amount_missing"}
 

@@ -110,3 +110,17 @@ def test_nest_keeps_every_detail_in_order(spark, items):
         got.setdefault(d.id, []).extend((x.id, x.v) for x in d.rows)
     assert set(got) == set(range(45))
     assert {k: v for k, v in got.items() if v} == want
+
+
+def test_adjacent_ids_at_one_instant_spread_over_slices(spark):
+    """A bulk load: 20,000 rows of one key share an instant and have adjacent ids; as many are spread over time."""
+    from molinete.operators import running as R
+
+    load = spark.range(20_000).selectExpr("1 AS k", "id + 10000000 AS id", "timestamp_ntz'2024-01-05 00:00:00' AS ts")
+    rest = spark.range(20_000).selectExpr("1 AS k", "id * 977 AS id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 37) AS ts")
+    for df, order in ((load.union(rest), ["ts", "id"]), (load.union(rest).selectExpr("k", "id", "concat('Venta #', lpad(id, 12, '0')) AS name"), ["name", "id"])):
+        cut, hot = R._cut(df, ["k"], order, 1000)
+        sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+        assert hot.count() == 40_000 and max(sizes) < 2_000 and len(sizes) > 60
+        got = R.running(df, ["k"], order, {"n": R.Running("count")}, hot_rows=1000)
+        assert [r.n for r in got.orderBy(*order).select("n").collect()] == list(range(1, 40_001))
