@@ -95,13 +95,12 @@ def _(r: Roles):
 
 
 def _client_changes(r: Roles):
-    """A change per client and as many new ones; user names clash with others now and then."""
-    key = F.col("c_custkey")
-    base = r.raw("customer").select(key, F.col("c_mktsegment"))
-    both = base.withColumn("_new", F.explode(F.array(F.lit(False), F.lit(True))))
+    """Two changes per client: of the client itself (every third) or of one that is not there yet; user names clash with others now and then."""
+    key, own = F.col("c_custkey"), ~F.col("_new") & (F.col("c_custkey") % 3 == 0)
+    both = r.raw("customer").select(key, "c_mktsegment").withColumn("_new", F.explode(F.array(F.lit(False), F.lit(True))))
     top = r.raw("customer").agg(F.max("c_custkey") + 1).scalar()
-    return both.filter("_new OR c_custkey % 3 = 0").select(
-        (key + F.when(F.col("_new"), top).otherwise(F.lit(0))).alias("id"),
+    return both.select(
+        (key + F.when(F.col("_new"), top).when(own, F.lit(0)).otherwise(2 * top)).alias("id"),
         F.lit("2001-06-15 09:00:00").cast("timestamp_ntz").alias("requested_at"),
         F.when((key % 17 == 0) & (~F.col("_new") | (key % 2 == 0)), F.lit(" "))
         .when(F.col("_new") & ((key % 5 == 0) | (key % 10 == 9)), F.concat(F.lit("CUSTOMER_"), F.lpad(key.cast("string"), 9, "0")))
@@ -111,22 +110,24 @@ def _client_changes(r: Roles):
         F.concat(F.when(F.col("_new"), "N").otherwise("V"), key.cast("string")).alias("dni"),
         F.lit(None).cast("string").alias("phone"),
         (key % 7 != 0).alias("active"),
-        # Old clients deleted in the same batch keep their user names, which new ones ask for.
+        # Clients deleted in the same batch keep their user names, which new ones ask for.
         ((key % 10 == 9) & (~F.col("_new") | (key % 20 == 19))).alias("deleted"),
     )
 
 
 _CLIENT_SQL = """top AS (SELECT max(c_custkey) + 1 AS t FROM customer),
-    ch AS (SELECT c_custkey + CASE WHEN n THEN t ELSE 0 END AS id,
-            CASE WHEN c_custkey % 17 = 0 AND (NOT n OR c_custkey % 2 = 0) THEN ' ' WHEN n AND (c_custkey % 5 = 0 OR c_custkey % 10 = 9) THEN 'CUSTOMER_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')
+    ch AS (SELECT c_custkey + CASE WHEN n THEN t WHEN c_custkey % 3 = 0 THEN 0 ELSE 2 * t END AS id,
+            CASE WHEN c_custkey % 17 = 0 AND (NOT n OR c_custkey % 2 = 0) THEN ' '
+                WHEN n AND (c_custkey % 5 = 0 OR c_custkey % 10 = 9) THEN 'CUSTOMER_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')
                 ELSE (CASE WHEN n THEN 'nuevo' ELSE 'viejo' END) || c_custkey END AS username, c_mktsegment AS name,
-            (CASE WHEN n THEN 'N' ELSE 'V' END) || c_custkey AS dni, c_custkey % 7 <> 0 AS active, c_custkey % 10 = 9 AND (NOT n OR c_custkey % 20 = 19) AS deleted, n
-        FROM customer, top, (VALUES (false), (true)) v(n) WHERE n OR c_custkey % 3 = 0),
+            (CASE WHEN n THEN 'N' ELSE 'V' END) || c_custkey AS dni, c_custkey % 7 <> 0 AS active,
+            c_custkey % 10 = 9 AND (NOT n OR c_custkey % 20 = 19) AS deleted, n OR c_custkey % 3 <> 0 AS fresh
+        FROM customer, top, (VALUES (false), (true)) v(n)),
     judged AS (SELECT ch.*, CASE WHEN NOT deleted AND trim(username) = '' THEN 'username_required'
-            WHEN deleted AND n THEN 'not_found'
+            WHEN deleted AND fresh THEN 'not_found'
             -- Only clients renamed by a change that is itself accepted have given their name up.
             WHEN NOT deleted AND lower(username) IN (SELECT lower(username) FROM clients WHERE id NOT IN
-                (SELECT id FROM ch WHERE NOT n AND NOT deleted AND trim(username) <> ''))
+                (SELECT id FROM ch WHERE NOT fresh AND NOT deleted AND trim(username) <> ''))
             THEN 'username_taken' END AS reason FROM ch)"""
 
 _SLIM = ("id", "username", "name", "dni", "phone", "active")
@@ -220,12 +221,13 @@ def _(r: Roles):
 @query(
     "delete_products_blocked",
     """SELECT id, 'sale_items' AS "table", 'product_id' AS "column" FROM products
-    WHERE id % 2 = 0 AND id IN (SELECT product_id FROM sale_items WHERE quantity > 49)""",
+    WHERE id % 2 = 0 AND id IN (SELECT CASE WHEN quantity > 49 THEN product_id END FROM sale_items)""",
 )
 def _(r: Roles):
     tables = {
         "products": r.products,
-        "sale_items": r.sale_items.filter("quantity > 49"),
+        # small lines name no product, so that some products are free
+        "sale_items": r.sale_items.withColumn("product_id", F.when(F.col("quantity") > 49, F.col("product_id"))),
         "stock_movements": r.stock_movements.withColumn("id", F.col("source_id")),
     }
     return X.delete_with_propagation(tables, "products", r.products.filter("id % 2 = 0").select("id"))["blocked"]

@@ -202,20 +202,16 @@ def _(r: Roles):
 
 
 def _reminders(r: Roles):
-    """A reminder request per click and view event, for the day ``value`` falls on."""
-    return (
-        r.raw("events")
-        .filter(F.col("event_type").isin("click", "view"))
-        .select(
-            F.col("event_id").alias("request_id"),
-            (F.col("event_id") + F.col("user_id")).alias("membership_id"),
-            (F.col("event_id") % 8).cast("int").alias("days_remaining"),
-        )
+    """A reminder request per event, for one of eight days."""
+    return r.raw("events").select(
+        F.col("event_id").alias("request_id"),
+        (F.col("event_id") + F.col("user_id")).alias("membership_id"),
+        (F.col("event_id") % 8).cast("int").alias("days_remaining"),
     )
 
 
 _SENT = """SELECT event_id AS request_id, event_id + user_id AS membership_id, event_id % 8 AS days_remaining
-    FROM events WHERE event_type IN ('click', 'view')"""
+    FROM events"""
 
 
 @query(
@@ -372,8 +368,11 @@ def enrol_requests(r: Roles):
 
 
 def _enrolled(r: Roles):
-    # Plans with few instructors, so that all three instructor rules occur.
-    pairs = r.plan_instructors.filter("instructor_id < 4 AND plan_id % 3 = instructor_id % 3")
+    # All pairs, moved to every third plan and to three instructors: plans with none, one and several, so that all three instructor rules occur.
+    pairs = r.plan_instructors.selectExpr(
+        "plan_id - plan_id % 3 AS plan_id",
+        "CASE WHEN plan_id % 6 < 3 THEN plan_id div 6 % 3 + 1 ELSE instructor_id % 3 + 1 END AS instructor_id",
+    ).distinct()
     return M.enrol(
         enrol_requests(r),
         r.clients,
@@ -386,7 +385,8 @@ def _enrolled(r: Roles):
     )
 
 
-_JUDGED = f"""pairs AS (SELECT * FROM plan_instructors WHERE instructor_id < 4 AND plan_id % 3 = instructor_id % 3),
+_JUDGED = f"""pairs AS (SELECT DISTINCT plan_id - plan_id % 3 AS plan_id,
+            CASE WHEN plan_id % 6 < 3 THEN plan_id // 6 % 3 + 1 ELSE instructor_id % 3 + 1 END AS instructor_id FROM plan_instructors),
     per_plan AS (SELECT plan_id, count(*) AS n, min(instructor_id) AS sole FROM pairs GROUP BY plan_id),
     req AS (SELECT o_orderkey AS id, o_orderdate AS asked_at, o_custkey AS client_id, o_orderkey % 200 AS plan_id,
             CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 10 END AS asked,

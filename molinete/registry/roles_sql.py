@@ -39,14 +39,15 @@ ROLE_SQL = {
         FROM orders JOIN part ON p_partkey = o_orderkey % 200""",
     "membership_due": """SELECT m.id, m.payment_method,
         CAST(greatest(0, p.price - m.discount) + CASE WHEN m.id % 17 = 0 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS total
-        FROM memberships m JOIN plans p ON p.id = m.plan_id WHERE m.id % 3 <> 0""",
-    "membership_payments": """SELECT id AS membership_id, payment_method, total AS amount,
+        FROM memberships m JOIN plans p ON p.id = m.plan_id""",
+    "membership_payments": """SELECT * REPLACE (CASE WHEN membership_id % 3 = 0 THEN -membership_id ELSE membership_id END AS membership_id) FROM (
+        SELECT id AS membership_id, payment_method, total AS amount,
             CASE WHEN payment_method <> 'current_account' THEN id END AS cash_movement_id
         FROM membership_due WHERE payment_method <> 'combined'
         UNION ALL SELECT id, 'cash', CAST(round(total * 0.40, 2) AS DECIMAL(12,2)), id
         FROM membership_due WHERE payment_method = 'combined'
         UNION ALL SELECT id, 'transfer', CAST(total - round(total * 0.40, 2) AS DECIMAL(12,2)), id
-        FROM membership_due WHERE payment_method = 'combined'""",
+        FROM membership_due WHERE payment_method = 'combined')""",
     "sales": f"""SELECT o_orderkey AS id, o_orderkey % 25 AS user_id,
         CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS client_id, o_orderkey % 30 AS cash_session_id,
         CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2', '3') THEN o_orderkey END AS cash_movement_id,

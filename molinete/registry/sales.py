@@ -231,8 +231,8 @@ def _cancelled(r: Roles):
         (F.col("o_orderkey") - F.col("o_orderkey") % 2).alias("sale_id"),
         (F.col("o_orderkey") % 25).alias("created_by"),
     )
-    # Sales without payment rows exercise the header fallback.
-    payments = r.sale_payments.filter("sale_id % 4 <> 0")
+    # Payment rows that belong to no sale leave every fourth sale its header alone.
+    payments = r.sale_payments.withColumn("sale_id", F.when(F.col("sale_id") % 4 == 0, -F.col("sale_id")).otherwise(F.col("sale_id")))
     return S.cancel_sales(
         requests, r.sales, r.sale_items, payments, r.cash_movements, _sessions_one_open(r), r.current_account
     )
@@ -250,7 +250,7 @@ _CANCEL = """req AS (SELECT o_orderkey AS request_id, o_orderdate AS asked_at, o
             WHEN row_number() OVER (PARTITION BY r.sale_id ORDER BY r.asked_at, r.request_id) > 1 THEN 'sale_already_cancelled' END AS reason
         FROM req r LEFT JOIN sales s ON s.id = r.sale_id),
     good AS (SELECT * FROM judged WHERE reason IS NULL),
-    rows AS (SELECT * FROM sale_payments WHERE sale_id % 4 <> 0),
+    rows AS (SELECT * REPLACE (CASE WHEN sale_id % 4 = 0 THEN -sale_id ELSE sale_id END AS sale_id) FROM sale_payments),
     paid AS (SELECT g.*, p.payment_method AS method, p.amount, p.cash_movement_id AS movement FROM good g JOIN rows p ON p.sale_id = g.sale_id
         UNION ALL SELECT g.*, g.header_method, g.total, g.header_movement FROM good g WHERE g.sale_id NOT IN (SELECT sale_id FROM rows))"""
 

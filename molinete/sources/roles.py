@@ -169,16 +169,16 @@ class Roles:
 
     @cached_property
     def membership_payments(self) -> DataFrame:
-        """Payment rows of two memberships in three; the rest have only their header."""
+        """Payment rows of two memberships in three; those of the others name no membership, which leaves these their header alone."""
         price = self.plans.select(F.col("id").alias("_plan"), "price")
         due = F.greatest(F.lit(0).cast("decimal(12,2)"), money(F.col("price") - F.col("discount")))
         off = F.when(F.col("id") % 17 == 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(12,2)")
         headers = (
-            self.memberships.filter(F.col("id") % 3 != 0)
-            .join(price, F.col("plan_id") == F.col("_plan"))
+            self.memberships.join(price, F.col("plan_id") == F.col("_plan"))
             .select("id", "payment_method", money(due + off).alias("total"))
         )
-        return split_payments(headers, "membership_id")
+        rows = split_payments(headers, "membership_id")
+        return rows.withColumn("membership_id", F.when(F.col("membership_id") % 3 == 0, -F.col("membership_id")).otherwise(F.col("membership_id")))
 
     @cached_property
     def sales(self) -> DataFrame:
