@@ -41,15 +41,35 @@ def cover_by_day(memberships: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def attribute_entries(
-    entries: DataFrame, memberships: DataFrame, *, ts: str = "entered_at", how: str = "left"
+    entries: DataFrame, memberships: DataFrame, *, ts: str = "entered_at", how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Each entry with the client's membership in force that day, latest ``end_date`` first.
 
-    ``how='left'`` keeps entries without one; ``'inner'`` drops them.
+    Membership starts and entries stand in one order of time per client. The greatest ``(end_date, id)`` of the memberships started so far is the
+    answer if it ends on or after the day; if it does not, none is in force. ``how='left'`` keeps entries without one; ``'inner'`` drops them.
     """
-    dated = entries.drop("membership_id").withColumn("entry_day", F.to_date(ts))
-    span = entries.agg(F.to_date(F.min(ts)).alias("first"), F.to_date(F.max(ts)).alias("last"))
-    return dated.join(cover_by_day(memberships, span), ["client_id", "entry_day"], how)
+    row = F.struct(*[F.col(c) for c in entries.columns if c not in ("membership_id", "client_id")])
+    ending = F.struct("end_date", F.col("id").cast("bigint").alias("membership_id"))
+    swipes = entries.select("client_id", F.col(ts).cast("timestamp_ntz").alias("_t"), F.col("id").cast("bigint").alias("_seq"), row.alias("_row"))
+    swipes = swipes.withColumn("_m", F.lit(None).cast("struct<end_date:date,membership_id:bigint>"))
+    started = memberships.filter("status = 'active' AND client_id IS NOT NULL AND start_date IS NOT NULL").select(
+        "client_id",
+        F.col("start_date").cast("timestamp_ntz").alias("_t"),
+        F.lit(-(1 << 63)).cast("bigint").alias("_seq"),  # a membership counts for an entry at the very start of its first day
+        F.lit(None).cast(swipes.schema["_row"].dataType).alias("_row"),
+        ending.alias("_m"),
+    )
+    out = running(swipes.unionByName(started), ["client_id"], ["_t", "_seq"], {"_best": Running("max", F.col("_m"))}, hot_rows=hot_rows)
+    day = F.to_date(F.col(f"_row.{ts}"))
+    covered = F.col("_best.end_date") >= day
+    found = out.filter("_row IS NOT NULL").select(
+        "client_id",
+        day.alias("entry_day"),
+        *[F.col(f"_row.{c}").alias(c) for c in entries.columns if c not in ("membership_id", "client_id")],
+        F.when(covered, F.col("_best.membership_id")).alias("membership_id"),
+        F.when(covered, F.col("_best.end_date")).alias("membership_end_date"),
+    )
+    return found.filter("membership_id IS NOT NULL") if how == "inner" else found
 
 
 def entry_gaps(entries: DataFrame, *, ts: str = "entered_at", hot_rows: int = HOT_ROWS) -> DataFrame:

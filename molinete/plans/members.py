@@ -36,6 +36,7 @@ from molinete.operators.rows import apply_updates, enrich, latest_per_key, pagin
 from molinete.plans.cash import open_session
 from molinete.operators.running import HOT_ROWS, Running, running, size_probe
 from molinete.plans.ledger import latest_balances, post_to_ledger
+from molinete.session import durable
 from molinete.schema import DRAWER_METHODS, PAYMENT_METHODS, REMINDER_DAYS
 
 Day = date | str
@@ -283,7 +284,8 @@ def register_entries(
     """
     known = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_known"))
     judged = attribute_entries(swipes, memberships).join(known, "client_id", "left")
-    judged = judged.withColumn("_cooled", F.coalesce(F.col("_known") & F.col("membership_id").isNotNull(), F.lit(False)))
+    # Written once: the cooldown reads its swipes several times, and their judgement is not to be worked out anew each time.
+    judged = durable(judged.withColumn("_cooled", F.coalesce(F.col("_known") & F.col("membership_id").isNotNull(), F.lit(False))))
     both = entry_cooldown(judged, minutes=minutes, last_entries=last_entries, eligible=F.col("_cooled"))
     earlier = Running("max", F.when(F.col("accepted"), F.col("entered_at")), inclusive=False)
     sizes = size_probe(swipes, ["client_id"])

@@ -285,47 +285,52 @@ def conflicts_with_state(changes: DataFrame, state: DataFrame, column: str, *, k
     return mine.join(held, clash, "left_semi").drop("_text")
 
 
+def unchecked(tables: Mapping[str, DataFrame]) -> dict[str, list[tuple[str, str]]]:
+    """The declared foreign keys and domains, as (table, column), that :func:`fk_audit` and :func:`domain_audit` cannot check with these tables."""
+    has = lambda table, column: table in tables and column in tables[table].columns
+    return {
+        "foreign_keys": [(k.child, k.column) for k in FOREIGN_KEYS if k.parent not in tables or not has(k.child, k.column)],
+        "domains": [(name, column) for name, column in DOMAINS if not has(name, column)],
+    }
+
+
+def _stacked(table: DataFrame, entries: Sequence[Column]) -> DataFrame:
+    """The table read once, one row per entry."""
+    return table.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+
+
 def fk_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Values of declared foreign keys without a parent row, and how many rows hold each.
+    """Values of declared foreign keys without a parent row, and how many rows hold each; see :func:`unchecked` for what is left out.
 
-    Children are reduced to distinct values first, so the anti join sees keys, not facts.
+    Each table is read once as a child, all its keys stacked and reduced to distinct values before they are shuffled, and once as a parent.
     """
-    parts = []
-    for k in FOREIGN_KEYS:
-        if k.child not in tables or k.parent not in tables or k.column not in tables[k.child].columns:
-            continue
-        values = (
-            tables[k.child]
-            .filter(F.col(k.column).isNotNull())
-            .groupBy(F.col(k.column).cast("bigint").alias("value"))
-            .agg(F.count(F.lit(1)).alias("rows_affected"))
-        )
-        parents = tables[k.parent].select(F.col("id").alias("value"))
-        parts.append(
-            values.join(parents, "value", "left_anti").select(
-                F.lit(k.child).alias("child"),
-                F.lit(k.column).alias("column"),
-                F.lit(k.parent).alias("parent"),
-                "value",
-                "rows_affected",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    skipped = set(unchecked(tables)["foreign_keys"])
+    checked = [k for k in FOREIGN_KEYS if (k.child, k.column) not in skipped]
+    values = []
+    for child in dict.fromkeys(k.child for k in checked):
+        keys = [
+            F.struct(F.lit(child).alias("child"), F.lit(k.column).alias("column"), F.lit(k.parent).alias("parent"), F.col(k.column).cast("bigint").alias("value"))
+            for k in checked
+            if k.child == child
+        ]
+        values.append(_stacked(tables[child], keys))
+    held = reduce(DataFrame.unionByName, values).filter("value IS NOT NULL").groupBy("child", "column", "parent", "value").agg(F.count(F.lit(1)).alias("rows_affected"))
+    parents = [tables[p].select(F.lit(p).alias("parent"), F.col("id").cast("bigint").alias("value")) for p in dict.fromkeys(k.parent for k in checked)]
+    orphans = held.join(reduce(DataFrame.unionByName, parents), ["parent", "value"], "left_anti")
+    return orphans.select("child", "column", "parent", "value", "rows_affected")
 
 
 def domain_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Values outside their declared domain, and how many rows hold each."""
+    """Values outside their declared domain, and how many rows hold each; each table is read once."""
+    skipped = set(unchecked(tables)["domains"])
     parts = []
-    for (name, column), domain in DOMAINS.items():
-        if name not in tables or column not in tables[name].columns:
-            continue
-        parts.append(
-            tables[name]
-            .filter(F.col(column).isNotNull() & ~F.col(column).isin(*domain))
-            .groupBy(F.col(column).alias("value"))
-            .agg(F.count(F.lit(1)).alias("rows_affected"))
-            .select(F.lit(name).alias("table"), F.lit(column).alias("column"), "value", "rows_affected")
-        )
+    for name in dict.fromkeys(n for n, c in DOMAINS if (n, c) not in skipped):
+        entries = [
+            F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.when(~F.col(c).isin(*domain), F.col(c).cast("string")).alias("value"))
+            for (n, c), domain in DOMAINS.items()
+            if n == name and (n, c) not in skipped
+        ]
+        parts.append(_stacked(tables[name], entries).filter("value IS NOT NULL").groupBy("table", "column", "value").agg(F.count(F.lit(1)).alias("rows_affected")))
     return reduce(DataFrame.unionByName, parts)
 
 
