@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from molinete.registry import QUERIES  # noqa: E402
-from molinete.session import local_session  # noqa: E402
+from molinete.session import local_session, scratch  # noqa: E402
 
 HEADLINE = (
     "top_clients_by_entries",
@@ -47,7 +47,8 @@ def main() -> None:
         taken = []
         for _ in range(runs + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+            with scratch(spark):
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(taken[1:]), 3)
         print(name, seconds[name], file=sys.stderr, flush=True)

@@ -7,9 +7,12 @@ request is taken whole or not at all.
 Each round bounds the stock in front of every undecided line: from below as if
 all earlier undecided withdrawals were accepted and no earlier undecided receipt,
 from above the other way round. A line that fits the lower bound fits for certain,
-one that fails the upper bound fails for certain. The earliest undecided request
-has equal bounds, so every round decides at least that one and in practice nearly
-all; the rest goes to the next round. Rounds are cut with a checkpoint.
+one that fails the upper bound fails for certain. Two such rounds decide nearly all.
+
+What is still open waits for scarce items. Requests that share none, not even through others, do not
+touch one another, so the open ones fall into connected components, and each component is folded
+in request order: its first ``CHAIN`` requests are decided exactly at once. A chain of scarce items so costs
+a round for every ``CHAIN`` links, and bounds settle what a long one leaves. Rounds are cut with a written table.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molinete.operators.running import HOT_ROWS, Running, running, size_probe
+from molinete.operators.components import components
+from molinete.operators.running import HOT_ROWS, Running, row_numbers, running, size_probe
 from molinete.session import durable
 
 ORDER = ["requested_at", "request_id"]
 LEVEL = "decimal(20,3)"
+CHAIN = 500  # requests of a component that are folded exactly in one round
 HEAD = 1_000  # lines per item that are folded exactly in one round (single-line requests)
 
 
@@ -69,6 +74,39 @@ def _by_request(bounded: DataFrame) -> DataFrame:
     return bounded.select(*_LINE).join(verdicts, "request_id")
 
 
+def _by_component(bounded: DataFrame, hot_rows: int) -> DataFrame:
+    """Open lines with their state: the first ``CHAIN`` requests of every connected component are folded exactly."""
+    request, item = F.col("request_id") * 2, F.col("item_id") * 2 + 1
+    roots = components(bounded.select(request.alias("a"), item.alias("b"))).withColumnRenamed("root", "component")
+    line = F.struct("item_id", "delta", "guarded", "dry", "base")
+    whole = bounded.groupBy(*ORDER).agg(F.collect_list(line).alias("lines")).join(roots, request == F.col("node")).drop("node")
+    turns = durable(row_numbers(whole, ["component"], ORDER, "turn", hot_rows=hot_rows))
+    chains = (
+        turns.filter(F.col("turn") <= CHAIN)
+        .groupBy("component")
+        .agg(F.sort_array(F.collect_list(F.struct(*ORDER, "lines"))).alias("requests"))
+        .withColumn("items", F.array_distinct(F.flatten(F.transform("requests", lambda r: F.transform(r["lines"], lambda x: x["item_id"])))))
+    )
+    zero = F.lit(0).cast(LEVEL)
+    at = lambda x: F.array_position("items", x["item_id"])
+    start = F.struct(F.transform("items", lambda _: zero).alias("extra"), F.array().cast("array<boolean>").alias("taken"))
+
+    def step(s: Column, r: Column) -> Column:
+        take = F.forall(r["lines"], lambda x: ~x["guarded"] | (x["base"] + F.element_at(s["extra"], at(x).cast("int")) + x["delta"] >= 0))
+
+        def moved(extra: Column, x: Column) -> Column:
+            return F.transform(extra, lambda v, i: _level(v + F.when((i + 1 == at(x)) & ~x["dry"], x["delta"]).otherwise(zero)))
+
+        return F.struct(F.when(take, F.aggregate(r["lines"], s["extra"], moved)).otherwise(s["extra"]).alias("extra"), F.concat(s["taken"], F.array(take)).alias("taken"))
+
+    decided = (
+        chains.withColumn("taken", F.aggregate("requests", start, step, lambda s: s["taken"]))
+        .select(F.inline(F.arrays_zip(F.col("requests.request_id").alias("request_id"), "taken")))
+        .select("request_id", F.when(F.col("taken"), "accepted").otherwise("rejected").alias("verdict"))
+    )
+    return bounded.select(*_LINE).join(decided, "request_id", "left").select(*_LINE, F.coalesce("verdict", F.lit("open")).alias("state"))
+
+
 def _by_line(bounded: DataFrame) -> DataFrame:
     """Single-line requests: the first lines of every item are folded exactly, the others use their bounds."""
     loose = bounded.filter(F.col("_ahead") >= HEAD).withColumn(
@@ -113,10 +151,14 @@ def admit(
         )
     )
     sizes = size_probe(work, ["item_id"])
-    decided = []
+    decided, turn = [], 0
     while True:
         bounded = _bounded(work, hot_rows, sizes)
-        judged = durable(_by_line(bounded) if single_line else _by_request(bounded))
+        if single_line:
+            judged = _by_line(bounded)
+        else:  # two rounds of bounds, then a fold, and so on
+            judged = _by_component(durable(bounded), hot_rows) if turn % 3 == 2 else _by_request(bounded)
+        judged, turn = durable(judged), turn + 1
         decided.append(
             judged.filter("state <> 'open'").select("request_id", (F.col("state") == "accepted").alias("accepted"))
         )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,14 +53,43 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder below the checkpoint folder that takes all tables written by :func:`durable` inside the block and goes with it.
+
+    Results must be consumed (written, counted) before the block ends, as they may read what was written.
+    """
+    path = f"{checkpoint_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.remove(path)
+        remove(spark, path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the innermost :func:`scratch` folder, else the checkpoint folder."""
+    return _SCRATCH[-1] if _SCRATCH else checkpoint_folder(spark)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
     Used between the rounds of an iterative job and where a result must not be
     worked out twice: a lost executor costs a re-read, not a replay of all earlier
     rounds. A written table also starts the next plan afresh, with its true size and
-    none of the constraints that ``checkpoint()`` carries along and multiplies.
+    none of the constraints that ``checkpoint()`` carries along and multiplies. Inside :func:`scratch` it goes with the block.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ from molinete.functions.scalars import expense, income, signed_amount
 from molinete.operators.attendance import COOLDOWN_MINUTES
 from molinete.operators.rows import latest_per_key
 from molinete.plans.members import register_entries
-from molinete.session import checkpoint_folder
+from molinete.session import work_folder
 
 TOTAL = "decimal(38,2)"
 GATE_SCHEMA = "id bigint, client_id bigint, sec bigint, membership_id bigint, accepted boolean, reason string, next_allowed bigint"
@@ -176,7 +176,7 @@ def run_available(stream: DataFrame, *, mode: str, keys: list[str] | None = None
     current value.
     """
     spark = stream.sparkSession
-    base = folder or f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = folder or f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def write(batch: DataFrame, epoch: int) -> None:

@@ -143,3 +143,16 @@ def test_sale_item_messages(spark):
     r = Q.apply_rules(df, Q.sale_rules()).select(Q.item_errors().alias("i"), Q.first_error().alias("e")).first()
     assert r.i == ["El item 1 debe tener product_id", "El item 2 debe tener cantidad mayor a 0"]
     assert r.e == "Cada item debe tener product_id y cantidad mayor a 0"
+
+
+def test_scratch_takes_its_tables_with_it(spark):
+    import os
+
+    from molinete.session import durable, scratch
+
+    with scratch(spark) as folder:
+        assert durable(spark.range(5)).count() == 5 and os.listdir(folder)
+        with scratch(spark) as inner:
+            durable(spark.range(1))
+        assert not os.path.exists(inner) and os.path.exists(folder)
+    assert not os.path.exists(folder)

@@ -393,3 +393,28 @@ def test_reminders_and_expiry(spark):
         3: "day_out_of_range", 4: "membership_not_active", 5: "membership_not_active"}
     again = members.reminder_worklist(out["memberships"], clients, plans, as_of=AS_OF).collect()
     assert [r.days_remaining for r in again] == [1, 3]
+
+
+def test_a_chain_of_scarce_items_takes_few_rounds(spark, monkeypatch):
+    """Request i takes one of items i and i + 1, of which there is one each: every other request is accepted."""
+    from molinete.operators import admission
+
+    n, rounds = 400, []
+    bounded = admission._bounded
+    monkeypatch.setattr(admission, "_bounded", lambda *a: rounds.append(1) or bounded(*a))
+    lines = [(i, T0 + dt.timedelta(minutes=i), i + k, D(-1), True) for i in range(n) for k in (0, 1)]
+    lines += [(1000 + i, T0 + dt.timedelta(minutes=n - i), 5000 + i + k, D(-1), True) for i in range(3) for k in (0, 1)]
+    stock = [(i, D(1)) for i in [*range(n + 1), *range(5000, 5004)]]
+    got = admission.admit(
+        spark.createDataFrame(lines, "request_id bigint, requested_at timestamp_ntz, item_id bigint, delta decimal(12,3), guarded boolean"),
+        spark.createDataFrame(stock, "item_id bigint, stock decimal(12,3)"),
+    )
+    assert {r.request_id: r.accepted for r in got.collect()} == {**{i: i % 2 == 0 for i in range(n)}, 1000: True, 1001: False, 1002: True}
+    assert len(rounds) <= 4
+    monkeypatch.setattr(admission, "CHAIN", 60)
+    rounds.clear()
+    again = admission.admit(
+        spark.createDataFrame(lines, "request_id bigint, requested_at timestamp_ntz, item_id bigint, delta decimal(12,3), guarded boolean"),
+        spark.createDataFrame(stock, "item_id bigint, stock decimal(12,3)"),
+    )
+    assert sum(r.accepted for r in again.collect()) == n // 2 + 2 and len(rounds) <= 3 * (n // 60 + 1)
