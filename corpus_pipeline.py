@@ -13,7 +13,7 @@ from molinete.llm.mixing import mixed_documents
 from molinete.llm.packing import pack_documents
 from molinete.llm.simhash import drop_near_copies
 from molinete.llm.toxicity import drop_toxic, fit_toxicity
-from molinete.session import checkpoint_folder
+from molinete.session import work_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written as Parquet and read again as the next one's input."""
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for place, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
         docs = spark.read.parquet(f"{folder}/{place}")
