@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from molinete.session import durable
 
-__all__ = ["SPACE", "WORD", "durable", "fresh", "held_out", "read", "running_before", "spread", "word_count"]
+__all__ = ["WORD", "durable", "fresh", "held_out", "read", "running_before", "text_of", "word_count"]
 
 #: White space is these six ASCII characters and nothing else; a word is a run of anything else.
-SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,11 +46,6 @@ def word_count(column: Column | str) -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly, for tables whose files are fewer than the cluster's tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def running_before(
     df: DataFrame, key: Sequence[str], order: Sequence[str], slice_of: Column, value: str, out: str, per_key: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
