@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,17 +24,31 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class Postings:
+    """Documents as they come in: word numbers and their times, in compact arrays; no document's own words are kept."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.number: dict[bytes, int] = {}
+        self.word, self.times, self.sizes = array("i"), array("i"), array("q")
+
+    def add(self, name: int | None, text: bytes) -> None:
+        tally, number = Counter(words_of(text)), self.number
+        self.ids.append(name)
+        self.word.extend([number.setdefault(w, len(number)) for w in tally])
+        self.times.extend(tally.values())
+        self.sizes.append(len(tally))
+
+
 class Shard:
     """An inverted index of some documents, whose impacts are BM25 without the weight of the word."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], mean_length: float, k1: float, b: float):
-        tallies = [Counter(words_of(t)) for t in texts]
-        n = len(tallies)
-        number: dict[bytes, int] = {}
-        word = np.fromiter((number.setdefault(w, len(number)) for t in tallies for w in t), np.int32)
-        times = np.fromiter((c for t in tallies for c in t.values()), np.float64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in tallies])
-        length = np.array([sum(t.values()) for t in tallies], np.float64)
+    def __init__(self, postings: Postings, mean_length: float, k1: float, b: float):
+        ids, number, n = postings.ids, postings.number, len(postings.ids)
+        word, times = np.frombuffer(postings.word, np.int32) if len(postings.word) else np.zeros(0, np.int32), np.array(postings.times, np.float64)
+        sizes = np.array(postings.sizes, np.int64)
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        length = np.bincount(doc, times, n)
         scale = k1 * (1 - b + b * length / max(mean_length, 1e-9))
         exact = times * (k1 + 1) / (times + scale[doc])
         impact = exact.astype(np.float32)
@@ -42,7 +57,9 @@ class Shard:
         by_spread = np.argsort(-spread, kind="stable")
         place = np.empty(len(number), np.int32)
         place[by_spread] = np.arange(len(number))
-        self.place = dict(zip(number, place.tolist(), strict=True))
+        for w, at in zip(number, place.tolist(), strict=True):
+            number[w] = at
+        self.place = number
         word = place[word]
         dense = np.zeros((n, FREQUENT), np.float32)
         top = word < FREQUENT
@@ -59,7 +76,7 @@ class Shard:
         self.block = np.arange(n) // BLOCK
         self.maxima = np.ascontiguousarray(np.maximum.reduceat(self.dense, starts, axis=0).T) if n else np.zeros((FREQUENT, 0), np.float32)
         # By document, in full precision, for the final scores.
-        self.by_doc = np.concatenate([[0], np.cumsum([len(t) for t in tallies])]).astype(np.int64)
+        self.by_doc = np.concatenate([[0], np.cumsum(sizes)])
         self.source, self.word, self.exact, self.position = order, word, exact, np.full(len(number), -1, np.int32)
         rare = ~top
         word, doc, impact = word[rare], rank[doc[rare]], impact[rare]
@@ -125,7 +142,7 @@ class Shard:
 
 
 def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text: str) -> tuple[DataFrame, int, float]:
-    """``(query_id, words, weights)`` with weights from statistics of all documents; the number of documents and their mean length."""
+    """``(query_id, words, weights)``, the words joined by spaces and the weights as 64-bit floats, from statistics of all documents; the number of documents and their mean length."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows, total = Counter(), 0, 0
@@ -144,6 +161,12 @@ def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text:
                 seen, rows, total = Counter(), 0, 0
         yield flush()
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [b" ".join(w) for w in batch.column(1).to_pylist()]
+            weights = [np.array(w, "<f8").tobytes() for w in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(weights, pa.binary())], ["query_id", "words", "weights"])
+
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [Counter(words_of(b)) for b in batch.column(1).to_pylist()]
@@ -160,7 +183,8 @@ def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text:
     idf = F.log1p((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     named = each.select("row", "query_id", F.col("t.words").alias("word"), F.col("t.times").alias("times")).join(spread, "word")
     grouped = named.groupBy("row").agg(F.first("query_id").alias("query_id"), F.sort_array(F.collect_list(F.struct("word", (F.col("times") * idf).alias("weight")))).alias("t"))
-    return durable(grouped.select("query_id", F.col("t.word").alias("words"), F.col("t.weight").alias("weights"))), n, length / max(1, n)
+    rows = grouped.select("query_id", F.col("t.word").alias("words"), F.col("t.weight").alias("weights"))
+    return durable(rows.mapInArrow(packed, "query_id bigint, words binary, weights binary")), n, length / max(1, n)
 
 
 def top_documents(
@@ -183,30 +207,26 @@ def top_documents(
         F.lit(0).alias("kind"),
         F.col(doc_id).cast("long").alias("id"),
         text_of(text).cast("binary").alias("body"),
-        F.lit(None).cast("array<binary>").alias("words"),
-        F.lit(None).cast("array<double>").alias("weights"),
-    )
-    asked = weighted.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.lit(None).cast("binary").alias("body"), "words", "weights"
+        F.lit(None).cast("binary").alias("weights"),
     )
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = weighted.select(everywhere, F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("words").alias("body"), "weights")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, texts, index = None, [], [], None
+        now, postings, index = None, Postings(), None
         for batch in batches:
             out: list[tuple[np.ndarray, np.ndarray, list[bool], int | None]] = []
             columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "id")]
             for i, (part, is_query, name) in enumerate(zip(*columns, strict=True)):
                 if part != now:
-                    now, ids, texts, index = part, [], [], None
+                    now, postings, index = part, Postings(), None
+                body = batch.column("body")[i].as_py()
                 if not is_query:
-                    ids.append(name)
-                    texts.append(batch.column("body")[i].as_py())
+                    postings.add(name, body)
                     continue
                 if index is None:
-                    index = Shard(ids, texts, mean_length, k1, b)
-                    ids, texts = [], []
-                words, weights = batch.column("words")[i].as_py(), batch.column("weights")[i].values.to_numpy()
-                place, score = index.top(words, weights, k)
+                    index, postings = Shard(postings, mean_length, k1, b), Postings()
+                place, score = index.top(body.split(b" "), np.frombuffer(batch.column("weights")[i].as_py(), "<f8"), k)
                 order = np.lexsort((index.ids[place], -score))[:k]
                 place = place[order]
                 out.append((score[order], index.ids[place], index.nameless[place].tolist(), name))
