@@ -8,13 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; its most frequent words, which have block maxima; documents of a block; candidates scored at a time.
-SHARD, FREQUENT, BLOCK, CHUNK = 8192, 512, 64, 256
+SHARD, FREQUENT, BLOCK, CHUNK = 12_288, 96, 64, 128
 #: Room for the rounding of single-precision sums when bounds are compared with the threshold.
 _SLACK = 1e-3
 
@@ -45,13 +45,12 @@ class Shard:
 
     def __init__(self, postings: Postings, mean_length: float, k1: float, b: float):
         ids, number, n = postings.ids, postings.number, len(postings.ids)
-        word, times = np.frombuffer(postings.word, np.int32) if len(postings.word) else np.zeros(0, np.int32), np.array(postings.times, np.float64)
+        word, times = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (postings.word, postings.times))
         sizes = np.array(postings.sizes, np.int64)
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         length = np.bincount(doc, times, n)
-        scale = k1 * (1 - b + b * length / max(mean_length, 1e-9))
-        exact = times * (k1 + 1) / (times + scale[doc])
-        impact = exact.astype(np.float32)
+        self.k1, self.scale = k1, k1 * (1 - b + b * length / max(mean_length, 1e-9))
+        impact = times * np.float32(k1 + 1) / (times + self.scale.astype(np.float32)[doc])
         # Words by falling document frequency; documents by the frequent word that marks them most, so that a block is of a kind.
         spread = np.bincount(word, minlength=len(number))
         by_spread = np.argsort(-spread, kind="stable")
@@ -75,9 +74,9 @@ class Shard:
         starts = np.arange(0, n, BLOCK)
         self.block = np.arange(n) // BLOCK
         self.maxima = np.ascontiguousarray(np.maximum.reduceat(self.dense, starts, axis=0).T) if n else np.zeros((FREQUENT, 0), np.float32)
-        # By document, in full precision, for the final scores.
+        # By document, for the final scores.
         self.by_doc = np.concatenate([[0], np.cumsum(sizes)])
-        self.source, self.word, self.exact, self.position = order, word, exact, np.full(len(number), -1, np.int32)
+        self.source, self.word, self.times, self.position = order, word, times, np.full(len(number), -1, np.int32)
         rare = ~top
         word, doc, impact = word[rare], rank[doc[rare]], impact[rare]
         sort = np.argsort(word, kind="stable")
@@ -92,7 +91,7 @@ class Shard:
         while its bound reaches it.
         """
         found = np.fromiter(map(self.place.get, words, (-1 for _ in words)), np.int64, len(words))
-        known = found >= 0
+        known, every = found >= 0, weights
         found, weights = found[known], weights[known]
         frequent = found < FREQUENT
         n = len(self.ids)
@@ -124,25 +123,26 @@ class Shard:
             first_part = max(CHUNK, first_part * 2)
         if not len(best_at):
             return best_at, best
-        return best_at, self._score(best_at, found, np.flatnonzero(known), weights, len(words))
+        return best_at, self._score(best_at, found, np.flatnonzero(known), every, len(words))
 
     def _score(self, places: np.ndarray, found: np.ndarray, position: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
         """Scores in double precision, summed in the order of the query's words, so that equal texts tie in every shard."""
-        self.position[found] = np.arange(len(found))
+        self.position[found] = position
         out = np.empty(len(places))
         for i, place in enumerate(self.source[places].tolist()):
-            part = slice(self.by_doc[place], self.by_doc[place + 1])
-            at = self.position[self.word[part]]
-            hit = at >= 0
+            start, end = self.by_doc[place], self.by_doc[place + 1]
+            at = self.position[self.word[start:end]]
+            hit = np.flatnonzero(at >= 0)
+            at, times = at[hit], self.times[start:end][hit]
             each = np.zeros(width)
-            each[position[at[hit]]] = self.exact[part][hit] * weights[at[hit]]
+            each[at] = times * (self.k1 + 1) / (times + self.scale[place]) * weights[at]
             out[i] = each.sum()
         self.position[found] = -1
         return out
 
 
 def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text: str) -> tuple[DataFrame, int, float]:
-    """``(query_id, words, weights)``, the words joined by spaces and the weights as 64-bit floats, from statistics of all documents; the number of documents and their mean length."""
+    """``(row, query_id, words, weights)``, the words joined by spaces and the weights as 64-bit floats, from statistics of all documents; the number of documents and their mean length."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows, total = Counter(), 0, 0
@@ -165,7 +165,7 @@ def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text:
         for batch in batches:
             words = [b" ".join(w) for w in batch.column(1).to_pylist()]
             weights = [np.array(w, "<f8").tobytes() for w in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), pa.array(weights, pa.binary())], ["query_id", "words", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(words, pa.binary()), pa.array(weights, pa.binary())], ["row", "query_id", "words", "weights"])
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,8 +183,8 @@ def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text:
     idf = F.log1p((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     named = each.select("row", "query_id", F.col("t.words").alias("word"), F.col("t.times").alias("times")).join(spread, "word")
     grouped = named.groupBy("row").agg(F.first("query_id").alias("query_id"), F.sort_array(F.collect_list(F.struct("word", (F.col("times") * idf).alias("weight")))).alias("t"))
-    rows = grouped.select("query_id", F.col("t.word").alias("words"), F.col("t.weight").alias("weights"))
-    return durable(rows.mapInArrow(packed, "query_id bigint, words binary, weights binary")), n, length / max(1, n)
+    rows = grouped.select("row", F.col("t.word").alias("words"), F.col("t.weight").alias("weights"), "query_id")
+    return durable(rows.mapInArrow(packed, "row bigint, query_id bigint, words binary, weights binary")), n, length / max(1, n)
 
 
 def top_documents(
@@ -208,16 +208,17 @@ def top_documents(
         F.col(doc_id).cast("long").alias("id"),
         text_of(text).cast("binary").alias("body"),
         F.lit(None).cast("binary").alias("weights"),
+        F.lit(None).cast("bigint").alias("row"),
     )
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = weighted.select(everywhere, F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("words").alias("body"), "weights")
+    asked = weighted.select(everywhere, F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("words").alias("body"), "weights", "row")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, postings, index = None, Postings(), None
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, list[bool], int | None]] = []
-            columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "id")]
-            for i, (part, is_query, name) in enumerate(zip(*columns, strict=True)):
+            out: list[tuple[int, int, int | None, np.ndarray, np.ndarray, np.ndarray]] = []
+            columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "id", "row")]
+            for i, (part, is_query, name, row) in enumerate(zip(*columns, strict=True)):
                 if part != now:
                     now, postings, index = part, Postings(), None
                 body = batch.column("body")[i].as_py()
@@ -229,13 +230,22 @@ def top_documents(
                 place, score = index.top(body.split(b" "), np.frombuffer(batch.column("weights")[i].as_py(), "<f8"), k)
                 order = np.lexsort((index.ids[place], -score))[:k]
                 place = place[order]
-                out.append((score[order], index.ids[place], index.nameless[place].tolist(), name))
+                out.append((part, row, name, -score[order], index.nameless[place], index.ids[place]))
             if out:
-                names = [x[3] for x in out for _ in x[0]]
-                found = pa.array(np.concatenate([x[1] for x in out]), mask=np.array([m for x in out for m in x[2]], bool))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), found, pa.array(np.concatenate([x[0] for x in out]))], ["query_id", "doc_id", "score"])
+                parts, rows, names, scores, nameless, ids = zip(*out, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+                arrays = [pa.array(list(c), kind) for c, kind in zip((parts, rows, names, scores, nameless, ids), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "row", "query_id", "below", "nameless", "doc_id"])
 
     dealt = indexed.union(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")
-    each = dealt.mapInArrow(search, "query_id bigint, doc_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    found = dealt.mapInArrow(search, "shard int, row bigint, query_id bigint, below array<double>, nameless array<boolean>, doc_id array<bigint>")
+    tops = found.select("row", "query_id", (F.col("shard") % 64).alias("part"), F.arrays_zip("below", "nameless", "doc_id").alias("top"))
+    # The best of a part of the shards, then of the parts: no group holds more than k rows of each of its members.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
+    merged = tops.groupBy("row", "part").agg(F.first("query_id").alias("query_id"), best).groupBy("row").agg(F.first("query_id").alias("query_id"), best)
+    return merged.select("query_id", F.posexplode("top").alias("place", "t")).select(
+        "query_id",
+        (F.col("place") + 1).alias("rank"),
+        F.when(~F.col("t.nameless"), F.col("t.doc_id")).alias("doc_id"),
+        (-F.col("t.below")).alias("score"),
+    )
