@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; its most frequent words, which have block maxima; documents of a block; candidates scored at a time.
-SHARD, FREQUENT, BLOCK, CHUNK = 12_288, 96, 64, 128
+SHARD, FREQUENT, BLOCK, CHUNK = 8192, 96, 64, 128
 #: Room for the rounding of single-precision sums when bounds are compared with the threshold.
 _SLACK = 1e-3
 
