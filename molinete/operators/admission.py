@@ -7,9 +7,9 @@ request is taken whole or not at all.
 Each round bounds the stock in front of every undecided line: from below as if
 all earlier undecided withdrawals were accepted and no earlier undecided receipt,
 from above the other way round. A line that fits the lower bound fits for certain,
-one that fails the upper bound fails for certain. Two such rounds decide nearly all.
+one that fails the upper bound fails for certain. Such rounds go on for as long as they decide a quarter of what is open.
 
-What is still open waits for scarce items. Requests that share none, not even through others, do not
+What is open then waits for scarce items. Requests that share none, not even through others, do not
 touch one another, so the open ones fall into connected components, and each component is folded
 in request order: its first ``CHAIN`` requests are decided exactly at once. A chain of scarce items so costs
 a round for every ``CHAIN`` links, and bounds settle what a long one leaves. Rounds are cut with a written table.
@@ -151,19 +151,22 @@ def admit(
         )
     )
     sizes = size_probe(work, ["item_id"])
-    decided, turn = [], 0
+    decided, waiting, stuck = [], work.count(), False
     while True:
         bounded = _bounded(work, hot_rows, sizes)
         if single_line:
             judged = _by_line(bounded)
-        else:  # two rounds of bounds, then a fold, and so on
-            judged = _by_component(durable(bounded), hot_rows) if turn % 3 == 2 else _by_request(bounded)
-        judged, turn = durable(judged), turn + 1
+        else:
+            judged = _by_component(durable(bounded), hot_rows) if stuck else _by_request(bounded)
+        judged = durable(judged)
         decided.append(
             judged.filter("state <> 'open'").select("request_id", (F.col("state") == "accepted").alias("accepted"))
         )
-        if judged.filter("state = 'open'").isEmpty():
+        left = judged.filter("state = 'open'").count()
+        if not left:
             break
+        # Bounds go on for as long as they decide a quarter of what is open; a fold is next where they do not.
+        stuck, waiting = not stuck and left > 0.75 * waiting, left
         work = judged.filter("state <> 'rejected'")
         if sizes[1] > hot_rows:  # what is left may have no hot item any more
             sizes = size_probe(work, ["item_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molinete.functions.predicates import debt_filter
-from molinete.functions.scalars import blank_to_null, signed_amount
+from molinete.functions.scalars import blank_to_null, posted_id, signed_amount
 from molinete.operators.rows import enrich, latest_per_key
 from molinete.operators.running import HOT_ROWS, Running, running, size_probe
 from molinete.plans.cash import open_session
@@ -77,11 +77,16 @@ def post_to_ledger(
     return out.withColumn("balance", balance).drop("_moved", "opening_balance")
 
 
+def with_keys(rows: DataFrame, job: str) -> DataFrame:
+    """Posted rows with ``source_id`` and ``line_no``, and the key those two give."""
+    return rows.withColumn("id", posted_id(job, "source_id", "line_no"))
+
+
 def post_account_payments(requests: DataFrame, ledger: DataFrame, sessions: DataFrame, clients: DataFrame) -> dict[str, DataFrame]:
     """Payments on account: a credit row and an ``income`` drawer row each; rejected without an open drawer or for an unknown client.
 
     ``requests``: ``request_id, requested_at, client_id, amount, payment_method, description, created_by``.
-    Paying more than is owed is allowed and leaves a negative balance.
+    Paying more than is owed is allowed and leaves a negative balance. The ledger row and its drawer row have the same key, and the ledger row names it.
     """
     session = open_session(sessions).select("id").scalar()
     text = F.coalesce(blank_to_null("description"), F.lit(PAYMENT_TEXT))
@@ -94,6 +99,7 @@ def post_account_payments(requests: DataFrame, ledger: DataFrame, sessions: Data
     )
     accepted = judged.filter("reason IS NULL")
     rejected = judged.filter("reason IS NOT NULL").select("request_id", "reason")
+    key = posted_id("account_payment", "request_id", F.lit(1))
     credits = accepted.select(
         F.col("request_id").alias("source_id"),
         F.lit(1).alias("line_no"),
@@ -102,22 +108,24 @@ def post_account_payments(requests: DataFrame, ledger: DataFrame, sessions: Data
         "amount",
         text.alias("description"),
         "payment_method",
+        key.alias("cash_movement_id"),
         "created_by",
         F.col("requested_at").alias("created_at"),
     )
     movements = accepted.select(
+        key.alias("id"),
         "cash_session_id",
         F.lit("income").alias("type"),
         "payment_method",
         "amount",
         text.alias("description"),
-        F.concat(F.lit("cuenta_corriente_"), F.col("request_id").cast("string")).alias("reference"),
+        F.concat(F.lit("cuenta_corriente_"), key.cast("string")).alias("reference"),
         "created_by",
         F.col("requested_at").alias("created_at"),
     )
     sizes = size_probe(requests, ["client_id"])
     return {
-        "current_account": post_to_ledger(credits, ledger, sizes=sizes),
+        "current_account": with_keys(post_to_ledger(credits, ledger, sizes=sizes), "account_payment"),
         "cash_movements": movements,
         "rejected": rejected,
     }

@@ -30,12 +30,13 @@ from molinete.functions.scalars import (
     normalize_phone_ar,
     parse_day_set,
     payment_label,
+    posted_id,
 )
 from molinete.operators.attendance import COOLDOWN_MINUTES, attribute_entries, entry_cooldown
 from molinete.operators.rows import apply_updates, enrich, latest_per_key, paginate
 from molinete.plans.cash import open_session
 from molinete.operators.running import HOT_ROWS, Running, running, size_probe
-from molinete.plans.ledger import latest_balances, post_to_ledger
+from molinete.plans.ledger import latest_balances, post_to_ledger, with_keys
 from molinete.session import durable
 from molinete.schema import DRAWER_METHODS, PAYMENT_METHODS, REMINDER_DAYS
 
@@ -503,6 +504,9 @@ def enrol(
         F.when(on_account, "pending").otherwise("paid").alias("payment_status"),
         F.when(~on_account, F.col("requested_at")).alias("paid_at"),
         F.when((drawer_line > 0) & (F.col("amount_due") > 0), drawer_line).cast("int").alias("cash_movement_line"),
+        F.when(
+            (drawer_line > 0) & (F.col("amount_due") > 0) & F.col("drawer_id").isNotNull(), posted_id("membership", "request_id", drawer_line)
+        ).alias("cash_movement_id"),
         F.col("discount_amount").alias("discount"),
         "notes",
         F.lit("").alias("reminder_sent_days"),
@@ -520,10 +524,19 @@ def enrol(
     ).select("*", (F.col("line_no") + 1).alias("_line"), "payment.*")
     lines = lines.drop("payment", "line_no").withColumnRenamed("_line", "line_no")
     in_drawer = F.col("payment_method").isin(*DRAWER_METHODS) & F.col("drawer_id").isNotNull() & (F.col("amount") > 0)
+    line_id = posted_id("membership", "membership_id", "line_no")
     payments = lines.select(
-        "membership_id", "line_no", "payment_method", "amount", in_drawer.alias("in_drawer"), "created_at"
+        line_id.alias("id"),
+        "membership_id",
+        "line_no",
+        "payment_method",
+        "amount",
+        F.when(in_drawer, line_id).alias("cash_movement_id"),
+        in_drawer.alias("in_drawer"),
+        "created_at",
     )
     movements = lines.filter(in_drawer).select(
+        line_id.alias("id"),
         F.col("membership_id").alias("source_id"),
         "line_no",
         F.col("drawer_id").alias("cash_session_id"),
@@ -547,13 +560,14 @@ def enrol(
     )
     sizes = size_probe(requests, ["client_id"], payment_count())
     entries = accepted.filter("plan_duration = 1").select(
+        posted_id("membership", "request_id", F.lit(0)).alias("id"),
         F.col("request_id").alias("membership_id"), "client_id", F.col("requested_at").alias("entered_at"), "created_by"
     )
     return {
         "memberships": made,
         "membership_payments": payments,
         "cash_movements": movements,
-        "current_account": post_to_ledger(debits, ledger, hot_rows=hot_rows, sizes=sizes),
+        "current_account": with_keys(post_to_ledger(debits, ledger, hot_rows=hot_rows, sizes=sizes), "membership"),
         "client_entries": entries,
         "rejected": judged.filter("reason IS NOT NULL").select("request_id", "reason"),
     }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from molinete.functions.scalars import Money, at_least_zero, is_email, money
 from molinete.operators.rows import enrich
 from molinete.plans.dims import same_text
-from molinete.schema import DOMAINS, DRAWER_METHODS, FOREIGN_KEYS, PAYMENT_METHODS, ROLES, STOCK_TYPES, UNITS
+from molinete.schema import DOMAINS, DRAWER_METHODS, FOREIGN_KEYS, PAYMENT_METHODS, ROLES, STOCK_TYPES, UNIQUE_COLUMNS, UNITS
 
 TOTAL = "decimal(38,2)"
 
@@ -277,6 +277,24 @@ def uniqueness_conflicts(df: DataFrame, column: str, *, key: str = "id") -> Data
     return texts.join(shared, "_text").select(key, column, "rows_sharing")
 
 
+def uniqueness_audit(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Values of the declared unique columns that several rows have, as ``(table, column, value, rows_sharing)``; each table is read once.
+
+    ``value`` is the smallest spelling (case, accents and trailing blanks ignored; NULLs allowed).
+    """
+    parts = []
+    for name in dict.fromkeys(n for n, c in UNIQUE_COLUMNS if n in tables and c in tables[n].columns):
+        entries = [
+            F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+            for n, c in UNIQUE_COLUMNS
+            if n == name and c in tables[name].columns
+        ]
+        parts.append(_stacked(tables[name], entries))
+    held = reduce(DataFrame.unionByName, parts).filter("value IS NOT NULL")
+    shared = held.groupBy("table", "column", same_text("value").alias("_text")).agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("rows_sharing"))
+    return shared.filter("rows_sharing > 1").select("table", "column", "value", "rows_sharing")
+
+
 def conflicts_with_state(changes: DataFrame, state: DataFrame, column: str, *, key: str = "id") -> DataFrame:
     """Changes whose value is held by another row of the stored table."""
     held = state.select(F.col(key).alias("_holder"), same_text(column).alias("_held"))

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from molinete.functions.predicates import enum_filter, in_period
-from molinete.functions.scalars import Money, at_least_zero, blank_to_null, line_subtotal, money, payment_label
+from molinete.functions.scalars import Money, at_least_zero, blank_to_null, line_subtotal, money, payment_label, posted_id
 from molinete.operators.admission import admit
 from molinete.operators.rows import Details, apply_updates, enrich, nest, paginate
-from molinete.operators.running import HOT_ROWS, size_probe
+from molinete.operators.running import HOT_ROWS, row_numbers, size_probe
 from molinete.plans.cash import open_session
-from molinete.plans.ledger import post_to_ledger
+from molinete.plans.ledger import post_to_ledger, with_keys
 from molinete.schema import DRAWER_METHODS, HEADER_METHODS, PAYMENT_METHODS, SALE_STATUSES
 from molinete.session import durable
 
@@ -179,8 +179,8 @@ def post_sales(
 
     ``requests``: ``request_id, requested_at, user_id, client_id, items array<struct<product_id, quantity>>,
     payment_method, payments array<struct<payment_method, amount>>, discount, notes``.
-    The request id is the sale's key; ``(request_id, line_no)`` is that of its children. A request with
-    several faults is rejected for the first of: items, products, stock, payments, client.
+    The request id is the sale's key; its children have keys from it and their line (:func:`posted_id`), and payments and the sale
+    itself name their drawer movement. A request with several faults is rejected for the first of: items, products, stock, payments, client.
     """
     lines = price_lines(requests, products)
     judged = judge_sales(requests, lines, clients, products, hot_rows=hot_rows)
@@ -190,11 +190,14 @@ def post_sales(
     in_drawer = (
         F.col("payment_method").isin(*DRAWER_METHODS) & F.col("cash_session_id").isNotNull() & (F.col("amount") > 0)
     )
+    line_id = posted_id("sale", "request_id", "line_no")
+    drawer_line = F.array_position(F.transform("paid_with", lambda p: p["payment_method"].isin(*DRAWER_METHODS) & (p["amount"] > 0)), True)
     sales = accepted.select(
         F.col("request_id").alias("id"),
         "user_id",
         "client_id",
         "cash_session_id",
+        F.when((drawer_line > 0) & F.col("cash_session_id").isNotNull(), posted_id("sale", "request_id", drawer_line)).alias("cash_movement_id"),
         payment_label(F.col("methods")).alias("payment_method"),
         "subtotal",
         F.col("discount_amount").alias("discount"),
@@ -204,8 +207,9 @@ def post_sales(
         F.col("requested_at").alias("created_at"),
     )
     sold = lines.join(accepted.select("request_id", "user_id", "requested_at"), "request_id")
-    items = sold.select(F.col("request_id").alias("sale_id"), *ITEM_FIELDS)
+    items = sold.select(line_id.alias("id"), F.col("request_id").alias("sale_id"), *ITEM_FIELDS)
     stock_rows = sold.select(
+        line_id.alias("id"),
         "product_id",
         F.lit("salida").alias("type"),
         (-F.col("quantity")).cast("decimal(12,3)").alias("quantity"),
@@ -228,9 +232,16 @@ def post_sales(
         .drop("_pos", "_payment")
     )
     payments = paid.select(
-        F.col("request_id").alias("sale_id"), "line_no", "payment_method", "amount", in_drawer.alias("in_drawer")
+        line_id.alias("id"),
+        F.col("request_id").alias("sale_id"),
+        "line_no",
+        "payment_method",
+        "amount",
+        F.when(in_drawer, line_id).alias("cash_movement_id"),
+        in_drawer.alias("in_drawer"),
     )
     movements = paid.filter(in_drawer).select(
+        line_id.alias("id"),
         F.col("request_id").alias("source_id"),
         "line_no",
         "cash_session_id",
@@ -259,7 +270,7 @@ def post_sales(
         "stock_movements": stock_rows,
         "products": apply_stock(products, stock_rows),
         "cash_movements": movements,
-        "current_account": post_to_ledger(debits, ledger, hot_rows=hot_rows, sizes=sizes),
+        "current_account": with_keys(post_to_ledger(debits, ledger, hot_rows=hot_rows, sizes=sizes), "sale"),
         "rejected": judged.filter("reason IS NOT NULL").select("request_id", "reason"),
     }
 
@@ -281,10 +292,11 @@ def cancel_sales(
     movements: DataFrame,
     sessions: DataFrame,
     ledger: DataFrame | None = None,
+    products: DataFrame | None = None,
     *,
     hot_rows: int = HOT_ROWS,
 ) -> dict[str, DataFrame]:
-    """Cancel sales of the open session: stock comes back, drawer and account payments are reversed.
+    """Cancel sales of the open session: stock comes back (``products`` gives the new snapshot), drawer and account payments are reversed.
 
     ``requests``: ``request_id, requested_at, sale_id, created_by``; of several for one sale the first counts.
     Sales without payment rows use their own header.
@@ -316,7 +328,11 @@ def cancel_sales(
     )
     accepted = judged.filter("reason IS NULL")
     label = F.concat(F.lit("Cancelación venta #"), F.col("sale_id").cast("string"))
-    back = items.select("sale_id", "product_id", "quantity").join(accepted, "sale_id").select(
+    # A sale's rows in the order of their keys, or of their values where they have none, number what is reversed.
+    returned = items.select("sale_id", "product_id", "quantity", *[c for c in ("id",) if c in items.columns]).join(accepted, "sale_id")
+    returned = row_numbers(returned, ["sale_id"], [c for c in ("id", "product_id", "quantity") if c in returned.columns], "line_no", hot_rows=hot_rows)
+    back = returned.select(
+        posted_id("sale_cancellation", "sale_id", "line_no").alias("id"),
         "product_id",
         F.lit("entrada").alias("type"),
         "quantity",
@@ -351,7 +367,10 @@ def cancel_sales(
         F.col("amount").alias("moved_amount"),
         F.coalesce("payment_method", F.lit("cash")).alias("moved_method"),
     )
+    paid = row_numbers(paid, ["sale_id"], ["amount", "payment_method", "cash_movement_id"], "line_no", hot_rows=hot_rows)
+    line_id = posted_id("sale_cancellation", "sale_id", "line_no")
     given_back = paid.join(moved, F.col("cash_movement_id") == F.col("_movement")).select(
+        line_id.alias("id"),
         "sale_id",
         "cash_session_id",
         F.lit("expense").alias("type"),
@@ -363,8 +382,9 @@ def cancel_sales(
     )
     credits = paid.filter("payment_method = 'current_account' AND client_id IS NOT NULL AND amount > 0").select(
         F.col("request_id").alias("source_id"),
-        F.lit(1).alias("line_no"),
+        "line_no",
         "sale_id",
+        line_id.alias("id"),
         "client_id",
         F.lit("credit").alias("type"),
         "amount",
@@ -373,6 +393,7 @@ def cancel_sales(
         F.col("requested_at").alias("created_at"),
     )
     return {
+        **({} if products is None else {"products": apply_stock(products, back)}),
         "cancelled": accepted.select("sale_id"),
         "stock_movements": back,
         "cash_movements": given_back,

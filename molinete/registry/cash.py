@@ -78,20 +78,21 @@ _PAYMENTS = f"SELECT * FROM ({_ASKED}) WHERE client_id IN (SELECT id FROM client
 @query(
     "account_payments_ledger",
     f"""WITH pay AS ({_PAYMENTS}), l AS ({_LATEST})
-    SELECT p.source_id, p.client_id, 'credit' AS type, p.amount, p.description,
+    SELECT 3 * 288230376151711744 + p.source_id * 32768 + 1 AS id, 3 * 288230376151711744 + p.source_id * 32768 + 1 AS cash_movement_id,
+        p.source_id, p.client_id, 'credit' AS type, p.amount, p.description,
         CAST(coalesce(l.balance, 0) - sum(p.amount) OVER (PARTITION BY p.client_id ORDER BY p.ts, p.source_id
             ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS balance
     FROM pay p LEFT JOIN l ON l.client_id = p.client_id""",
 )
 def _(r: Roles):
     out = L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions, r.clients)["current_account"]
-    return out.select("source_id", "client_id", "type", "amount", "description", "balance")
+    return out.select("id", "cash_movement_id", "source_id", "client_id", "type", "amount", "description", "balance")
 
 
 @query(
     "account_payments_cash",
     f"""SELECT (SELECT id FROM cash_sessions WHERE status = 'open') AS cash_session_id, 'income' AS type, amount, description,
-        'cuenta_corriente_' || source_id AS reference FROM ({_PAYMENTS})""",
+        'cuenta_corriente_' || (3 * 288230376151711744 + source_id * 32768 + 1) AS reference FROM ({_PAYMENTS})""",
 )
 def _(r: Roles):
     out = L.post_account_payments(_payment_requests(r), r.current_account, r.cash_sessions, r.clients)["cash_movements"]

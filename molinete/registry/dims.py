@@ -245,6 +245,23 @@ def _(r: Roles):
     return Q.uniqueness_conflicts(r.plans, "name")
 
 
+_UNIQUE = ("clients.username", "clients.dni", "users.username", "users.email", "products.code", "plans.name", "categories.name", "instructors.dni")
+
+
+@query(
+    "uniqueness_audit",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT '{t}' AS "table", '{c}' AS "column", min(CAST({c} AS VARCHAR)) AS value, count(*) AS rows_sharing
+        FROM {t} WHERE {c} IS NOT NULL GROUP BY lower(CAST({c} AS VARCHAR)) HAVING count(*) > 1"""
+        for t, c in (x.split(".") for x in _UNIQUE)
+    )
+    + ")",
+)
+def _(r: Roles):
+    return Q.uniqueness_audit({t: getattr(r, t) for t in ("clients", "users", "products", "plans", "categories", "instructors")})
+
+
 @query(
     "conflicts_with_state",
     """SELECT e.id, e.code FROM (SELECT event_id AS id, ' p' || user_id AS code FROM events) e

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from molinete.plans import sales as S
 from molinete.plans import stock as K
 from molinete.registry.core import query
+from molinete.schema import table_schema
+from molinete.session import durable
 from molinete.sources.roles import Roles
+from molinete.sources.tables import conform
 
 _LIST = """SELECT s.*, u.name AS user_name, c.name AS client_name FROM sales s LEFT JOIN users u ON u.id = s.user_id
     LEFT JOIN clients c ON c.id = s.client_id"""
@@ -180,6 +183,7 @@ def _(r: Roles):
     "post_sales_sales",
     f"""WITH RECURSIVE {_WALK} SELECT request_id AS id, request_id % 25 AS user_id, client_id,
         (SELECT id FROM cash_sessions WHERE status = 'open') AS cash_session_id,
+        CASE WHEN method_no <> '4' AND subtotal - off > 0 THEN 288230376151711744 + request_id * 32768 + 1 END AS cash_movement_id,
         CASE method_no WHEN '1' THEN 'cash' WHEN '2' THEN 'transfer' WHEN '3' THEN 'credit_card' ELSE 'current_account' END AS payment_method,
         CAST(subtotal AS DECIMAL(38,2)) AS subtotal, off AS discount, CAST(subtotal - off AS DECIMAL(38,2)) AS total,
         'completed' AS status, CASE WHEN request_id % 2 <> 0 THEN 'nota' END AS notes, requested_at AS created_at
@@ -212,6 +216,50 @@ def _(r: Roles):
     return _posted(r)["current_account"].select("source_id", "client_id", "amount", "description", "balance")
 
 
+@query(
+    "post_sales_links",
+    f"""WITH RECURSIVE {_WALK} SELECT request_id AS sale_id, 288230376151711744 + request_id * 32768 + 1 AS id,
+        CAST(subtotal - off AS DECIMAL(12,2)) AS amount,
+        CASE WHEN method_no <> '4' AND subtotal - off > 0 THEN 288230376151711744 + request_id * 32768 + 1 END AS cash_movement_id,
+        CASE WHEN method_no <> '4' AND subtotal - off > 0 THEN 288230376151711744 + request_id * 32768 + 1 END AS header_movement_id
+    FROM verdict WHERE reason IS NULL""",
+)
+def _(r: Roles):
+    out = _posted(r)
+    header = out["sales"].select(F.col("id").alias("sale_id"), F.col("cash_movement_id").alias("header_movement_id"))
+    return out["sale_payments"].join(header, "sale_id").select("sale_id", "id", "amount", "cash_movement_id", "header_movement_id")
+
+
+@query(
+    "post_then_cancel_sales",
+    f"""WITH RECURSIVE {_WALK} SELECT count(*) AS posted, count(*) AS cancelled, CAST(0 AS DECIMAL(38,2)) AS drawer_net,
+        CAST(0 AS BIGINT) AS products_changed, CAST(0 AS DECIMAL(38,2)) AS ledger_net FROM verdict WHERE reason IS NULL""",
+)
+def _(r: Roles):
+    """Everything posted goes into its tables as it is and is cancelled from there: nothing is left in drawer, stock and ledger."""
+    out = _posted(r)
+    put = lambda name, rows: durable(conform(rows, table_schema(name)))
+    names = ("sales", "sale_items", "sale_payments", "cash_movements", "current_account", "products")
+    stored = {name: put(name, out[name]) for name in names}
+    undo = stored["sales"].select(
+        F.col("id").alias("request_id"), F.expr("created_at + INTERVAL 1 DAY").alias("requested_at"), F.col("id").alias("sale_id"), F.col("user_id").alias("created_by")
+    )
+    back = S.cancel_sales(
+        undo, *(stored[n] for n in ("sales", "sale_items", "sale_payments", "cash_movements")), r.cash_sessions, stored["current_account"], stored["products"]
+    )
+    signed = F.when(F.col("type").isin("expense", "debit"), -F.col("amount")).otherwise(F.col("amount"))
+    net = lambda name: stored[name].select("type", "amount").unionByName(back[name].select("type", "amount")).agg(F.coalesce(F.sum(signed), F.lit(0)).cast("decimal(38,2)")).scalar()
+    before, after = r.products.select("id", F.col("stock").alias("_was")), back["products"].select("id", "stock")
+    changed = before.join(after, "id").filter("_was <> stock").agg(F.count("*")).scalar()
+    return stored["sales"].agg(F.count("*").alias("posted")).select(
+        "posted",
+        back["cancelled"].agg(F.count("*")).scalar().alias("cancelled"),
+        net("cash_movements").alias("drawer_net"),
+        changed.alias("products_changed"),
+        net("current_account").alias("ledger_net"),
+    )
+
+
 @query(
     "price_sale_lines",
     """SELECT q.request_id, q.product_id, p.name AS product_name, q.quantity,

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from molinete.operators import admission, attendance
 from molinete.plans import cash, ledger, members, quality, sales, stock
+from molinete.schema import table_schema
+from molinete.sources.tables import conform
 
 AS_OF = dt.date(2024, 1, 15)
 T0 = dt.datetime(2024, 1, 15, 8)
@@ -313,20 +315,23 @@ def test_post_then_cancel_sales(spark):
     checked = sales.sale_audit(out["sales"], out["sale_items"], out["sale_payments"])
     assert audit and checked.count() == 0
 
-    moved = out["cash_movements"].withColumn("id", F.col("source_id") * 10 + F.col("line_no"))
-    paid = out["sale_payments"].withColumn("cash_movement_id", F.when(F.col("in_drawer"), F.col("sale_id") * 10 + F.col("line_no")))
-    book = out["current_account"].withColumn("id", F.col("source_id"))
+    # what was posted goes into its tables as it is, and a cancellation reads it from there
+    put = lambda name: conform(out[name], table_schema(name))
+    assert {r.id: r.cash_movement_id is not None for r in put("sales").collect()} == {1: True, 2: True, 4: True, 11: False}
+    linked = put("sale_payments").filter("cash_movement_id IS NOT NULL").join(put("cash_movements").withColumnRenamed("id", "cash_movement_id"), "cash_movement_id")
+    assert linked.count() == put("cash_movements").count() == 3
+    for name in ("sale_items", "sale_payments", "stock_movements", "cash_movements", "current_account"):
+        assert put(name).filter("id IS NULL").count() == 0 and put(name).select("id").distinct().count() == put(name).count()
     undo = [(100 + i, at(60 + i), i, 1) for i in (1, 2, 4, 11, 99)] + [(200, at(90), 1, 1)]
     back = sales.cancel_sales(
         spark.createDataFrame(undo, "request_id bigint, requested_at timestamp_ntz, sale_id bigint, created_by bigint"),
-        out["sales"].withColumn("cash_movement_id", F.lit(None).cast("bigint")), out["sale_items"], paid, moved,
-        open_drawer(spark), book)
+        put("sales"), put("sale_items"), put("sale_payments"), put("cash_movements"), open_drawer(spark), put("current_account"), put("products"))
     assert {r.request_id: r.reason for r in back["rejected"].collect()} == {199: "sale_not_found", 200: "sale_already_cancelled"}
-    restored = sales.apply_stock(out["products"], back["stock_movements"])
-    assert {r.id: r.stock for r in restored.collect()} == {r.id: r.stock for r in products.collect()}
-    assert ledger.latest_balances(book.select("client_id", "created_at", "id", "balance").unionByName(
-        back["current_account"].select("client_id", "created_at", F.col("source_id").alias("id"), "balance"))).first().balance == 0
-    drawer = moved.select("cash_session_id", "type", "amount").unionByName(back["cash_movements"].select("cash_session_id", "type", "amount"))
+    assert {r.id: r.stock for r in back["products"].collect()} == {r.id: r.stock for r in products.collect()}
+    book = put("current_account").unionByName(conform(back["current_account"], table_schema("current_account")))
+    assert book.select("id").distinct().count() == book.count() == 4 and ledger.latest_balances(book).first().balance == 0
+    drawer = put("cash_movements").unionByName(conform(back["cash_movements"], table_schema("cash_movements")))
+    assert drawer.select("id").distinct().count() == drawer.count() == 6
     totals = cash.session_totals(drawer).first()
     assert totals.total_income == totals.total_expenses
 
@@ -337,9 +342,7 @@ def test_sales_without_drawer(spark):
     out = sales.post_sales(spark.createDataFrame(rows, SALE_REQUEST), shop(spark), clients, open_drawer(spark, False))
     assert out["sales"].first().cash_session_id is None and out["cash_movements"].count() == 0
     undo = spark.createDataFrame([(5, T0, 1, 1)], "request_id bigint, requested_at timestamp_ntz, sale_id bigint, created_by bigint")
-    back = sales.cancel_sales(undo, out["sales"].withColumn("cash_movement_id", F.lit(None).cast("bigint")), out["sale_items"],
-                              out["sale_payments"].withColumn("cash_movement_id", F.lit(None).cast("bigint")),
-                              out["cash_movements"].withColumn("id", F.lit(0)), open_drawer(spark, True))
+    back = sales.cancel_sales(undo, out["sales"], out["sale_items"], out["sale_payments"], out["cash_movements"], open_drawer(spark, True))
     assert back["rejected"].first().reason == "session_closed"
 
 
