@@ -15,8 +15,8 @@ from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; its most frequent words, which have block maxima; documents of a block; candidates scored at a time.
 SHARD, FREQUENT, BLOCK, CHUNK = 8192, 96, 64, 128
-#: Room for the rounding of single-precision sums when bounds are compared with the threshold.
-_SLACK = 1e-3
+#: The unit roundoff of single precision.
+_UNIT = 2.0**-24
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -88,7 +88,7 @@ class Shard:
 
         Rare words are summed exactly. To that each block's maxima of the frequent words give an upper bound of its documents. The
         documents with the largest bounds are scored first; the k-th best score so far is the threshold, and a document is only scored
-        while its bound reaches it.
+        while its bound reaches it, less what rounding in single precision can make of the two.
         """
         found = np.fromiter(map(self.place.get, words, (-1 for _ in words)), np.int64, len(words))
         known, every = found >= 0, weights
@@ -104,6 +104,9 @@ class Shard:
         bound = exact + (w @ self.maxima[at])[self.block]
         column = np.zeros(FREQUENT, np.float32)
         column[at] = w
+        # No impact is above k1 + 1, and each is kept to 4 roundings; a sum of n products adds n + 1 of them, whatever its order. Both
+        # sides of a comparison may be off by as much, hence twice; one more rounding covers the rest, which is in double precision.
+        slack = 2 * _UNIT * (self.k1 + 1) * float((len(at) + 2) * w.sum() + 5 * weights.sum())
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
         threshold, todo = 0.0, np.flatnonzero(bound > 0)
         first_part = min(CHUNK, len(todo))
@@ -117,9 +120,9 @@ class Shard:
             best_at, best = np.concatenate([best_at, part]), np.concatenate([best, score])
             if len(best) > k:
                 threshold = np.partition(best, -k)[-k]
-                kept = best >= threshold - _SLACK
+                kept = best >= threshold - slack
                 best_at, best = best_at[kept], best[kept]
-            todo = todo[bound[todo] >= threshold - _SLACK]
+            todo = todo[bound[todo] >= threshold - slack]
             first_part = max(CHUNK, first_part * 2)
         if not len(best_at):
             return best_at, best

@@ -18,7 +18,7 @@ from molinete.llm.context_mixing import BYTES_BACK, Mixer, Model, Vocabulary, ba
 from molinete.llm.lm import score_documents
 from molinete.llm.markup import ARTICLE, blocks
 from molinete.llm.pages import common_places, main_text
-from molinete.llm.search import top_documents
+from molinete.llm.search import Postings, Shard, top_documents
 from molinete.llm.token_counts import Counts, token_counts
 from tests.llm.frames import AWKWARD, awkward_copies, frame
 
@@ -210,6 +210,21 @@ def test_search_equals_brute_force(spark, shard):
     assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in got) == sorted(brute_search(rows, picked, 5))
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_long_queries_lose_no_copies(seed):
+    # Scores of 1e5 in single precision differ by more than any fixed room between rows that are the same.
+    rng = np.random.default_rng(seed)
+    words = [b"w%d" % i for i in rng.zipf(1.3, 30_000) % 5000]
+    postings, text = Postings(), b" ".join(words)
+    for name in range(300):
+        postings.add(name, text)
+        postings.add(1000 + name, b" ".join(words[name :: 300]))
+    shard, times = Shard(postings, 15_000, 1.2, 0.75), Counter(words)
+    query = sorted(times)
+    place, score = shard.top(query, np.array([times[w] * 3.7 for w in query]), 10)
+    assert set(shard.ids[place].tolist()) >= set(range(300)) and len(set(score[shard.ids[place] < 1000].tolist())) == 1
+
+
 def test_search_of_awkward_tables(spark):
     df = frame(spark)
     got = top_documents(df, df, k=3, shard=4).collect()
