@@ -80,6 +80,24 @@ def test_blocks_of_markup():
     assert blocks("<p>a</p><script>x") == [(2, "a")]
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<body class='has-sidebar'><article><p>all</p></article></body>", "all"),
+        ("<body class='sidebar'><article><p>all</p></article></body>", "all"),
+        ("<div id='page-with-nav'><article><p>all</p></article></div>", "all"),
+        ("<main class='search-results search'><article class='promo'><p>all</p></article></main>", "all"),
+        ("<div class='banner'><p>buy</p><div class='menu'>m</div><div class='search'><article><p>all</p></article></div></div>", "all"),
+        ("<div class='banner'><main><p>all</p></main></div>", "all"),
+        ("<article><div class='entry-header'><h1>Head</h1></div><div class='header'>line</div><p>all</p><div class='ad-300x250'>buy</div></article>", "Head line all"),
+        ("<article><p>all</p><article class='comment'>first</article></article><div class='related-posts'><article>teaser</article></div>", "all"),
+        ("<article><p>all</p><div class='x share_buttons'>tweet</div><span class='cookie-notice'>eat</span></article><div id='site-footer'>f</div>", "all"),
+    ],
+)
+def test_names_of_furniture_are_whole_and_spare_articles(html, want):
+    assert " ".join(t for p, t in blocks(html) if p == ARTICLE) == want
+
+
 def test_shared_lines_of_the_nearest_page_go(spark):
     rows = [
         (1, "http://h/a/1", "<body><div>Top bar</div><p>own one</p><p>same</p><div>Bottom</div>"),
