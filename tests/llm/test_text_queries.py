@@ -131,6 +131,27 @@ def test_shared_lines_of_the_nearest_page_go(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_templates_go_where_the_nearest_pages_are_copies(spark):
+    top, end = "<div>Top bar of the whole site</div><div>Menu</div>", "<div>Bottom line</div>"
+    own = " ".join(f"word{i}" for i in range(40))
+    html = {n: f"{top}<p>{n} {own}</p><p>{n} more</p>{end}" for n in ("one", "two", "three")}
+    rows = [(i, f"http://h/a/1?x={i:02}", html["one"]) for i in range(30)]  # copies
+    rows += [(100 + i, f"http://h/a/2?x={i:02}", html["two"].replace("two more", f"two {i}")) for i in range(30)]  # near copies
+    rows += [(200, "http://h/a/3", html["three"]), (201, "http://h/b/1", f"{top}<p>short</p>{end}")]
+    rows += [(300 + i, f"http://g/{i}", html["one"].replace("one more", f"one {i}")) for i in range(9)]  # nothing but copies
+    want = {i: f"one {own} one more" for i in range(30)} | {100 + i: f"two {own} two {i}" for i in range(30)} | {200: f"three {own} three more", 201: "short"}
+    want |= {300 + i: f"Top bar of the whole site Menu one {own} one {i} Bottom line" for i in range(9)}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for parts in ("1", "7"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r.page_id: r.text for r in main_text(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == want
+
+
 # Language model
 
 
