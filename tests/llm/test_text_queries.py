@@ -192,6 +192,16 @@ def test_texts_do_not_change_one_another():
     assert all((s[first] == s[last]).all() for s in slots) and (bits[first] == bits[last]).all()
 
 
+@pytest.mark.parametrize("text", [[b"the", b"of"] * 100, [b"\xc3\xa9xyz"] * 40])
+def test_weights_move_within_a_short_text(text):
+    # Under 4,096 bits of coded words, and bits of spelled ones.
+    model = small_model()
+    moving = model.bits([text, [b"a"]])[0]
+    model.rate = 0.0
+    still = model.bits([text, [b"a"]])[0]
+    assert moving[0] < 0.97 * still[0] and np.isclose(moving[1], still[1], rtol=0.1)
+
+
 def brute_base(rows):
     tokens = [[*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r[1] or "").encode())), None] for r in rows]
     held = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 10 == 0 for r in rows]
