@@ -56,18 +56,19 @@ def fingerprints(texts: list[bytes], words_per_shingle: int = 3) -> np.ndarray:
     return np.packbits(2 * votes > lengths[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def document_fingerprints(docs: DataFrame, *, words_per_shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, bits)``: each text's fingerprint as a signed long."""
+def document_fingerprints(docs: DataFrame, *, words_per_shingle: int = 3, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """``(doc_id, bits, row)``: each text's fingerprint as a signed long, and the value of a column ``row`` (null without one)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = fingerprints(part.column(1).to_pylist(), words_per_shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), part.column(2)], ["doc_id", "bits", "row"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("body"))
-    return rows.mapInArrow(work, "doc_id bigint, bits bigint")
+    own = F.lit(None) if row is None else F.col(row)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("body"), own.cast("long").alias("row"))
+    return rows.mapInArrow(work, "doc_id bigint, bits bigint, row bigint")
 
 
 def _segment(bits: Column, low: int, width: int) -> Column:
@@ -130,19 +131,31 @@ def near_groups(docs: DataFrame, *, words_per_shingle: int = 3, max_bits: int =
     without words share the zero fingerprint and are linked like any others. Null ids get a fingerprint and their group's
     smallest id (null if it has none). Rows that repeat an id each get a row. An empty table gives no rows.
     """
-    prints = durable(document_fingerprints(docs, words_per_shingle=words_per_shingle, doc_id=doc_id, text=text))
+    groups = _rooted(document_fingerprints(docs, words_per_shingle=words_per_shingle, doc_id=doc_id, text=text), max_bits, bucket)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(prints: DataFrame, max_bits: int, bucket: int) -> DataFrame:
+    """``prints`` with the ``root`` of each one's group and the group's smallest id, ``component_id``."""
+    prints = durable(prints)
     nodes = durable(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
     rooted = components(near_links(nodes, max_bits=max_bits, bucket=bucket))
     placed = nodes.join(rooted, nodes["bits"] == rooted["node"], "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
     placed = durable(placed)
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = durable(placed.join(lowest, "root").select("bits", "component_id"))
-    return prints.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    named = durable(placed.join(lowest, "root").select("bits", "root", "component_id"))
+    return prints.join(named, "bits")
 
 
 def drop_near_copies(docs: DataFrame, *, words_per_shingle: int = 3, max_bits: int = 2, bucket: int = BUCKET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, all columns; rows that repeat that id or have none stay."""
-    groups = near_groups(docs, words_per_shingle=words_per_shingle, max_bits=max_bits, bucket=bucket, doc_id=doc_id, text=text)
-    (gone,) = fresh(docs, "dropped")
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(durable(dropped), F.col(doc_id).cast("long") == F.col(gone), "left_anti")
+    """One row of each group of near copies, all columns: that with the smallest id, null ids last; of rows that repeat it one stays.
+
+    Rows are told apart by a number that is written with them, not by their ids.
+    """
+    (row,) = fresh(docs, "row")
+    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = durable(_rooted(document_fingerprints(numbered, words_per_shingle=words_per_shingle, doc_id=doc_id, text=text, row=row), max_bits, bucket).select("root", "doc_id", "bits", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "bits", "row"))
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    dropped = groups.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row))
+    return numbered.join(durable(dropped), row, "left_anti").drop(row)

@@ -100,3 +100,13 @@ def test_null_ids_and_empty_tables(spark):
     got = near_groups(frame(spark, [(None, "x y z", None, None, None), (None, "q", None, None, None), (3, "q", None, None, None)])).collect()
     assert sorted(repr((r.doc_id, r.component_id)) for r in got) == ["(3, 3)", "(None, 3)", "(None, None)"]
     assert near_groups(frame(spark, [])).collect() == []
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    # id 5 stands on a near copy of 3 and on a text of its own; 3 twice; copies without ids
+    rows = [(3, "x y z", None, None, 1), (3, "x y z", None, None, 2), (5, "x y z", None, None, 3), (5, "its own words", None, None, 4)]
+    rows += [(None, "no id", None, None, 5), (None, "no id", None, None, 6), (None, "x y z", None, None, 7)]
+    df = frame(spark, rows, clash=True)
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == ["(3, 'x y z')", "(5, 'its own words')", "(None, 'no id')"]
