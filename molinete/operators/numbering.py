@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,3 +36,24 @@ def dense_ids(df: DataFrame, order: Sequence[str], out: str = "id", *, start: in
     place = F.col("_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     numbered = placed.join(F.broadcast(starts), range_ == F.col("_range"))
     return numbered.select(*columns, (F.col("_before") + place + F.lit(start)).cast("bigint").alias(out))
+
+
+def next_id(current: DataFrame, key: str = "id") -> int:
+    """The id after the largest one in use: one number to the driver."""
+    return int(current.agg(F.max(key)).first()[0] or 0) + 1
+
+
+def insert_ids(
+    headers: DataFrame, children: Mapping[str, tuple[DataFrame, Sequence[str]]], order: Sequence[str], *, request: str = "request_id", link: str, starts: Mapping[str, int], name: str
+) -> dict[str, DataFrame]:
+    """New rows with the ids an auto-increment would give them: ``name`` the headers, and ``children`` that name their header's new id in ``link``.
+
+    Headers are numbered in ``order``. Children, given as ``(rows, order)`` with the header's ``request`` in each row, are numbered header by
+    header and within it in their order. ``starts`` has the first id of each table (:func:`next_id`). Children without a header are left out.
+    """
+    numbered = dense_ids(headers, order, start=starts[name])
+    new = numbered.select(request, F.col("id").alias(link))
+    out = {name: numbered}
+    for child, (rows, by) in children.items():
+        out[child] = dense_ids(rows.join(new, request), [link, *by], start=starts[child])
+    return out

@@ -102,14 +102,36 @@ def top_k(df: DataFrame, measure: str, key: str, k: int = 100) -> DataFrame:
     return df.orderBy(F.col(measure).desc(), F.col(key).asc()).limit(k)
 
 
+def settle_changes(changes: DataFrame, keys: Sequence[str], order: Sequence[str] = (), *, overwrite: bool = False) -> DataFrame:
+    """One change per key, as if all of a key were made one after the other in ``order`` (without one: by their values).
+
+    A column ends with the last value that is not NULL, with ``overwrite`` with that of the last change. The ``order`` columns are left out.
+    """
+    fields = [c for c in changes.columns if c not in keys and c not in order]
+    if not fields:
+        return changes.select(*keys).distinct()
+    at = F.struct(*(order or fields), *(fields if order else []))
+    if overwrite:
+        return changes.groupBy(*keys).agg(F.max_by(F.struct(*fields), at).alias("_last")).select(*keys, "_last.*")
+    return changes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields])
+
+
 def apply_updates(
-    current: DataFrame, changes: DataFrame, keys: Sequence[str], *, overwrite: bool = False
+    current: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    *,
+    overwrite: bool = False,
+    order: Sequence[str] = (),
+    settled: bool = False,
 ) -> DataFrame:
     """A new snapshot of ``current`` with changed columns taken from ``changes``.
 
-    A NULL in ``changes`` leaves the column as it is, unless ``overwrite``.
-    ``changes`` has one row per key; rows without a match in ``current`` are ignored.
+    A NULL in ``changes`` leaves the column as it is, unless ``overwrite``. Several changes of a key are settled in ``order``
+    (:func:`settle_changes`; ``settled``: there is one at most); rows without a match in ``current`` are ignored.
     """
+    if not settled:
+        changes = settle_changes(changes, keys, order, overwrite=overwrite)
     fields = [c for c in changes.columns if c not in keys]
     side = changes.select(
         *keys, F.lit(True).alias("_hit"), *[F.col(c).cast(current.schema[c].dataType).alias(f"_new_{c}") for c in fields]

@@ -58,8 +58,10 @@ def expire_memberships(memberships: DataFrame, *, as_of: Day) -> tuple[DataFrame
 
 
 def update_memberships(memberships: DataFrame, changes: DataFrame, *, overwrite: bool = False) -> DataFrame:
-    """Set status, payment status and notes; a NULL leaves the column unless ``overwrite``."""
-    return apply_updates(memberships, changes.select("id", "status", "payment_status", "notes"), ["id"], overwrite=overwrite)
+    """Set status, payment status and notes; a NULL leaves the column unless ``overwrite``. Several changes of one membership count in the order they were asked for."""
+    order = [c for c in ("requested_at", "request_id") if c in changes.columns]
+    asked = changes.select("id", "status", "payment_status", "notes", *order)
+    return apply_updates(memberships, asked, ["id"], overwrite=overwrite, order=order)
 
 
 def list_memberships(
