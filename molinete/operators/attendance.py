@@ -7,39 +7,12 @@ from pyspark.sql import functions as F
 
 from molinete.functions.scalars import epoch_seconds
 from molinete.operators.running import HOT_ROWS, Running, running
+from molinete.session import durable
 
 COOLDOWN_MINUTES = 30
 DAY = 86_400
 
 
-def cover_by_day(memberships: DataFrame, days: DataFrame) -> DataFrame:
-    """For each (client, day) with a membership in force: the one ending last.
-
-    ``days`` gives the span of days asked about, as one row ``(first, last)``.
-    Intervals are clipped to it and unrolled to days, then reduced with a
-    map-side maximum, so no client's entries ever meet all of its memberships.
-    """
-    first = days.select("first").scalar()
-    last = days.select("last").scalar()
-    clipped = (
-        memberships.filter("status = 'active'")
-        .select("client_id", F.col("id").alias("membership_id"), "start_date", "end_date")
-        .withColumn("_from", F.greatest("start_date", first))
-        .withColumn("_to", F.least("end_date", last))
-        .filter(F.col("_from") <= F.col("_to"))
-    )
-    return (
-        clipped.select(
-            "client_id",
-            F.explode(F.sequence("_from", "_to")).alias("entry_day"),
-            F.struct("end_date", "membership_id").alias("_m"),
-        )
-        .groupBy("client_id", "entry_day")
-        .agg(F.max("_m").alias("_m"))
-        .select("client_id", "entry_day", "_m.membership_id", F.col("_m.end_date").alias("membership_end_date"))
-    )
-
-
 def attribute_entries(
     entries: DataFrame, memberships: DataFrame, *, ts: str = "entered_at", how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -90,6 +63,49 @@ def _chain(seconds: Column, start: Column, cooldown: int) -> Column:
     return F.aggregate(seconds, start, lambda last, s: F.when(s >= last + cooldown, s).otherwise(last))
 
 
+def _day_links(days: DataFrame, cooldown: int) -> DataFrame:
+    """``days`` with ``starts``, the swipes that may be a day's first accepted one, and ``to``, what each start makes of the next day.
+
+    ``to`` holds for each start the place of the next day's start among its own (their number: none), and is NULL where the next day
+    starts free: there is none, or its first swipe comes a cooldown after this day's last.
+    """
+    opens = F.col("day") * DAY + cooldown
+    late = F.filter("secs", lambda s: s >= opens)
+    starts = F.concat(F.filter("secs", lambda s: s < opens), F.slice(late, 1, 1))
+    linked = days.withColumn("starts", starts).withColumn("lasts", F.transform("starts", lambda s: _chain(F.col("secs"), s, cooldown)))
+    following = linked.select("client_id", (F.col("day") - 1).alias("day"), F.col("starts").alias("_next"))
+    to = F.transform("lasts", lambda last: F.size(F.filter("_next", lambda s: s < last + cooldown)))
+    bound = F.get("_next", F.lit(0)) < F.element_at("secs", -1) + cooldown
+    return linked.join(following, ["client_id", "day"], "left").select("client_id", "day", "secs", "starts", F.when(bound, to).alias("to"))
+
+
+def _day_starts(links: DataFrame) -> DataFrame:
+    """``(client_id, day, at)``: the place of the start that each day truly has.
+
+    Days that start free have their first. Where all starts of a day make the same of the next, that is known too. What is left are runs of
+    days through which every start still matters: their maps are composed by doubling, so that after ``n`` rounds a day that is known
+    has told the days up to ``2 ** n`` behind it. A row holds one map of one day whatever the client's share of the swipes.
+    """
+    before = links.select("client_id", (F.col("day") + 1).alias("day"), F.col("to").alias("_from"))
+    same = F.array_min("_from") == F.array_max("_from")
+    at = F.when(F.col("_from").isNull(), F.lit(0)).when(same, F.array_min("_from"))
+    known = durable(links.select("client_id", "day", "to").join(before, ["client_id", "day"], "left").select("client_id", "day", "to", at.alias("at")))
+    tells = F.col("to").isNotNull() & (F.array_min("to") != F.array_max("to"))
+    first = known.where("at IS NOT NULL").select("client_id", "day", "at")
+    if known.where("at IS NULL").isEmpty():
+        return first
+    state, step = known.where(F.col("at").isNull() | tells), 1
+    while not state.where("at IS NULL").isEmpty():
+        ahead = state.select("client_id", (F.col("day") - step).alias("day"), F.col("to").alias("_ahead"))
+        behind = state.where("at IS NOT NULL AND to IS NOT NULL").select("client_id", (F.col("day") + step).alias("day"), F.get("to", F.col("at")).alias("_told"))
+        composed = F.when(F.col("_ahead").isNotNull(), F.transform("to", lambda x: F.get("_ahead", x)))
+        joined = state.join(ahead, ["client_id", "day"], "left").join(behind, ["client_id", "day"], "left")
+        state = durable(joined.select("client_id", "day", composed.alias("to"), F.coalesce("at", "_told").alias("at")))
+        step *= 2
+    late = known.where("at IS NULL").select("client_id", "day").join(state.select("client_id", "day", "at"), ["client_id", "day"])
+    return first.unionByName(late)
+
+
 def cooldown_accepted(
     swipes: DataFrame, *, minutes: int = COOLDOWN_MINUTES, last_entries: DataFrame | None = None
 ) -> DataFrame:
@@ -102,9 +118,9 @@ def cooldown_accepted(
     one client and one day. Two swipes in one second cannot both be accepted, so
     such a group has at most 86,400 distinct seconds whatever the client's share
     of the rows. What a day passes on depends only on its first accepted swipe,
-    which is one of those in the first ``minutes`` or the first one after them;
-    the days of a client are then linked by those few pairs, and each day is
-    replayed once from the state it truly starts in.
+    which is one of those in the first ``minutes`` or the first one after them: a day is
+    a map from its starts to those of the next day. The maps are composed by doubling
+    (no two days of a client ever meet in one row), and each day is replayed once from its true start.
     """
     cooldown = minutes * 60
     if last_entries is not None:
@@ -117,44 +133,14 @@ def cooldown_accepted(
         .groupBy("client_id", "day")
         .agg(F.sort_array(F.collect_set("sec")).alias("secs"))
     )
-    opens = F.col("day") * DAY + cooldown
-    late = F.filter("secs", lambda s: s >= opens)
-    starts = F.concat(F.filter("secs", lambda s: s < opens), F.slice(late, 1, 1))
-    links = days.select(
-        "client_id",
-        "day",
-        F.transform(starts, lambda s: F.struct(s.alias("first"), _chain(F.col("secs"), s, cooldown).alias("last"))).alias(
-            "links"
-        ),
-    )
-    ordered = links.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("day", "links"))).alias("days"))
-    def step(state: Column, d: Column) -> Column:
-        taken = F.filter(
-            d["links"], lambda link: state["last"].isNull() | (link["first"] >= state["last"] + cooldown)
-        )
-        after = F.when(F.size(taken) > 0, F.get(taken, F.lit(0))["last"]).otherwise(state["last"])
-        return F.struct(
-            after.alias("last"),
-            F.concat(
-                state["seen"], F.array(F.struct(d["day"].alias("day"), state["last"].alias("before")))
-            ).alias("seen"),
-        )
-
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<struct<day:bigint,before:bigint>>").alias("seen"),
-    )
-    befores = ordered.select(
-        "client_id", F.inline(F.aggregate("days", start, step, lambda s: s["seen"]))
-    )
+    links = durable(_day_links(days, cooldown))
 
     def accept(taken: Column, s: Column) -> Column:
-        last = F.coalesce(F.try_element_at(taken, F.lit(-1)), F.col("before"))
-        return F.when(last.isNull() | (s >= last + cooldown), F.concat(taken, F.array(s))).otherwise(taken)
+        last = F.try_element_at(taken, F.lit(-1))
+        return F.when(F.coalesce(s >= last + cooldown, s >= F.col("first")), F.concat(taken, F.array(s))).otherwise(taken)
 
-    return days.join(befores, ["client_id", "day"]).select(
-        "client_id", F.explode(F.aggregate("secs", F.array().cast("array<bigint>"), accept)).alias("sec")
-    )
+    started = links.join(_day_starts(links), ["client_id", "day"]).select("client_id", "secs", F.get("starts", F.col("at")).alias("first"))
+    return started.where("first IS NOT NULL").select("client_id", F.explode(F.aggregate("secs", F.array().cast("array<bigint>"), accept)).alias("sec"))
 
 
 def entry_cooldown(

@@ -205,6 +205,27 @@ def test_cooldown_equals_walk(spark, seed):
     assert got == walk_cooldown(rows, last)
 
 
+def test_ten_years_of_full_days_take_log_rounds_and_small_rows(spark, monkeypatch):
+    """A swipe every ten minutes: which of three phases is accepted depends on the very first swipe, ten years back."""
+    written = []
+    keep = attendance.durable
+    monkeypatch.setattr(attendance, "durable", lambda df: written.append(out := keep(df)) or out)
+    days, first = 3650, 1_400_000_000 // 86_400 * 86_400
+    steady = spark.range(days * 144).select(F.lit(1).cast("bigint").alias("client_id"), (F.col("id") * 600 + first + 599).alias("sec"))
+    others = spark.range(40_000).select((F.col("id") % 3 + 2).alias("client_id"), (F.col("id") * 211 + F.pmod(F.xxhash64("id"), F.lit(900)) + first).alias("sec"))
+    swipes = steady.unionByName(others)
+    got = attendance.cooldown_accepted(swipes).collect()
+    want, last = set(), {}
+    for r in swipes.distinct().orderBy("client_id", "sec").collect():
+        if r.client_id not in last or r.sec - last[r.client_id] >= 1800:
+            last[r.client_id] = r.sec
+            want.add((r.client_id, r.sec))
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and len([w for w in want if w[0] == 1]) == days * 48
+    rounds = [w for w in written if w.columns == ["client_id", "day", "to", "at"]]
+    assert len(rounds) <= 2 + 12  # 2 ** 12 > 3650
+    assert rounds[0].agg(F.max(F.size("to"))).first()[0] <= 1801
+
+
 def test_register_entries(spark):
     span = (dt.date(2024, 1, 1), dt.date(2024, 1, 31))
     ms = spark.createDataFrame([member(5, 1, *span), member(6, 1, span[0], dt.date(2024, 2, 5)), member(7, 2, *span, "cancelled")],
