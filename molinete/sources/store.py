@@ -55,6 +55,8 @@ class Snapshot:
     store: Store
     number: int
     tables: Mapping[str, Table]
+    #: What writers noted with their commits, the latest of each name: how far a stream has come, say.
+    notes: Mapping[str, int] = field(default_factory=dict)
 
     def read(self, name: str, keys: Sequence[int] | None = None) -> DataFrame:
         """A table as this state has it; of a keyed table only the ranges that may hold ``keys``, if given."""
@@ -64,6 +66,12 @@ class Snapshot:
         wanted = {k // table.width for k in keys}
         return self.store._open(table, [p for no, p in sorted(table.ranges.items()) if no in wanted]).filter(F.col(table.key).isin(list(keys)))
 
+    def read_for(self, name: str, rows: DataFrame) -> DataFrame:
+        """Of a keyed table the ranges that hold keys of ``rows`` (which has the key column): the rest is not opened."""
+        table = self.tables[name]
+        wanted = _ranges_of(rows, table)
+        return self.store._open(table, [p for no, p in sorted(table.ranges.items()) if no in wanted])
+
 
 # --- what a commit may do to a table ------------------------------------------
 
@@ -163,7 +171,7 @@ class Store:
         if number == 0:
             return Snapshot(self, 0, {})
         body = json.loads(self._text(f"{self.root}/{_MANIFESTS}/{number}"))
-        return Snapshot(self, number, {name: Table.from_json(t) for name, t in body["tables"].items()})
+        return Snapshot(self, number, {name: Table.from_json(t) for name, t in body["tables"].items()}, body["notes"])
 
     def read(self, name: str) -> DataFrame:
         return self.snapshot().read(name)
@@ -172,8 +180,8 @@ class Store:
         """The states that are there, ascending."""
         return sorted(int(n) for n in self._names(f"{self.root}/{_MANIFESTS}") if n.isdigit())
 
-    def commit(self, changes: Mapping[str, Change], *, base: Snapshot | None = None) -> Snapshot:
-        """All of ``changes`` on top of ``base`` (else the latest state), or nothing.
+    def commit(self, changes: Mapping[str, Change], *, base: Snapshot | None = None, notes: Mapping[str, int] | None = None) -> Snapshot:
+        """All of ``changes`` on top of ``base`` (else the latest state), or nothing; ``notes`` are kept with the state.
 
         Tables that are not named stay as they are. If another commit was made on the same ``base``, :class:`Conflict` is raised. What a
         failed commit has written is removed, and nothing ever names it.
@@ -183,7 +191,7 @@ class Store:
         folders = {name: f"{name}/v-{stamp}" for name in changes}
         try:
             staged = {name: change.stage(self, base.tables.get(name), folders[name]) for name, change in changes.items()}
-            return self._publish(base.number + 1, {**base.tables, **staged})
+            return self._publish(base.number + 1, {**base.tables, **staged}, {**base.notes, **(notes or {})})
         except BaseException:
             for folder in folders.values():
                 remove(self.spark, f"{self.root}/{folder}")
@@ -191,7 +199,8 @@ class Store:
 
     def rollback(self, number: int) -> Snapshot:
         """A new state that names the files of state ``number`` again."""
-        return self._publish(max(self.numbers(), default=0) + 1, self.snapshot(number).tables)
+        old = self.snapshot(number)
+        return self._publish(max(self.numbers(), default=0) + 1, old.tables, old.notes)
 
     def forget(self, keep: int = 10) -> list[str]:
         """Drop all but the last ``keep`` states (one at least) and the files that only they name; returns these folders."""
@@ -229,7 +238,7 @@ class Store:
 
     def _rewrite(self, now: Table, folder: str, changes: DataFrame, make, adds: bool) -> Table:
         """``now`` with the ranges that ``changes`` touch made anew from their rows; the others keep their files."""
-        touched = {r[0] for r in changes.select(range_of(now.key, now.width)).distinct().collect() if r[0] is not None}  # at most one number a range
+        touched = _ranges_of(changes, now)
         if not adds:
             touched &= set(now.ranges)
         if not touched:
@@ -239,8 +248,8 @@ class Store:
         kept = {n: p for n, p in now.ranges.items() if n not in touched}
         return Table(now.schema, (), now.key, now.width, {**kept, **made})
 
-    def _publish(self, number: int, tables: Mapping[str, Table]) -> Snapshot:
-        body = json.dumps({"number": number, "tables": {name: t.to_json() for name, t in sorted(tables.items())}})
+    def _publish(self, number: int, tables: Mapping[str, Table], notes: Mapping[str, int]) -> Snapshot:
+        body = json.dumps({"number": number, "tables": {name: t.to_json() for name, t in sorted(tables.items())}, "notes": dict(notes)})
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path
         target = path(f"{self.root}/{_MANIFESTS}/{number}")
@@ -262,7 +271,7 @@ class Store:
             if files.exists(target):
                 raise Conflict(f"state {number} is there already") from e
             raise
-        return Snapshot(self, number, dict(tables))
+        return Snapshot(self, number, dict(tables), dict(notes))
 
     def _names(self, folder: str) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -278,6 +287,11 @@ class Store:
             stream.close()
 
 
+def _ranges_of(rows: DataFrame, table: Table) -> set[int]:
+    """The ranges that keys of ``rows`` fall into: at most one number a range comes to the driver."""
+    return {r[0] for r in rows.select(range_of(table.key, table.width)).distinct().collect() if r[0] is not None}
+
+
 def range_of(key: str, width: int) -> Column:
     """The number of the key's range, rounded down: the same rule for the stored rows and for what changes them."""
     return F.expr(f"cast((`{key}` - pmod(`{key}`, {width}L)) div {width}L AS bigint)")

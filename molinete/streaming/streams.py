@@ -7,23 +7,19 @@ third of the stream fills at most a third of one bounded micro-batch.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructType
 
 from molinete.functions.scalars import expense, income, signed_amount
 from molinete.operators.attendance import COOLDOWN_MINUTES
 from molinete.operators.rows import latest_per_key
 from molinete.plans.members import register_entries
-from molinete.session import work_folder
+from molinete.session import durable, work_folder
+from molinete.sources.store import WIDTH, Append, Put, Replace, Store
 
 TOTAL = "decimal(38,2)"
-GATE_SCHEMA = "id bigint, client_id bigint, sec bigint, membership_id bigint, accepted boolean, reason string, next_allowed bigint"
-GATE_STATE = "last bigint"
 
 
 def read_stream(
@@ -36,105 +32,31 @@ def read_stream(
     return reader.parquet(folder)
 
 
-def _gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, minutes: int) -> Iterator[pd.DataFrame]:
-    """One client's swipes of a micro-batch, in time order, against the last accepted one."""
-    wait = minutes * 60
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["sec", "id"], kind="stable")
-    accepted, reasons, nexts = [], [], []
-    for sec, member in zip(rows["sec"].tolist(), rows["membership_id"].isna().tolist()):
-        if member:
-            verdict = (False, "no_active_membership", None)
-        elif last is not None and sec - last < wait:
-            verdict = (False, "cooldown", last + wait)
-        else:
-            last, verdict = sec, (True, None, None)
-        accepted.append(verdict[0])
-        reasons.append(verdict[1])
-        nexts.append(verdict[2])
-    if last is not None:
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + wait) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(
-        {
-            "id": rows["id"].to_numpy(),
-            "client_id": rows["client_id"].to_numpy(),
-            "sec": rows["sec"].to_numpy(),
-            "membership_id": rows["membership_id"].astype("Int64").array,
-            "accepted": accepted,
-            "reason": pd.Series(reasons, dtype=object),
-            "next_allowed": pd.array(nexts, dtype="Int64"),
-        }
-    )
-
+def gate_batches(
+    swipes: DataFrame, clients: DataFrame, memberships: DataFrame, store: Store, checkpoint: str, *, minutes: int = COOLDOWN_MINUTES, width: int = WIDTH
+):
+    """Each swipe accepted or rejected with a reason and the next allowed time, as it arrives; returns the running query.
 
-def entry_gate(
-    swipes: DataFrame, cover: DataFrame, *, minutes: int = COOLDOWN_MINUTES, late: str = "1 day"
-) -> DataFrame:
-    """Each swipe accepted or rejected with a reason and the next allowed time, in stream.
+    ``swipes``: ``id, client_id, entered_at``. Every micro-batch is judged by :func:`register_entries` (no client in one task, no row in Python) against the
+    last accepted entry of its clients. That is all the gate keeps: one row per client in the keyed table ``gate_last``, of which a batch opens and
+    rewrites only the ranges its clients fall into. Verdicts go to ``entries``; both are published by one commit that notes the batch's number, so a
+    batch that is run again after a stop is judged once.
 
-    ``swipes``: ``id, client_id, entered_at``. ``cover`` is ``cover_by_day`` of the memberships: the
-    static side, one row per client and day. State is the last accepted second per client; it is
-    dropped once the watermark has passed its cooldown. Swipes over ``late`` behind the stream are
-    dropped by the watermark; one older than the client's last accepted entry is rejected.
+    Swipes are judged in the order of arrival, and within a batch by time. One that is older than the client's last accepted entry, however
+    late, gets its answer: ``cooldown``, until ``minutes`` after that entry. One of an unknown client is ``client_not_found``.
     """
-    timed = (
-        swipes.select("id", "client_id", F.col("entered_at").cast("timestamp").alias("at"))
-        .withWatermark("at", late)
-        .withColumn("entry_day", F.to_date("at"))
-        .withColumn("sec", F.unix_seconds("at"))
-    )
-    known = timed.join(cover.select("client_id", "entry_day", "membership_id"), ["client_id", "entry_day"], "left")
-
-    def gate(key, frames, state):
-        return _gate(key, frames, state, minutes)
-
-    out = (
-        known.select("id", "client_id", "sec", "membership_id", "at")
-        .groupBy("client_id")
-        .applyInPandasWithState(gate, GATE_SCHEMA, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
-    at = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
-    return out.select(
-        "id",
-        "client_id",
-        at("sec").alias("entered_at"),
-        "membership_id",
-        "accepted",
-        "reason",
-        at("next_allowed").alias("next_allowed_at"),
-    )
-
-
-def gate_batches(swipes: DataFrame, clients: DataFrame, memberships: DataFrame, folder: str):
-    """The gate as micro-batches of the batch operator: for streams in which one client is very hot.
-
-    Each batch is judged by ``register_entries`` (no client in one task) against the entries accepted
-    in earlier batches, and written under its own number, so a repeated batch replaces itself.
-    """
-    spark = swipes.sparkSession
-    out = f"{folder.rstrip('/')}/entries"
 
     def judge(batch: DataFrame, epoch: int) -> None:
-        last = None
-        if epoch > 0:
-            # Only entries less than a cooldown before this batch (or after it) can hold a swipe back.
-            since = batch.agg(F.min("entered_at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(COOLDOWN_MINUTES))).scalar()
-            recent = (F.col("epoch") < epoch) & F.col("accepted") & (F.col("entered_at") > since)
-            earlier = spark.read.parquet(out).filter(recent)
-            last = earlier.groupBy("client_id").agg(F.max("entered_at").alias("entered_at"))
-        judged = register_entries(batch, clients, memberships, last)
-        judged.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    return (
-        swipes.writeStream.foreachBatch(judge)
-        .option("checkpointLocation", f"{folder.rstrip('/')}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+        now = store.snapshot()
+        if now.notes.get("gate", -1) >= epoch:
+            return
+        known = "gate_last" in now.tables
+        judged = durable(register_entries(batch, clients, memberships, now.read_for("gate_last", batch) if known else None, minutes=minutes))
+        last = judged.filter("accepted").groupBy("client_id").agg(F.max("entered_at").alias("entered_at"))
+        change = Put(last) if known else Replace(last, key="client_id", width=width)
+        store.commit({"entries": Append(judged), "gate_last": change}, base=now, notes={"gate": epoch})
+
+    return swipes.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drawer_totals(movements: DataFrame) -> DataFrame:
