@@ -20,7 +20,7 @@ TOTAL = "decimal(38,2)"
 @dataclass(frozen=True)
 class Rule:
     field: str
-    message: str
+    message: str | Column  # a column where the message names what is at fault
     fails: Column
 
 
@@ -29,7 +29,8 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     failed = F.array(
         *[
             F.when(
-                F.coalesce(r.fails, F.lit(True)), F.struct(F.lit(r.field).alias("field"), F.lit(r.message).alias("message"))
+                F.coalesce(r.fails, F.lit(True)),
+                F.struct(F.lit(r.field).alias("field"), (F.lit(r.message) if isinstance(r.message, str) else r.message).alias("message")),
             )
             for r in rules
         ]
@@ -206,7 +207,7 @@ def category_rules() -> list[Rule]:
 
 
 def sale_rules() -> list[Rule]:
-    """Items are checked as a whole here; ``item_errors`` names the items at fault."""
+    """The first item at fault is named by its number; ``item_errors`` has all of them."""
     split = _has("payments")
     no_client = F.coalesce(F.col("client_id") == 0, F.lit(True))
     on_account = F.when(split, F.exists("payments", lambda p: p["payment_method"] == "current_account")).otherwise(
@@ -217,7 +218,7 @@ def sale_rules() -> list[Rule]:
         Rule("items", "La venta debe incluir al menos un producto", ~_has("items")),
         Rule(
             "items",
-            "Cada item debe tener product_id y cantidad mayor a 0",
+            F.get(item_errors(), F.lit(0)),
             _has("items") & F.exists("items", lambda i: _no_product(i) | _no_quantity(i)),
         ),
         Rule(

@@ -574,21 +574,40 @@ def _(r: Roles):
     return _errors(Q.apply_rules(rows, Q.stock_movement_rules()), "id").drop("message")
 
 
+# The messages are fixed values.
 _SALE_RULES = """SELECT s.request_id, concat_ws(';', CASE WHEN n = 0 THEN 'items=La venta debe incluir al menos un producto' END,
-        CASE WHEN zero THEN 'items=Cada item debe tener product_id y cantidad mayor a 0' END,
-        CASE WHEN k NOT IN ('1', '2', '3', '4') THEN 'payment_method=El método de pago debe ser cash, transfer, credit_card o current_account' END,
-        CASE WHEN k = '4' AND coalesce(client_id, 0) = 0 THEN 'client_id=Para venta a cuenta corriente es obligatorio indicar el cliente (client_id)' END)
-        AS errors
+        CASE WHEN fault IS NOT NULL THEN 'items=El item ' || fault || CASE WHEN nameless THEN ' debe tener product_id' ELSE ' debe tener cantidad mayor a 0' END END,
+        CASE WHEN split AND request_id % 12 = 0 THEN
+            'payments=Cada pago debe tener método válido (cash, transfer, credit_card, current_account) y monto mayor a 0' END,
+        CASE WHEN NOT split AND k NOT IN ('1', '2', '3', '4') THEN 'payment_method=El método de pago debe ser cash, transfer, credit_card o current_account' END,
+        CASE WHEN CASE WHEN split THEN request_id % 8 = 0 ELSE k = '4' END AND coalesce(client_id, 0) = 0
+            THEN 'client_id=Para venta a cuenta corriente es obligatorio indicar el cliente (client_id)' END) AS errors
     FROM (SELECT o_orderkey AS request_id, substr(o_orderpriority, 1, 1) AS k, CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS client_id,
-        coalesce(n, 0) AS n, coalesce(zero, false) AS zero FROM orders LEFT JOIN (SELECT request_id, count(*) AS n, bool_or(product_id = 0) AS zero
-        FROM sale_request_lines GROUP BY request_id) l ON l.request_id = o_orderkey) s"""
+        o_orderkey % 4 = 0 AS split, coalesce(n, 0) AS n, fault, nameless FROM orders LEFT JOIN (
+            SELECT request_id, count(*) AS n, min(no) FILTER (bad) AS fault, arg_min(product_id = 0, no) FILTER (bad) AS nameless FROM (
+                SELECT request_id, product_id, product_id = 0 OR (product_id % 17 = 5 AND request_id % 3 = 0) AS bad,
+                    row_number() OVER (PARTITION BY request_id ORDER BY product_id) AS no FROM sale_request_lines) GROUP BY request_id) l ON l.request_id = o_orderkey) s"""
 
 
-@query("validate_sales", _SALE_RULES)
-def _(r: Roles):
+def _faulty_requests(r: Roles):
+    """Sale requests of which some have items without a quantity, and a quarter is paid in two parts, some of them wrong."""
     from molinete.registry.sales import sale_requests
 
-    return _errors(Q.apply_rules(sale_requests(r), Q.sale_rules()), "request_id").drop("message")
+    key = F.col("request_id")
+    nothing = key % 3 == 0
+    items = F.transform(
+        "items",
+        lambda i: F.struct(i["product_id"].alias("product_id"), F.when(nothing & (i["product_id"] % 17 == 5), F.lit(0)).otherwise(i["quantity"]).cast("decimal(12,3)").alias("quantity")),
+    )
+    pay = lambda method, amount: F.struct(method.alias("payment_method"), amount.cast("decimal(12,2)").alias("amount"))
+    second = pay(F.when(key % 8 == 0, "current_account").otherwise("transfer"), F.when(key % 12 == 0, F.lit(0)).otherwise(F.lit(5)))
+    parts = F.array(pay(F.lit("cash"), F.lit(10)), second)
+    return sale_requests(r).withColumn("items", items).withColumn("payments", F.when(key % 4 == 0, parts).otherwise(F.col("payments")))
+
+
+@query("validate_sales", _SALE_RULES)
+def _(r: Roles):
+    return _errors(Q.apply_rules(_faulty_requests(r), Q.sale_rules()), "request_id").drop("message")
 
 
 @query(
