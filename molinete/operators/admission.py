@@ -9,10 +9,11 @@ all earlier undecided withdrawals were accepted and no earlier undecided receipt
 from above the other way round. A line that fits the lower bound fits for certain,
 one that fails the upper bound fails for certain. Such rounds go on for as long as they decide a quarter of what is open.
 
-What is open then waits for scarce items. Requests that share none, not even through others, do not
+What is open then waits for scarce items. A request whose open lines wait for just one other request is
+accepted with it, or exactly if it is not: such links are followed by doubling, so a chain of any length
+costs a step for each binary digit of it. Requests that share no item, not even through others, do not
 touch one another, so the open ones fall into connected components, and each component is folded
-in request order: its first ``CHAIN`` requests are decided exactly at once. A chain of scarce items so costs
-a round for every ``CHAIN`` links, and bounds settle what a long one leaves. Rounds are cut with a written table.
+in request order: its first ``CHAIN`` requests are decided exactly at once. Rounds are cut with a written table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from molinete.operators.components import components
+from molinete.operators.components import components, follow_links
 from molinete.operators.running import HOT_ROWS, Running, row_numbers, running, size_probe
 from molinete.session import durable
 
@@ -51,6 +52,8 @@ def _bounded(work: DataFrame, hot_rows: int, sizes: tuple[int, int]) -> DataFram
     outputs = {n: Running("sum", F.coalesce(v, zero), inclusive=False) for n, v in sums.items()}
     ahead = F.when(F.col("state") == "open", F.lit(1)).otherwise(F.lit(0))
     outputs["_ahead"] = Running("sum", ahead, inclusive=False)
+    outputs["_rivals"] = Running("sum", F.when(open_, F.lit(1)).otherwise(F.lit(0)), inclusive=False)
+    outputs["_rival"] = Running("max", F.when(open_, F.struct(*ORDER)), inclusive=False)
     seen = running(work, ["item_id"], ORDER, outputs, hot_rows=hot_rows, sizes=sizes)
     return (
         seen.filter("state = 'open'")
@@ -74,6 +77,30 @@ def _by_request(bounded: DataFrame) -> DataFrame:
     return bounded.select(*_LINE).join(verdicts, "request_id")
 
 
+def _by_link(bounded: DataFrame) -> DataFrame:
+    """As :func:`_by_request`; besides, what waits for one other request is decided with it, however long the chain.
+
+    A line that is open and has one open line in front fits in one of two cases: that request is accepted or it is not.
+    """
+    waits = ~F.col("fits") & ~F.col("fails")
+    # What the one in front would take away makes the lower bound; what it would add, the upper one.
+    on = F.when(waits, F.struct(F.when(F.col("_rivals") == 1, F.col("_rival.request_id")).alias("on"), (F.col("low") < F.col("base")).alias("flip")))
+    found = bounded.groupBy("request_id").agg(
+        F.bool_or("fails").alias("fails"), F.bool_and("fits").alias("fits"), F.min(on).alias("lo"), F.max(on).alias("hi")
+    )
+    alone = F.col("lo.on").isNotNull() & F.coalesce(F.col("lo.on") == F.col("hi.on"), F.lit(False))
+    torn = alone & (F.col("lo.flip") != F.col("hi.flip"))  # one line needs the other request, one needs it refused
+    state = F.when(F.col("fails") | torn, "rejected").when(F.col("fits"), "accepted").otherwise("open")
+    verdicts = durable(found.select("request_id", state.alias("state"), F.when((state == "open") & alone, F.col("lo")).alias("link")))
+    links = verdicts.where("link IS NOT NULL").select(F.col("request_id").alias("id"), "link.on", "link.flip")
+    if not links.isEmpty():
+        ends = verdicts.select(F.col("request_id").alias("on"), F.col("state").alias("end"))
+        told = follow_links(links).join(ends, "on").where("end <> 'open'")
+        told = told.select(F.col("id").alias("request_id"), F.when((F.col("end") == "accepted") != F.col("flip"), "accepted").otherwise("rejected").alias("told"))
+        verdicts = verdicts.join(told, "request_id", "left").select("request_id", F.coalesce("told", "state").alias("state"))
+    return bounded.select(*_LINE).join(verdicts.select("request_id", "state"), "request_id")
+
+
 def _by_component(bounded: DataFrame, hot_rows: int) -> DataFrame:
     """Open lines with their state: the first ``CHAIN`` requests of every connected component are folded exactly."""
     request, item = F.col("request_id") * 2, F.col("item_id") * 2 + 1
@@ -151,13 +178,15 @@ def admit(
         )
     )
     sizes = size_probe(work, ["item_id"])
-    decided, waiting, stuck = [], work.count(), False
+    decided, waiting, stuck = [], work.count(), 0
     while True:
         bounded = _bounded(work, hot_rows, sizes)
         if single_line:
             judged = _by_line(bounded)
+        elif not stuck:
+            judged = _by_request(bounded)
         else:
-            judged = _by_component(durable(bounded), hot_rows) if stuck else _by_request(bounded)
+            judged = _by_link(durable(bounded)) if stuck == 1 else _by_component(durable(bounded), hot_rows)
         judged = durable(judged)
         decided.append(
             judged.filter("state <> 'open'").select("request_id", (F.col("state") == "accepted").alias("accepted"))
@@ -165,8 +194,8 @@ def admit(
         left = judged.filter("state = 'open'").count()
         if not left:
             break
-        # Bounds go on for as long as they decide a quarter of what is open; a fold is next where they do not.
-        stuck, waiting = not stuck and left > 0.75 * waiting, left
+        # Bounds go on for as long as they decide a quarter of what is open; where they do not, links are next, and a fold where these do not either.
+        stuck, waiting = (stuck + 1) % 3 if left > 0.75 * waiting else 0, left
         work = judged.filter("state <> 'rejected'")
         if sizes[1] > hot_rows:  # what is left may have no hot item any more
             sizes = size_probe(work, ["item_id"])

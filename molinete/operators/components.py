@@ -1,4 +1,4 @@
-"""Connected components of a link table, by large stars and small stars."""
+"""Connected components of a link table, by large stars and small stars; chains of links, by doubling."""
 
 from __future__ import annotations
 
@@ -41,3 +41,20 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
         before = now
+
+
+def follow_links(links: DataFrame) -> DataFrame:
+    """``(id, on, flip)`` with ``on`` the end of each chain, from ``(id, on, flip)``, one link per ``id``; ``flip`` is turned once for every link that has it.
+
+    Each step doubles how far a link reaches, so a chain takes as many steps as its length has binary digits. Links must not go round.
+    """
+    state = durable(links)
+    while True:
+        ahead = state.select(F.col("id").alias("on"), F.col("on").alias("next"), F.col("flip").alias("turn"))
+        further = state.join(ahead, "on", "left").select(
+            "id", F.coalesce("next", "on").alias("on"), (F.col("flip") != F.coalesce("turn", F.lit(False))).alias("flip"), F.col("next").isNotNull().alias("moved")
+        )
+        state = durable(further)
+        if state.where("moved").isEmpty():
+            return state.drop("moved")
+        state = state.drop("moved")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from molinete.operators.components import follow_links
 from molinete.session import durable
 
 def _never() -> Column:
@@ -61,21 +62,6 @@ def _judged(claims: DataFrame, held: DataFrame, state: DataFrame) -> DataFrame:
     return out.select("id", "place", certain.alias("certain"), F.when(~certain, F.concat(releasing, before)).alias("waits"))
 
 
-def _followed(links: DataFrame) -> DataFrame:
-    """``(id, on, flip)`` with ``on`` the end of each chain of links; each step doubles how far a link reaches."""
-    state = durable(links)
-    while True:
-        ahead = state.select(F.col("id").alias("on"), F.col("on").alias("next"), F.col("flip").alias("turn"))
-        moved = F.col("next").isNotNull()
-        further = state.join(ahead, "on", "left").select(
-            "id", F.coalesce("next", "on").alias("on"), (F.col("flip") != F.coalesce("turn", F.lit(False))).alias("flip"), moved.alias("moved")
-        )
-        state = durable(further)
-        if state.where("moved").isEmpty():
-            return state.drop("moved")
-        state = state.drop("moved")
-
-
 def settle_claims(claims: DataFrame, held: DataFrame) -> DataFrame:
     """``(id, place)`` of the claims that fail; a change with any of them is rejected and gives nothing up.
 
@@ -107,7 +93,7 @@ def settle_claims(claims: DataFrame, held: DataFrame) -> DataFrame:
         state = seen.select("id", "accepted")
         if not links.isEmpty():
             ends = state.select(F.col("id").alias("on"), F.col("accepted").alias("end"))
-            told = _followed(links).join(ends, "on").select(F.col("id").alias("_id"), (F.col("end") != F.col("flip")).alias("told"))
+            told = follow_links(links).join(ends, "on").select(F.col("id").alias("_id"), (F.col("end") != F.col("flip")).alias("told"))
             state = durable(state.join(told, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("accepted", "told").alias("accepted")))
         if state.where("accepted IS NULL").isEmpty():
             break

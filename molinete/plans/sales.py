@@ -182,7 +182,7 @@ def post_sales(
     The request id is the sale's key; its children have keys from it and their line (:func:`posted_id`), and payments and the sale
     itself name their drawer movement. A request with several faults is rejected for the first of: items, products, stock, payments, client.
     """
-    lines = price_lines(requests, products)
+    lines = durable(price_lines(requests, products))  # read for sums, demand, items and stock
     judged = judge_sales(requests, lines, clients, products, hot_rows=hot_rows)
     drawer = open_session(sessions).select("id").scalar()
     accepted = judged.filter("reason IS NULL").withColumn("cash_session_id", drawer)

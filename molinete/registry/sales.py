@@ -139,7 +139,7 @@ def sale_requests(r: Roles):
 
 
 def _posted(r: Roles):
-    return S.post_sales(sale_requests(r), r.products, r.clients, r.cash_sessions, r.current_account)
+    return S.post_sales(durable(sale_requests(r)), r.products, r.clients, r.cash_sessions, r.current_account)
 
 
 # One recursive step per sale in request order; ``walk`` keeps one row per key: (0, 0) the sale just decided,

@@ -442,3 +442,30 @@ def test_a_chain_of_scarce_items_takes_few_rounds(spark, monkeypatch):
         spark.createDataFrame(stock, "item_id bigint, stock decimal(12,3)"),
     )
     assert sum(r.accepted for r in again.collect()) == n // 2 + 2 and len(rounds) <= 3 * (n // 60 + 1)
+
+
+def test_twenty_thousand_linked_requests_take_log_rounds(spark, monkeypatch):
+    """Every request waits for the one before: some items have enough for one of two, some are brought by the request before."""
+    from molinete.operators import admission, components
+
+    steps, rounds = [], []
+    keep, bounded = components.durable, admission._bounded
+    monkeypatch.setattr(components, "durable", lambda df: steps.append(1) or keep(df))
+    monkeypatch.setattr(admission, "_bounded", lambda *a: rounds.append(1) or bounded(*a))
+    n = 20_000
+    base = spark.range(n).select(F.col("id").alias("request_id"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("requested_at"))
+    one = F.lit(1).cast("decimal(12,3)")
+    takes = base.select("*", F.col("request_id").alias("item_id"), (-one).alias("delta"), F.lit(True).alias("guarded"))
+    # Item i + 1 is left for the next request by three of four; every fourth brings it instead.
+    gives = F.col("request_id") % 4 == 3
+    hands = base.select("*", (F.col("request_id") + 1).alias("item_id"), F.when(gives, one).otherwise(-one).alias("delta"), (~gives).alias("guarded"))
+    stock = spark.range(n + 1).select(F.col("id").alias("item_id"), F.when((F.col("id") % 4 == 0) & (F.col("id") > 0), 0).otherwise(1).cast("decimal(12,3)").alias("stock"))
+    got = {r.request_id: r.accepted for r in admission.admit(takes.unionByName(hands), stock).collect()}
+    want, levels = {}, [0 if i % 4 == 0 and i > 0 else 1 for i in range(n + 1)]
+    for i in range(n):
+        want[i] = levels[i] >= 1 and (i % 4 == 3 or levels[i + 1] >= 1)
+        if want[i]:
+            levels[i] -= 1
+            levels[i + 1] += 1 if i % 4 == 3 else -1
+    assert got == want and 0 < sum(want.values()) < n
+    assert len(rounds) <= 4 and len(steps) <= 18  # 2 ** 15 > 20,000
