@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from molinete.llm import pages as pages_module
+from molinete.llm import token_counts as token_counts_module
 from molinete.llm.context_mixing import BYTES_BACK, Mixer, Model, Vocabulary, batch_of, huffman, odds_of, spelling, OFFSETS
 from molinete.llm.lm import score_documents
 from molinete.llm.markup import ARTICLE, blocks
@@ -49,6 +51,19 @@ def test_token_counts_of_awkward_rows(spark):
     assert token_counts(frame(spark, []), model=MODEL).collect() == []
 
 
+def test_frequent_tier_equals_a_brute_count(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)] + ["x" * 40, "é", "日本"]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(len(words))], k=60)) + "\nnew line  two" for _ in range(300)] + [None, "", "once only"]
+    seen = Counter(p for t in texts for p in token_counts_module.pretokens(t or "") if 0 < len(p) <= token_counts_module.LONGEST)
+    monkeypatch.setattr(token_counts_module, "FREQUENT", 50)
+    monkeypatch.setattr(token_counts_module, "TALLIED", 100)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
+    want = sorted(((n, p) for p, n in seen.items() if n > 1), key=lambda x: (-x[0], x[1].encode()))[:50]
+    got = token_counts_module.frequent_pretokens(df, MODEL)
+    assert got == {p: COUNTS[p] for _, p in want} and len(got) == 50
+
+
 # Pages
 
 
@@ -98,6 +113,36 @@ def test_names_of_furniture_are_whole_and_spare_articles(html, want):
     assert " ".join(t for p, t in blocks(html) if p == ARTICLE) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<form id='aspnet'><header>top</header><article><p>all</p></article></form>", "all"),
+        ("<form class='search'><label><article><p>all</p></article></label><p>mail</p></form>", "all"),
+        ("<article><p>all</p><form><label>mail</label><p>send</p></form><fieldset>x</fieldset></article>", "all"),
+        ("<article><p title='the hidden valley'>all</p><p data-note='aria-hidden=true display:none'>here</p></article>", "all here"),
+        ("<article class='post hidden md:block'><p>all</p></article>", "all"),
+        ("<article><div data-id='share' data-class='menu' data-role='search'>all</div></article>", "all"),
+        ("<article><p hidden>a</p><p aria-hidden=TRUE>b</p><p style='color:red; Display : None'>c</p><p HIDDEN=''>d</p><p>all</p></article>", "all"),
+        ("<article>all<p class=\"x>and more</p></article>", "all and more"),
+        ("<article>all<p class='x\nand more</p></article>", "all"),
+        ("<article>all <a href=x\nand more", "all and more"),
+        ("<article>all<p a='1' class=\"menu\" class='y' / >gone</p></article>", "all"),
+        ("<article>1 < 2 <3 </ x><!-- > -->all<!x><?y?></article>", "1 < 2 <3 all"),
+    ],
+)
+def test_attributes_are_read_as_attributes(html, want):
+    assert " ".join(t for p, t in blocks(html) if p == ARTICLE) == want
+
+
+@pytest.mark.parametrize("piece", ["<a b ", '<a b="', "<p class='x' ", "<!-", "<![CDATA[", "</p ", "<p><b>", "<i class=ad>", "<script ", "<a \n", "<p a='>", "</b>", "<form>", "<b class=ad><div class=menu>", "<p id=\"a\" x='"])
+def test_crooked_markup_takes_linear_time(piece):
+    html = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    assert all("<p" not in text for _, text in blocks(html))
+    blocks(f"<article>{html}</b></i></p>>")
+    assert time.perf_counter() - start < 20  # two of a megabyte; a quadratic scan took a quarter of an hour for less
+
+
 def test_shared_lines_of_the_nearest_page_go(spark):
     rows = [
         (1, "http://h/a/1", "<body><div>Top bar</div><p>own one</p><p>same</p><div>Bottom</div>"),
