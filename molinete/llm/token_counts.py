@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from molinete.llm.common import text_of
 
-#: Rows and bytes of the frequent tier (a documented bound: it only saves time, counts never depend on it).
-FREQUENT, LONGEST, SAMPLE_ROWS = 65_536, 32, 1_024
+#: Pre-tokens of the frequent tier and characters of one (a documented bound: it only saves time, counts never depend on it).
+FREQUENT, LONGEST = 65_536, 32
+#: Pre-tokens a task counts before it hands its counts over and starts anew.
+TALLIED = 500_000
 #: Entries of a worker's cache; beyond that it starts anew.
 CACHED = 400_000
 
@@ -84,23 +86,41 @@ _LOADED: dict[str, Counts] = {}
 
 
 def frequent_pretokens(docs: DataFrame, model: str, *, text: str = "text") -> dict[str, int]:
-    """The first tier: the most frequent pre-tokens of the table's first ``SAMPLE_ROWS`` texts, with their lengths in tokens.
+    """The first tier: the most frequent pre-tokens of all texts (equal counts: the smaller one), with their lengths in tokens.
 
-    At most ``FREQUENT`` pre-tokens of at most ``LONGEST`` characters. Only the first partitions are read, nothing is shuffled.
+    At most ``FREQUENT`` pre-tokens of at most ``LONGEST`` characters, which occur twice or more. Every task counts its own texts; only
+    its distinct pre-tokens with their counts are added up, so neither texts nor their pre-tokens are shuffled, and the driver sees the tier alone.
     """
-    counts, seen = Counts(model, {}), Counter()
+    counts = Counts(model, {})
     if not counts.splits:
         return {}
-    for row in docs.select(text_of(text).alias("body")).limit(SAMPLE_ROWS).collect():
-        seen.update(p for p in pretokens(row["body"]) if 0 < len(p) <= LONGEST)
-    return {p: counts[p] for p, n in seen.most_common(FREQUENT) if n > 1}
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in seen.items() if 0 < len(p) <= LONGEST]
+            words, sums = zip(*kept, strict=True) if kept else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(sums, pa.int64())], ["pretoken", "n"])
+
+        for batch in batches:
+            for body in batch.column(0):
+                seen.update(pretokens(body.as_py()))
+                if len(seen) > TALLIED:
+                    yield flush()
+                    seen.clear()
+        yield flush()
+
+    sums = docs.select(text_of(text).alias("body")).mapInArrow(tally, "pretoken string, n bigint").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    first = sums.where("n > 1").orderBy(F.desc("n"), "pretoken").limit(FREQUENT)
+    return {r["pretoken"]: counts[r["pretoken"]] for r in first.collect()}
 
 
 def token_counts(docs: DataFrame, *, model: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for every row, as the library counts the whole text.
 
-    One pass over the texts and no shuffle: the frequent tier is broadcast (its size is bounded), everything else is encoded
-    by the library once per worker and kept in a bounded cache. A null text is empty; texts that hold the vocabulary's own mark or a null
+    One pass over the texts makes the frequent tier, which is broadcast (its size is bounded); in a second, everything else is encoded
+    by the library once per worker and kept in a bounded cache. No text is shuffled. A null text is empty; texts that hold the vocabulary's own mark or a null
     character go to the library whole. An empty table gives no rows.
     """
     tier = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, model, text=text))
