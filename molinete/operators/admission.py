@@ -101,13 +101,17 @@ def _by_link(bounded: DataFrame) -> DataFrame:
     return bounded.select(*_LINE).join(verdicts.select("request_id", "state"), "request_id")
 
 
-def _by_component(bounded: DataFrame, hot_rows: int) -> DataFrame:
-    """Open lines with their state: the first ``CHAIN`` requests of every connected component are folded exactly."""
+def _by_component(bounded: DataFrame, hot_rows: int, few: bool) -> DataFrame:
+    """Open lines with their state: the first ``CHAIN`` requests of every connected component are folded exactly; of ``few``, all as one."""
     request, item = F.col("request_id") * 2, F.col("item_id") * 2 + 1
-    roots = components(bounded.select(request.alias("a"), item.alias("b"))).withColumnRenamed("root", "component")
     line = F.struct("item_id", "delta", "guarded", "dry", "base")
-    whole = bounded.groupBy(*ORDER).agg(F.collect_list(line).alias("lines")).join(roots, request == F.col("node")).drop("node")
-    turns = durable(row_numbers(whole, ["component"], ORDER, "turn", hot_rows=hot_rows))
+    whole = bounded.groupBy(*ORDER).agg(F.collect_list(line).alias("lines"))
+    if few:
+        turns = whole.withColumns({"component": F.lit(0), "turn": F.lit(1)})
+    else:
+        roots = components(bounded.select(request.alias("a"), item.alias("b"))).withColumnRenamed("root", "component")
+        joined = whole.join(roots, request == F.col("node")).drop("node")
+        turns = durable(row_numbers(joined, ["component"], ORDER, "turn", hot_rows=hot_rows))
     chains = (
         turns.filter(F.col("turn") <= CHAIN)
         .groupBy("component")
@@ -178,20 +182,23 @@ def admit(
         )
     )
     sizes = size_probe(work, ["item_id"])
-    decided, waiting, stuck = [], work.count(), 0
+    decided, waiting, stuck, few = [], work.count(), 0, False
     while True:
         bounded = _bounded(work, hot_rows, sizes)
         if single_line:
             judged = _by_line(bounded)
+        elif few:
+            judged = _by_component(bounded, hot_rows, True)
         elif not stuck:
             judged = _by_request(bounded)
         else:
-            judged = _by_link(durable(bounded)) if stuck == 1 else _by_component(durable(bounded), hot_rows)
+            judged = _by_link(durable(bounded)) if stuck == 1 else _by_component(durable(bounded), hot_rows, False)
         judged = durable(judged)
         decided.append(
             judged.filter("state <> 'open'").select("request_id", (F.col("state") == "accepted").alias("accepted"))
         )
-        left = judged.filter("state = 'open'").count()
+        open_ = judged.filter("state = 'open'").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("request_id").alias("requests")).first()
+        left, few = open_["lines"], not single_line and open_["requests"] <= CHAIN
         if not left:
             break
         # Bounds go on for as long as they decide a quarter of what is open; where they do not, links are next, and a fold where these do not either.
