@@ -14,6 +14,7 @@ from molinete.functions.scalars import blank_to_null, is_email, weekday_rank
 from molinete.operators.rows import Details, enrich, nest
 from molinete.operators.unique import last_requested, settle_claims
 from molinete.schema import FOREIGN_KEYS, ROLES, WEEKDAYS, ForeignKey
+from molinete.session import durable
 
 
 def plans_with_instructors(
@@ -241,14 +242,61 @@ def deactivate_plans(plans: DataFrame, doomed: DataFrame, in_force: DataFrame) -
 # --- guarded hard delete --------------------------------------------------------
 
 
-def _children(parent: str, tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> list[ForeignKey]:
-    return [k for k in keys if k.parent == parent and k.child in tables]
+def _in_order(table: str, tables: Mapping[str, DataFrame], keys: Sequence[ForeignKey]) -> list[tuple[str, list[ForeignKey]]]:
+    """The tables that a deletion from ``table`` may reach, each after all that hand rows on to it, with the keys it is reached by.
+
+    Only CASCADE keys hand on; a table that RESTRICT keys alone lead to is an end.
+    """
+    handing = {table}
+    while more := {k.child for k in keys if k.on_delete == "CASCADE" and k.parent in handing and k.child in tables} - handing:
+        handing |= more
+    met = {t: [k for k in keys if k.child == t and k.parent in handing and k.on_delete in ("CASCADE", "RESTRICT")] for t in tables}
+    done, out = {table}, []
+    while waiting := [t for t, k in met.items() if k and t not in done]:
+        ready = [t for t in waiting if all(k.parent in done for k in met[t])]
+        if not ready:
+            raise ValueError(f"foreign keys of {waiting} go round")
+        out += [(t, met[t]) for t in ready]
+        done |= set(ready)
+    return out
 
 
 def _key_of(df: DataFrame, table: str) -> list[str]:
     return ["id"] if "id" in df.columns else ["plan_id", "instructor_id"]
 
 
+def _reached(
+    tables: Mapping[str, DataFrame], table: str, roots: DataFrame, foreign_keys: Sequence[ForeignKey]
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """For each table the rows that go with ``roots`` (``id``), as ``root`` and the row's key, and the roots that are held: ``(id, table, column)``.
+
+    Tables are taken in the order of their keys, so each is read once, whatever number of paths lead to it: all its keys are looked up
+    in one frontier of what its parents lose.
+    """
+    frontiers = {table: durable(roots.select(F.col("id").alias("root"), "id"))}
+    held = []
+    for name, keys in _in_order(table, tables, foreign_keys):
+        child, goes = tables[name], any(k.on_delete == "CASCADE" for k in keys)
+        own = _key_of(child, name) if goes else []
+        links = F.array(
+            *[
+                F.struct(F.lit(k.column).alias("_column"), F.lit(k.parent).alias("_parent"), F.lit(k.on_delete == "CASCADE").alias("_goes"), F.col(k.column).cast("bigint").alias("_key"))
+                for k in keys
+            ]
+        )
+        lost = reduce(
+            DataFrame.unionByName,
+            [frontiers[p].select("root", F.lit(p).alias("_parent"), F.col("id").cast("bigint").alias("_key")) for p in sorted({k.parent for k in keys})],
+        )
+        rows = child.select(*own, F.explode(links).alias("_link")).select(*own, "_link.*").filter("_key IS NOT NULL")
+        met = durable(rows.join(lost, ["_parent", "_key"]).select("root", "_column", "_goes", *own))
+        if goes:
+            frontiers[name] = met.filter("_goes").select("root", *own).distinct()
+        held.append(met.filter("NOT _goes").select(F.col("root").alias("id"), F.lit(name).alias("table"), F.col("_column").alias("column")).distinct())
+    none = roots.limit(0).select("id", F.lit("").alias("table"), F.lit("").alias("column"))
+    return frontiers, reduce(DataFrame.unionByName, held, none)
+
+
 def delete_with_propagation(
     tables: Mapping[str, DataFrame],
     table: str,
@@ -258,61 +306,23 @@ def delete_with_propagation(
 ) -> dict[str, DataFrame]:
     """Delete rows by id, following the foreign keys: CASCADE, SET NULL, RESTRICT.
 
-    An id is refused when a RESTRICT key holds it or anything that would go with it.
-    Returns the new snapshot of every given table, plus ``blocked`` (id, table, column).
+    An id is refused when a RESTRICT key holds it or anything that would go with it. What goes with each id is found once and serves
+    both the refusals and the deletion. Returns the new snapshot of every given table, plus ``blocked`` (id, table, column).
     """
     roots = tables[table].join(doomed.select(F.col(doomed.columns[0]).alias("id")), "id", "left_semi").select("id")
-
-    def spread(start: DataFrame) -> dict[str, list[DataFrame]]:
-        """Doomed rows per table as ``root`` plus that table's key, one frame per path."""
-        found: dict[str, list[DataFrame]] = {table: [start]}
-        queue = [(table, start)]
-        while queue:
-            parent, rows = queue.pop()
-            for key in _children(parent, tables, foreign_keys):
-                if key.on_delete != "CASCADE":
-                    continue
-                child = tables[key.child]
-                own = _key_of(child, key.child)
-                hit = child.select(F.col(key.column).alias("_parent"), *own).join(
-                    rows.select("root", F.col("id").alias("_parent")), "_parent"
-                )
-                hit = hit.select("root", *own).distinct()
-                found.setdefault(key.child, []).append(hit)
-                if own == ["id"]:
-                    queue.append((key.child, hit))
-        return found
-
-    everything = spread(roots.select(F.col("id").alias("root"), "id"))
-    refusals = []
-    for parent, paths in everything.items():
-        for key in _children(parent, tables, foreign_keys):
-            if key.on_delete != "RESTRICT":
-                continue
-            holders = tables[key.child].select(F.col(key.column).alias("id")).distinct()
-            for rows in paths:
-                refusals.append(
-                    rows.join(holders, "id", "left_semi").select(
-                        F.col("root").alias("id"), F.lit(key.child).alias("table"), F.lit(key.column).alias("column")
-                    )
-                )
-    if refusals:
-        blocked = reduce(DataFrame.unionByName, refusals).distinct()
-        allowed = roots.join(blocked.select("id"), "id", "left_anti")
-    else:
-        blocked = roots.limit(0).select("id", F.lit("").alias("table"), F.lit("").alias("column"))
-        allowed = roots
-    final = spread(allowed.select(F.col("id").alias("root"), "id"))
+    frontiers, blocked = _reached(tables, table, roots, foreign_keys)
+    refused = blocked.select(F.col("id").alias("root")).distinct()
+    gone = {name: rows.join(refused, "root", "left_anti").drop("root").distinct() for name, rows in frontiers.items()}
     out = {}
     for name, df in tables.items():
-        for rows in final.get(name, []):
-            df = df.join(rows.select(*_key_of(tables[name], name)).distinct(), _key_of(tables[name], name), "left_anti")
+        if name in gone:
+            df = df.join(gone[name], _key_of(tables[name], name), "left_anti")
         for key in foreign_keys:
-            if key.child != name or key.on_delete != "SET NULL" or key.parent not in final:
+            if key.child != name or key.on_delete != "SET NULL" or key.parent not in gone:
                 continue
-            gone = reduce(DataFrame.unionByName, [rows.select(F.col("id").alias("_gone")) for rows in final[key.parent]])
+            lost = gone[key.parent].select(F.col("id").alias("_gone"))
             df = (
-                df.join(gone.distinct(), F.col(key.column) == F.col("_gone"), "left")
+                df.join(lost, F.col(key.column) == F.col("_gone"), "left")
                 .withColumn(key.column, F.when(F.col("_gone").isNull(), F.col(key.column)))
                 .drop("_gone")
             )

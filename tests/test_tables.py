@@ -131,6 +131,32 @@ def test_delete_propagates(spark):
     assert [tuple(r) for r in out["blocked"].collect()] == [(7, "memberships", "plan_id")]
 
 
+def test_deletion_reads_each_table_once(spark, monkeypatch):
+    """Entries go by their client and by their membership; both are found in one pass, and what holds a client stops all of it."""
+    t = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    db = {
+        "clients": t([(i,) for i in range(1, 6)], "id bigint"),
+        "memberships": t([(10 + i, i, 7, None) for i in range(1, 6)], "id bigint, client_id bigint, plan_id bigint, instructor_id bigint"),
+        "client_entries": t([(1, 1, 11), (2, 1, 12), (3, 2, 11), (4, 3, None), (5, None, 13), (6, 4, 14)], "id bigint, client_id bigint, membership_id bigint"),
+        "membership_payments": t([(1, 11), (2, 15)], "id bigint, membership_id bigint"),
+        "notes": t([(1, 15)], "id bigint, membership_id bigint"),
+        "sales": t([(1, 1), (2, 2)], "id bigint, client_id bigint"),
+    }
+    keys = [*dims.FOREIGN_KEYS, dims.ForeignKey("notes", "membership_id", "memberships", "RESTRICT")]
+    order = [name for name, _ in dims._in_order("clients", db, keys)]
+    assert sorted(order) == ["client_entries", "membership_payments", "memberships", "notes"] and order.index("memberships") == 0
+    written = []
+    monkeypatch.setattr(dims, "durable", lambda df, keep=dims.durable: written.append(1) or keep(df))
+    out = dims.delete_with_propagation(db, "clients", t([(1,), (3,), (5,), (99,)], "id bigint"), foreign_keys=keys)
+    ids = lambda name: sorted(r.id for r in out[name].collect())
+    assert [tuple(r) for r in out["blocked"].collect()] == [(5, "notes", "membership_id")]
+    assert ids("clients") == [2, 4, 5] and ids("memberships") == [12, 14, 15] and ids("client_entries") == [6]
+    assert ids("membership_payments") == [2] and sorted(map(tuple, out["sales"].collect())) == [(1, None), (2, 2)]
+    assert len(written) == 1 + len(order)
+    with pytest.raises(ValueError, match="go round"):
+        dims._in_order("a", {"a": None, "b": None, "c": None}, [dims.ForeignKey("b", "x", "a", "CASCADE"), dims.ForeignKey("c", "x", "b", "CASCADE"), dims.ForeignKey("b", "y", "c", "CASCADE")])
+
+
 def test_audits(spark):
     users = spark.createDataFrame([(1, "Ana "), (2, "áNA"), (3, None), (4, None), (5, "Bea")], "id bigint, username string")
     assert {r.id for r in quality.uniqueness_conflicts(users, "username").collect()} == {1, 2}
