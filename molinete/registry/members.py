@@ -479,6 +479,42 @@ def _(r: Roles):
     )
 
 
+@query(
+    "enrol_cash_movements",
+    f"""WITH RECURSIVE {_JUDGED}, {_PAID_LINES}
+    SELECT l.id AS source_id, l.line_no, s.id AS cash_session_id, 'membership_payment' AS type, l.method AS payment_method, l.amount,
+        'Pago de membresía - ' || l.plan_name AS description, l.asked_at AS created_at
+    FROM lines l, (SELECT id FROM cash_sessions WHERE status = 'open') s WHERE l.method <> 'current_account' AND l.amount > 0""",
+)
+def _(r: Roles):
+    return _enrolled(r)["cash_movements"].select("source_id", "line_no", "cash_session_id", "type", "payment_method", "amount", "description", "created_at")
+
+
+@query(
+    "enrol_client_entries",
+    f"""WITH RECURSIVE {_JUDGED} SELECT c.id AS membership_id, c.client_id, c.asked_at AS entered_at
+    FROM walk w JOIN checked c ON c.id = w.id WHERE w.reason IS NULL AND c.dur = 1""",
+)
+def _(r: Roles):
+    return _enrolled(r)["client_entries"].select("membership_id", "client_id", "entered_at")
+
+
+@query(
+    "update_memberships",
+    """SELECT id, CASE WHEN id % 6 = 0 THEN 'expired' WHEN id % 3 = 0 THEN 'cancelled' ELSE status END AS status,
+        CASE WHEN id % 6 = 0 THEN NULL WHEN id % 3 = 0 THEN 'pending' ELSE payment_status END AS payment_status,
+        CASE WHEN id % 6 = 0 THEN 'second' WHEN id % 3 = 0 THEN 'first' END AS notes FROM memberships""",
+)
+def _(r: Roles):
+    """The three columns are overwritten together; of two requests for one membership the later counts, its empty columns too."""
+    rows = r.memberships.withColumn("notes", F.lit(None).cast("string"))
+    asked = rows.filter("id % 3 = 0").select("id", F.col("created_at").alias("requested_at"), F.lit(1).alias("request_id"))
+    first = asked.select("*", F.lit("cancelled").alias("status"), F.lit("pending").alias("payment_status"), F.lit("first").alias("notes"))
+    again = asked.filter("id % 2 = 0").withColumn("request_id", F.lit(2))
+    second = again.select("*", F.lit("expired").alias("status"), F.lit(None).cast("string").alias("payment_status"), F.lit("second").alias("notes"))
+    return M.update_memberships(rows, first.unionByName(second), overwrite=True).select("id", "status", "payment_status", "notes")
+
+
 def _cancelled(r: Roles):
     requests = r.raw("events").select(
         F.col("event_id").alias("request_id"),

@@ -202,6 +202,35 @@ def _(r: Roles):
     return _posted(r)["products"].select("id", "stock")
 
 
+@query(
+    "post_sales_items",
+    f"""WITH RECURSIVE {_WALK} SELECT a.request_id AS sale_id, a.product_id, a.name AS product_name, a.code AS product_code, a.quantity, a.unit,
+        CAST(a.sale_price AS DECIMAL(12,2)) AS unit_price, a.line_total AS subtotal FROM asked a JOIN verdict v USING (request_id) WHERE v.reason IS NULL""",
+)
+def _(r: Roles):
+    return _posted(r)["sale_items"].select("sale_id", "product_id", "product_name", "product_code", "quantity", "unit", "unit_price", "subtotal")
+
+
+@query(
+    "post_sales_stock_movements",
+    f"""WITH RECURSIVE {_WALK} SELECT a.request_id AS source_id, a.product_id, 'salida' AS type, CAST(-a.quantity AS DECIMAL(12,3)) AS quantity,
+        'Venta #' || a.request_id AS notes, a.request_id % 25 AS created_by, v.requested_at AS created_at
+    FROM asked a JOIN verdict v USING (request_id) WHERE v.reason IS NULL""",
+)
+def _(r: Roles):
+    return _posted(r)["stock_movements"].select("source_id", "product_id", "type", "quantity", "notes", "created_by", "created_at")
+
+
+@query(
+    "post_sales_cash_movements",
+    f"""WITH RECURSIVE {_WALK} SELECT request_id AS source_id, (SELECT id FROM cash_sessions WHERE status = 'open') AS cash_session_id, 'sale' AS type,
+        CASE method_no WHEN '1' THEN 'cash' WHEN '2' THEN 'transfer' ELSE 'credit_card' END AS payment_method, CAST(subtotal - off AS DECIMAL(12,2)) AS amount,
+        'Venta #' || request_id AS description FROM verdict WHERE reason IS NULL AND method_no <> '4' AND subtotal - off > 0""",
+)
+def _(r: Roles):
+    return _posted(r)["cash_movements"].select("source_id", "cash_session_id", "type", "payment_method", "amount", "description")
+
+
 @query(
     "post_sales_ledger",
     f"""WITH RECURSIVE {_WALK}, opening AS (SELECT client_id, balance FROM current_account
@@ -462,6 +491,15 @@ def _(r: Roles):
     return out.select("id", "product_id", "type", "quantity")
 
 
+@query(
+    "post_stock_movements_products",
+    f"""WITH RECURSIVE {_STOCK_WALK} SELECT p.id, CAST(p.stock + coalesce(m.moved, 0) AS DECIMAL(18,3)) AS stock FROM products p LEFT JOIN (
+        SELECT c.product_id, sum(c.delta) AS moved FROM walk w JOIN checked c ON c.request_id = w.request_id WHERE w.ok GROUP BY c.product_id) m ON m.product_id = p.id""",
+)
+def _(r: Roles):
+    return K.post_stock_movements(_movement_requests(r), r.products)["products"].select("id", "stock")
+
+
 @query(
     "post_stock_movements_rejected",
     f"""WITH RECURSIVE {_STOCK_WALK} SELECT c.request_id, coalesce(c.early, 'insufficient_stock') AS reason
