@@ -83,20 +83,18 @@ def running_stock(movements: DataFrame, opening: DataFrame | None = None, *, hot
 
     ``opening``: ``product_id, opening_stock``; zero where it has no row.
     """
-    rows = movements
-    if opening is not None:
-        rows = rows.join(opening, "product_id", "left")
-    else:
-        rows = rows.withColumn("opening_stock", F.lit(0).cast(QUANTITY))
+    # The opening comes last: the size probe and the order then concern the bare movements, and the join finds them dealt by product already.
     out = running(
-        rows,
+        movements,
         ["product_id"],
         ["created_at", "source_id", "quantity"],
         {"_moved": Running("sum", F.col("quantity"))},
         hot_rows=hot_rows,
     )
+    if opening is None:
+        return out.withColumn("running_stock", F.col("_moved").cast(QUANTITY)).drop("_moved")
     level = (F.coalesce("opening_stock", F.lit(0)) + F.col("_moved")).cast(QUANTITY)
-    return out.withColumn("running_stock", level).drop("_moved", "opening_stock")
+    return out.join(opening, "product_id", "left").withColumn("running_stock", level).drop("_moved", "opening_stock")
 
 
 def post_stock_movements(

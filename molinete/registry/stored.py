@@ -12,6 +12,7 @@ from molinete.registry.sales import _WALK, _posted, sale_requests
 from molinete.session import work_folder
 from molinete.sources.roles import Roles
 from molinete.sources.store import Append, Delete, Put, Replace, Store, Update
+from molinete.sources.tables import append, merge_generations
 
 
 def _store(r: Roles) -> Store:
@@ -91,3 +92,28 @@ def _(r: Roles):
     store.commit({"memberships": Put(first.filter("id > 0").withColumn("id", F.col("id") + last))})
     store.commit({"memberships": Delete(r.spark.range(last, last + 1))})
     return store.read("memberships").select("id", "plan_id", "status", "payment_status")
+
+
+@query("appended_entries", "SELECT id, client_id, entered_at, CAST(date_trunc('month', entered_at) AS DATE) AS month FROM client_entries")
+def _(r: Roles):
+    """Entries appended in two goes to a table that is partitioned by month, and read back."""
+    rows = r.client_entries.select("id", "client_id", "entered_at").withColumn("month", F.date_trunc("month", "entered_at").cast("date"))
+    path = f"{work_folder(r.spark)}/entries-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        append(rows.filter(F.col("id") % 2 == half), path, partition_by="month")
+    return r.spark.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "merged_generations",
+    """SELECT id, username, name, CASE WHEN id % 2 = 1 AND trim(email) <> '' THEN email END AS email, CASE WHEN id % 2 = 0 THEN 'empleado' ELSE role END AS role, active FROM users""",
+)
+def _(r: Roles):
+    """Files of before e-mail and role existed next to newer ones, written and read back as one table: missing roles get their default, blank e-mails are none."""
+    path = f"{work_folder(r.spark)}/users-{uuid.uuid4().hex}"
+    users = r.users.select("id", "username", "name", "email", "role", "active")
+    append(users.filter("id % 2 = 0").drop("email", "role"), f"{path}/first")
+    append(users.filter("id % 2 = 1"), f"{path}/second")
+    read = lambda name, fields: r.spark.read.schema(users.select(*fields).schema).parquet(f"{path}/{name}")
+    old, new = read("first", ["id", "username", "name", "active"]), read("second", users.columns)
+    return merge_generations(old, new, target=users.schema, defaults={"role": "empleado"})
