@@ -17,7 +17,7 @@ import corpus_pipeline
 from molinete.llm.queries import ORACLES, QUERIES
 from molinete.llm.toxicity import fit_toxicity
 from tests.compare import connect, differences
-from tests.llm.frames import AWKWARD, SCHEMA, awkward_copies
+from tests.llm.frames import AWKWARD, SCHEMA, awkward_copies, frame
 from tests.llm.test_mixing import brute_targets, sizes_of
 from tests.llm.test_simhash import brute_print, brute_roots
 
@@ -33,7 +33,7 @@ def test_equals_sql(spark, name):
 
 @given_tables
 def test_one_query_for_each_operator(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     n = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     for name in ("op2_toxicity", "op3_quality", "op4_token_counts", "op6_context_mixing", "op7_simhash"):
         assert QUERIES[name](spark, FOLDER).count() == n
@@ -109,3 +109,23 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
     for name, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == docs.columns, name
+
+
+def test_pipeline_of_rows_without_ids_and_clashing_columns(spark, tmp_path):
+    """The row without an id is a copy of another and goes; columns of any name come through all stages but the last."""
+    rows = [*AWKWARD, *awkward_copies(40)]
+    docs = frame(spark, rows, clash=True)
+    labels = spark.createDataFrame([(1, 1, 1), (3, 1, 0), (None, 0, 0)], "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    check_rows(corpus_pipeline.run(spark, str(tmp_path)).collect(), brute_pipeline(rows, fit_toxicity(docs, labels)))
+    stage = docs
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.columns == docs.columns, name
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

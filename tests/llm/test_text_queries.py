@@ -59,9 +59,12 @@ def test_frequent_tier_equals_a_brute_count(spark, monkeypatch):
     monkeypatch.setattr(token_counts_module, "FREQUENT", 50)
     monkeypatch.setattr(token_counts_module, "TALLIED", 100)
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(6)
-    want = sorted(((n, p) for p, n in seen.items() if n > 1), key=lambda x: (-x[0], x[1].encode()))[:50]
+    steps = {p: math.floor(math.log2(n) * 64) for p, n in seen.items() if n > 1}
+    least = min(s for s in [*steps.values(), 10_000] if sum(x >= s for x in steps.values()) <= 50)
     got = token_counts_module.frequent_pretokens(df, MODEL)
-    assert got == {p: COUNTS[p] for _, p in want} and len(got) == 50
+    assert got == {p: COUNTS[p] for p, s in steps.items() if s >= least} and 20 < len(got) <= 50
+    monkeypatch.setattr(token_counts_module, "FREQUENT", 5000)
+    assert set(token_counts_module.frequent_pretokens(df, MODEL)) == set(steps)
 
 
 # Pages
@@ -325,3 +328,15 @@ def test_search_of_awkward_tables(spark):
     assert {r.query_id for r in got} == {1, 2, 3, 7, 8, 9, 10, None, 11, 12}
     assert top_documents(df, df.limit(0)).collect() == []
     assert top_documents(df.limit(0), df).collect() == []
+
+
+def test_texts_are_scored_with_those_of_like_size():
+    """Batches are bounded by bytes and number; every text is in one; one that is too long is alone."""
+    from molinete.llm import lm
+
+    rng = np.random.default_rng(1)
+    sizes = np.concatenate([rng.integers(0, 3000, 2000), [lm.TOGETHER_BYTES * 3, lm.TOGETHER_BYTES, 0]])
+    parts = [p.tolist() for p in lm.alike(sizes)]
+    assert sorted(i for p in parts for i in p) == list(range(len(sizes)))
+    assert all(len(p) <= lm.TOGETHER and (len(p) == 1 or sizes[p].sum() <= lm.TOGETHER_BYTES) for p in parts)
+    assert [2000] in parts and list(lm.alike(np.zeros(0, np.int64))) == []
