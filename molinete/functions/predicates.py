@@ -78,6 +78,11 @@ def debt_filter(df: DataFrame, mode: str = "all") -> DataFrame:
     return df
 
 
+# Letters that the collation of unique values (UNICODE_CI_AI) takes for plain ones, though they are not letters with marks; letters it takes for two.
+_STROKED = ("ðđħŀłøſ", "ddhllos")
+_DOUBLE = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
+
+
 def _accents() -> tuple[str, str]:
     """Lower-case Latin letters with marks, and the letters without; then the combining marks, which stand for nothing."""
     marked, plain = [], []
@@ -87,15 +92,15 @@ def _accents() -> tuple[str, str]:
         if letter.lower() == letter and base != letter:
             marked.append(letter)
             plain.append(base)
-    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+    return "".join(marked) + _STROKED[0] + "".join(map(chr, range(0x300, 0x370))), "".join(plain) + _STROKED[1]
 
 
 _MARKED, _PLAIN = _accents()
 
 
 def fold(c: str | Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), _MARKED, _PLAIN)
+    """Lower case without accents: texts that uniqueness takes for the same letters are the same."""
+    return reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), _DOUBLE, F.translate(F.lower(c), _MARKED, _PLAIN))
 
 
 def matches(columns: Iterable[str], term: str) -> Column:
