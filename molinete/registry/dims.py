@@ -378,6 +378,9 @@ def _errors(df, *keys):
     return df.select(*keys, F.array_join(text, ";").alias("errors"), Q.first_error().alias("message"))
 
 
+# The messages in the SQL of this section are fixed values.
+
+
 def _error_sql(source: str, key: str, rules: list[tuple[str, str, str]]) -> str:
     """``rules``: (field, message, condition under which it fails)."""
     parts = ", ".join(f"CASE WHEN {bad} THEN '{field}={message}' END" for field, message, bad in rules)
