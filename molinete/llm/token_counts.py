@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from molinete.llm.common import text_of
+from molinete.llm.common import durable, text_of
 
 #: Pre-tokens of the frequent tier and characters of one (a documented bound: it only saves time, counts never depend on it).
 FREQUENT, LONGEST = 65_536, 32
@@ -86,10 +86,11 @@ _LOADED: dict[str, Counts] = {}
 
 
 def frequent_pretokens(docs: DataFrame, model: str, *, text: str = "text") -> dict[str, int]:
-    """The first tier: the most frequent pre-tokens of all texts (equal counts: the smaller one), with their lengths in tokens.
+    """The first tier: the most frequent pre-tokens of all texts, with their lengths in tokens.
 
-    At most ``FREQUENT`` pre-tokens of at most ``LONGEST`` characters, which occur twice or more. Every task counts its own texts; only
-    its distinct pre-tokens with their counts are added up, so neither texts nor their pre-tokens are shuffled, and the driver sees the tier alone.
+    All that occur more often than some number, the least (of steps of a hundredth) that leaves at most ``FREQUENT``; none of more than ``LONGEST`` characters.
+    Every task counts its own texts; only its distinct pre-tokens with their counts are added up, so neither texts nor their pre-tokens are
+    shuffled. The driver sees how many there are at each step of frequency, and then the tier alone.
     """
     counts = Counts(model, {})
     if not counts.splits:
@@ -112,8 +113,14 @@ def frequent_pretokens(docs: DataFrame, model: str, *, text: str = "text") -> di
         yield flush()
 
     sums = docs.select(text_of(text).alias("body")).mapInArrow(tally, "pretoken string, n bigint").groupBy("pretoken").agg(F.sum("n").alias("n"))
-    first = sums.where("n > 1").orderBy(F.desc("n"), "pretoken").limit(FREQUENT)
-    return {r["pretoken"]: counts[r["pretoken"]] for r in first.collect()}
+    stepped = durable(sums.where("n > 1").withColumn("step", F.floor(F.log2("n") * 64).cast("int")))
+    above, least = 0, 0
+    for r in sorted(stepped.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # at most 64 steps for each doubling
+        above += r["n"]
+        if above > FREQUENT:
+            least = r["step"] + 1
+            break
+    return {r["pretoken"]: counts[r["pretoken"]] for r in stepped.where(F.col("step") >= least).select("pretoken").collect()}
 
 
 def token_counts(docs: DataFrame, *, model: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
