@@ -109,7 +109,7 @@ def judge_sales(
     *,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Requests with total, payments and ``reason`` (NULL = accepted)."""
+    """Requests without their lists, but with total, payments and ``reason`` (NULL = accepted)."""
     sums = lines.groupBy("request_id").agg(
         F.sum("subtotal").cast(TOTAL).alias("_subtotal"),
         F.bool_or(F.col("product_name").isNull()).alias("_unknown"),
@@ -147,7 +147,7 @@ def judge_sales(
     rows = durable(
         rows.withColumn("_before", before_stock)
         .withColumn("_after", after_stock)
-        .drop("_client", "_client_active", "_unknown", "_subtotal", "_split")
+        .drop("_client", "_client_active", "_unknown", "_subtotal", "_split", "items", "payments")
     )
     # A request with a fault found after the stock check still meets that check, but takes nothing.
     takers = rows.filter("_before IS NULL").select("request_id", "requested_at", F.col("_after").isNotNull().alias("dry"))
@@ -183,7 +183,7 @@ def post_sales(
     itself name their drawer movement. A request with several faults is rejected for the first of: items, products, stock, payments, client.
     """
     lines = durable(price_lines(requests, products))  # read for sums, demand, items and stock
-    judged = judge_sales(requests, lines, clients, products, hot_rows=hot_rows)
+    judged = durable(judge_sales(requests, lines, clients, products, hot_rows=hot_rows))  # read for every table that is posted
     drawer = open_session(sessions).select("id").scalar()
     accepted = judged.filter("reason IS NULL").withColumn("cash_session_id", drawer)
     label = F.concat(F.lit("Venta #"), F.col("request_id").cast("string"))
