@@ -318,31 +318,34 @@ class Model:
         return total, batch
 
 
-def fit_mixers(model: Model, texts: list[list[bytes]], rounds: int = 4) -> None:
-    """Fits weights online over texts that the tables have not seen, then the refined probabilities on the last round's levels."""
-    if not texts:
-        return
-    cells = [np.zeros(16 * _LEVELS * 2), np.zeros(16 * _LEVELS * 2)]
-    for turn in range(rounds):
-        last, rate = turn == rounds - 1, 1.0 / (turn + 1)
-        for at in range(0, len(texts), 16):
-            batch = batch_of(model.vocabulary, texts[at : at + 16])
-            model.words.learn(*model.word_inputs(batch), batch.bits, rate, cells[0] if last else None)
-            if batch.spelled:
-                _, bit, place, slots = spelling(model.vocabulary, batch.spelled)
-                model.bytes.learn(*model.byte_inputs(place, slots), bit, rate, cells[1] if last else None)
+def learn_texts(model: Model, texts: list[list[bytes]], rate: float, cells: tuple[np.ndarray, np.ndarray] | None) -> None:
+    """One online pass of both mixers over texts that the tables have not seen; ``cells`` counts the levels met on the way."""
+    for at in range(0, len(texts), 16):
+        batch = batch_of(model.vocabulary, texts[at : at + 16])
+        model.words.learn(*model.word_inputs(batch), batch.bits, rate, None if cells is None else cells[0])
+        if batch.spelled:
+            _, bit, place, slots = spelling(model.vocabulary, batch.spelled)
+            model.bytes.learn(*model.byte_inputs(place, slots), bit, rate, None if cells is None else cells[1])
+
+
+def no_levels() -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones by gate and level, for words and for bytes: none yet."""
+    return np.zeros(16 * _LEVELS * 2), np.zeros(16 * _LEVELS * 2)
+
+
+def refined_by(tally: np.ndarray) -> np.ndarray:
+    """The refined probabilities that follow from the zeros and ones by gate and level."""
     width = _FINE // 2
-    for mixer, tally in zip((model.words, model.bytes), cells, strict=True):
-        # Over half a unit of odds on either side, with forty observations' worth of faith in the mixed odds themselves.
-        sums = np.cumsum(np.pad(tally.reshape(16, _LEVELS, 2), ((0, 0), (width + 1, width), (0, 0))), axis=1)
-        near = sums[:, 2 * width + 1 :] - sums[:, : -2 * width - 1]
-        expected = np.cumsum(np.pad(tally.reshape(16, _LEVELS, 2).sum(axis=2) * _PLAIN, ((0, 0), (width + 1, width))), axis=1)
-        expected = expected[:, 2 * width + 1 :] - expected[:, : -2 * width - 1]
-        # What happened near a level against what was foretold there, applied to the level's own odds.
-        shift = np.log((near[:, :, 1] + 40 * _PLAIN) / (expected + 40 * _PLAIN)) - np.log(
-            (near[:, :, 0] + 40 * (1 - _PLAIN)) / (near.sum(axis=2) - expected + 40 * (1 - _PLAIN))
-        )
-        mixer.refined = (1 / (1 + np.exp(-(np.log(_PLAIN / (1 - _PLAIN)) + shift)))).astype(np.float32)
+    # Over half a unit of odds on either side, with forty observations' worth of faith in the mixed odds themselves.
+    sums = np.cumsum(np.pad(tally.reshape(16, _LEVELS, 2), ((0, 0), (width + 1, width), (0, 0))), axis=1)
+    near = sums[:, 2 * width + 1 :] - sums[:, : -2 * width - 1]
+    expected = np.cumsum(np.pad(tally.reshape(16, _LEVELS, 2).sum(axis=2) * _PLAIN, ((0, 0), (width + 1, width))), axis=1)
+    expected = expected[:, 2 * width + 1 :] - expected[:, : -2 * width - 1]
+    # What happened near a level against what was foretold there, applied to the level's own odds.
+    shift = np.log((near[:, :, 1] + 40 * _PLAIN) / (expected + 40 * _PLAIN)) - np.log(
+        (near[:, :, 0] + 40 * (1 - _PLAIN)) / (near.sum(axis=2) - expected + 40 * (1 - _PLAIN))
+    )
+    return (1 / (1 + np.exp(-(np.log(_PLAIN / (1 - _PLAIN)) + shift)))).astype(np.float32)
 
 
 class BitCounts:

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molinete.llm.common import durable, held_out, text_of
-from molinete.llm.context_mixing import BYTES_BACK, OFFSETS, TABLES, BitCounts, Mixer, Model, Vocabulary, batch_of, fit_mixers, huffman, odds_of, spelling
+from molinete.llm.context_mixing import BYTES_BACK, OFFSETS, TABLES, BitCounts, Mixer, Model, Vocabulary, batch_of, huffman, learn_texts, no_levels, odds_of, refined_by, spelling
 
-#: Words with a code of their own; words whose counts every worker holds (both bounds on what is broadcast); texts the weights are fitted on.
-CODED, KNOWN, MIXING_TEXTS = 131_070, 131_070, 512
+#: Words with a code of their own; words whose counts every worker holds (both bounds on what is broadcast).
+CODED, KNOWN = 131_070, 131_070
+#: Texts that a task learns its first weights from, in ``TURNS`` turns; the others move these on.
+FIRST_TEXTS, TURNS = 64, 4
 #: The end of a text in the count table; no word holds a space.
 END = " "
 _BLOCK = 8192
@@ -29,12 +31,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, folds: int) -> DataFrame:
-    """``(row, doc_id, held_out, mixing, body)``; ``row`` tells rows apart that repeat an id."""
+    """``(row, doc_id, held_out, half, body)``; ``row`` tells rows apart that repeat an id, equal texts lie in one half."""
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(doc_id).cast("long").alias("doc_id"),
         held_out(F.col(doc_id), folds).alias("held_out"),
-        (F.pmod(F.xxhash64(F.col(doc_id)), F.lit(16)) == 0).alias("mixing"),
+        F.pmod(F.xxhash64(text_of(text)), F.lit(2)).cast("int").alias("half"),
         text_of(text).cast("binary").alias("body"),
     )
 
@@ -86,8 +88,8 @@ def _merged(blocks: DataFrame, *by: str) -> DataFrame:
     return blocks.groupBy(*by).applyInArrow(add, "block int, salt int, counts binary")
 
 
-def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, mixing_ids: frozenset[int]) -> np.ndarray:
-    """The odds in every slot of the hashed tables, from all training texts but those the weights are fitted on.
+def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """The odds in every slot of the hashed tables, three times: from all training texts, and from either half of them.
 
     A task counts into tables of fixed size and hands over the blocks it has touched; blocks are summed in two steps, so that
     no task sums more than a part of what all tasks hand over. Contexts inside words come from the count table: a word without
@@ -95,16 +97,20 @@ def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, m
     """
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, salt, words = [BitCounts(n) for n in TABLES[:2]], 0, shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 48):
-                part = batch.slice(at, 48)
-                found = batch_of(words, [words_of(b) for i, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if i not in mixing_ids])
-                salt += len(found.bits)
-                for table, slots in zip(tables, found.slots, strict=True):
-                    table.add(slots, found.bits)
-        yield from (_blocks(table.total(), OFFSETS[k] // _BLOCK, salt) for k, table in enumerate(tables))
+    every = OFFSETS[-1] // _BLOCK
+
+    def of_half(half: int) -> DataFrame:
+        def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables, salt, words = [BitCounts(n) for n in TABLES[:2]], 0, shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 48):
+                    found = batch_of(words, [words_of(b) for b in batch.column(0).slice(at, 48).to_pylist()])
+                    salt += len(found.bits)
+                    for table, slots in zip(tables, found.slots, strict=True):
+                        table.add(slots, found.bits)
+            yield from (_blocks(table.total(), (1 + half) * every + OFFSETS[k] // _BLOCK, salt) for k, table in enumerate(tables))
+
+        return texts.where(~F.col("held_out") & (F.col("half") == half)).select("body").coalesce(tasks).mapInArrow(of_texts, schema)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, salt, words = [BitCounts(n) for n in TABLES[2:]], 0, shared.value
@@ -121,26 +127,85 @@ def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary, m
     schema = "block int, salt int, counts binary"
     # A task's tables have their size whatever it reads, so there are only a few tasks for each core, however many files.
     tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
-    read, listed = texts.where(~F.col("held_out")).select("doc_id", "body").coalesce(tasks), counts.select("word", "n").coalesce(tasks)
-    made = read.mapInArrow(of_texts, schema).union(listed.mapInArrow(of_words, schema))
-    odds = np.zeros(OFFSETS[-1], np.int16)
+    made = of_half(0).union(of_half(1)).union(counts.select("word", "n").coalesce(tasks).mapInArrow(of_words, schema))
+    odds = np.zeros(3 * OFFSETS[-1], np.int16)
     odds[:] = odds_of(np.zeros((1, 2)))[0]
+    # A half's blocks count for the half and for all.
+    both = F.when(F.col("block") >= every, F.array("block", F.col("block") % every)).otherwise(F.array("block"))
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [odds_of(_numbers(x.as_py()).reshape(-1, 2)).astype("<i2").tobytes() for x in batch.column("counts")]
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(found, pa.binary())], ["block", "odds"])
 
-    for row in _merged(_merged(made, "block", "salt"), "block").mapInArrow(quantise, "block int, odds binary").collect():
+    parts = _merged(made, "block", "salt").select(F.explode(both).alias("block"), "salt", "counts")
+    for row in _merged(parts, "block").mapInArrow(quantise, "block int, odds binary").collect():
         odds[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["odds"], "<i2")
+    odds = odds.reshape(3, -1)
+    odds[1:, OFFSETS[2] :] = odds[0, OFFSETS[2] :]  # contexts inside words do not come from the texts
     return odds
 
 
-def fit_model(texts: DataFrame, counts: DataFrame, *, coded: int = CODED, known: int = KNOWN, mixing_texts: int = MIXING_TEXTS) -> tuple[Model, np.ndarray]:
+def fit_weights(texts: DataFrame, vocabulary: Vocabulary, odds: np.ndarray) -> Model:
+    """The model whose weights and maps come from all training texts, each seen with the tables of the half it is not in.
+
+    A task moves weights on over all of its texts; weights are averaged by gate, each task's by the bits it saw there, and the levels that were met are
+    added up. What comes to the driver is of fixed size for each task, and there are only a few tasks for each core.
+    """
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((vocabulary, odds[1:]))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, halves = shared.value
+        first, cells, begun = [], no_levels(), False
+        model = Model(words, halves[0], Mixer.new(3), Mixer.new(1 + len(BYTES_BACK)))
+
+        def over(part: list[tuple[int, bytes]], rate: float, tally: tuple[np.ndarray, np.ndarray] | None) -> None:
+            for half in (0, 1):
+                model.tables = halves[1 - half]
+                learn_texts(model, [words_of(b) for h, b in part if h == half], rate, tally)
+
+        def begin() -> None:
+            for turn in range(TURNS):
+                over(first, 1.0 / (turn + 1), cells if turn == TURNS - 1 else None)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 32):
+                part = list(zip(*(batch.column(c).slice(at, 32).to_pylist() for c in ("half", "body")), strict=True))
+                if begun:
+                    over(part, 1.0 / TURNS, cells)
+                    continue
+                first += part
+                if len(first) >= FIRST_TEXTS:
+                    begin()
+                    first, begun = [], True
+        if not begun:
+            begin()
+        found = [x.astype("<f8").tobytes() for x in (model.words.weights, model.bytes.weights, *cells)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in found], ["words", "bytes", "word_levels", "byte_levels"])
+
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    read = texts.where(~F.col("held_out")).select("half", "body").coalesce(tasks)
+    rows = read.mapInArrow(learn, "words binary, bytes binary, word_levels binary, byte_levels binary").collect()
+    shared.unpersist()
+    model = Model(vocabulary, odds[0], Mixer.new(3), Mixer.new(1 + len(BYTES_BACK)))
+    for mixer, name, levels in ((model.words, "words", "word_levels"), (model.bytes, "bytes", "byte_levels")):
+        tallies = [np.frombuffer(r[levels], "<f8") for r in rows]
+        seen = np.array([t.reshape(16, -1).sum(axis=1) for t in tallies]).reshape(-1, 16, 1)
+        weights = np.array([np.frombuffer(r[name], "<f8") for r in rows]).reshape(-1, *mixer.weights.shape)
+        total = seen.sum(axis=0)
+        mean = (weights * seen).sum(axis=0) / np.maximum(total, 1)
+        mixer.weights = np.where(total > 0, mean, mixer.weights).astype(np.float32)
+        if total.any():
+            mixer.refined = refined_by(sum(tallies))
+    return model
+
+
+def fit_model(texts: DataFrame, counts: DataFrame, *, coded: int = CODED, known: int = KNOWN) -> tuple[Model, np.ndarray]:
     """The model, and how often each word of its vocabulary stands in the training texts (the last number is the ends).
 
     The ``known`` most frequent words are the vocabulary (a fixed bound), the first ``coded`` of them have a code; code lengths and the first predictor follow
-    from the counts of all words. Weights are fitted online on at most ``mixing_texts`` training texts, a sixteenth of all at most, chosen by hash.
+    from the counts of all words. Weights are fitted online on all training texts (:func:`fit_weights`).
     """
     end = counts.where(F.col("word") == F.lit(END).cast("binary")).agg(F.sum("n")).first()[0] or 0
     plain = counts.where(F.col("word") != F.lit(END).cast("binary"))
@@ -170,13 +235,7 @@ def fit_model(texts: DataFrame, counts: DataFrame, *, coded: int = CODED, known:
     bytes_[32] += spelled
     word_code = huffman(np.append(often[:coded], [max(1, end), max(1, spelled)]))
     vocabulary = Vocabulary([w for w, _ in top], coded, word_code, huffman(bytes_))
-    chosen = texts.where(~F.col("held_out") & F.col("mixing")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing_texts).collect()
-    ids = frozenset(r["doc_id"] for r in chosen)
-    model = Model(vocabulary, hashed_counts(texts, counts, vocabulary, ids), Mixer.new(3), Mixer.new(1 + len(BYTES_BACK)))
-    sample = texts.where(~F.col("held_out") & F.col("mixing") & F.col("doc_id").isin(list(ids))) if ids else texts.limit(0)
-    bodies = sorted((r["doc_id"] or 0, bytes(r["body"])) for r in sample.select("doc_id", "body").collect())
-    fit_mixers(model, [words_of(b) for _, b in bodies])
-    return model, np.append(often, end)
+    return fit_weights(texts, vocabulary, hashed_counts(texts, counts, vocabulary)), np.append(often, end)
 
 
 def alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -195,7 +254,7 @@ def alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
         yield order[begin:]
 
 
-def score_documents(docs: DataFrame, *, folds: int = 10, coded: int = CODED, known: int = KNOWN, mixing_texts: int = MIXING_TEXTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, folds: int = 10, coded: int = CODED, known: int = KNOWN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)`` for every row of ``docs``.
 
     ``score`` is the model's log10 probability of the text's words and end. Coded words are bits on the path of a Huffman code, other words an escape and the bits of their
@@ -211,7 +270,7 @@ def score_documents(docs: DataFrame, *, folds: int = 10, coded: int = CODED, kno
     spark = docs.sparkSession
     texts = _texts(docs, doc_id, text, folds)
     counts = durable(word_counts(texts))
-    model, often = fit_model(texts, counts, coded=coded, known=known, mixing_texts=mixing_texts)
+    model, often = fit_model(texts, counts, coded=coded, known=known)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shared, logs = spark.sparkContext.broadcast(model), np.log10(often + 0.1)
     end_log, end_known = float(logs[-1]), int(often[-1] > 0)
