@@ -15,6 +15,8 @@ from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; its most frequent words, which have block maxima; documents of a block; candidates scored at a time.
 SHARD, FREQUENT, BLOCK, CHUNK = 8192, 96, 64, 128
+#: Words of a shard; queries that lie in one row, and in one partition, where shards and queries meet.
+SHARD_WORDS, ROW_QUERIES, PART_QUERIES = 8_000_000, 512, 4096
 #: The unit roundoff of single precision.
 _UNIT = 2.0**-24
 
@@ -195,8 +197,10 @@ def top_documents(
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: for each row of ``queries`` its ``k`` best documents by BM25, ties by smaller id.
 
-    Statistics are those of all documents. Documents are dealt to shards of about ``shard`` rows by hash of their
-    id. A task builds a shard's index and then reads the queries against it in a stream, so its memory holds one shard and one batch of queries. Every
+    Statistics are those of all documents. Documents are dealt to shards of about ``shard`` rows (and ``SHARD_WORDS`` words) by hash of their
+    id and text. Queries lie in parts of about ``PART_QUERIES``. Every shard meets every part in a task of its own, which reads both from where
+    they were written once: what is written grows with documents and queries, not with their product. The task builds the shard's index and
+    then runs the part's queries on it, so its memory holds one shard and one part. Every
     shard returns its exact top k, and the best k of those are the best of all. A word's weight is its times in the query times
     ``ln(1 + (N - n + 0.5) / (n + 0.5))``.
 
@@ -204,44 +208,58 @@ def top_documents(
     none. Rows that repeat an id are documents (or queries) of their own; null ids come last among ties. Empty tables give no rows.
     """
     weighted, n, mean_length = weighted_queries(docs, queries, doc_id=doc_id, text=text)
-    shards = max(1, -(-n // shard))
-    indexed = docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(0).alias("kind"),
-        F.col(doc_id).cast("long").alias("id"),
-        text_of(text).cast("binary").alias("body"),
-        F.lit(None).cast("binary").alias("weights"),
-        F.lit(None).cast("bigint").alias("row"),
+    shards = max(1, -(-n // shard), -(-int(n * mean_length) // SHARD_WORDS))
+    # An explicit number of ranges is kept as it is, and the gathering that follows needs no further shuffle.
+    indexed = (
+        docs.select(
+            F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).cast("int").alias("shard"),
+            F.struct(F.col(doc_id).cast("long").alias("id"), text_of(text).cast("binary").alias("body")).alias("doc"),
+        )
+        .repartitionByRange(shards, "shard")
+        .groupBy("shard")
+        .agg(F.collect_list("doc").alias("docs"))
     )
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = weighted.select(everywhere, F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("words").alias("body"), "weights", "row")
+    asked = weighted.count()
+    rows, parts = max(1, -(-asked // ROW_QUERIES)), max(1, -(-asked // PART_QUERIES))
+    blocks = (
+        weighted.groupBy(F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("block"))
+        .agg(F.collect_list(F.struct("row", "query_id", "words", "weights")).alias("queries"))
+        .select((F.col("block") % parts).alias("part"), F.lit(1).alias("kind"), "queries")
+    )
+    # Every part has a row without queries, and a shard's documents come along with that row alone. Rows of a part are in no order.
+    opening = docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast(blocks.schema["queries"].dataType).alias("queries"))
+    dealt = blocks.union(opening).repartitionByRange(parts, "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, postings, index = None, Postings(), None
+        now, index, waiting = None, None, []
         for batch in batches:
-            out: list[tuple[int, int, int | None, np.ndarray, np.ndarray, np.ndarray]] = []
-            columns = [batch.column(c).to_pylist() for c in ("shard", "kind", "id", "row")]
-            for i, (part, is_query, name, row) in enumerate(zip(*columns, strict=True)):
+            for i, part in enumerate(batch.column("shard").to_pylist()):
+                own, asked = batch.column("docs")[i].values, batch.column("queries")[i].values
                 if part != now:
-                    now, postings, index = part, Postings(), None
-                body = batch.column("body")[i].as_py()
-                if not is_query:
-                    postings.add(name, body)
-                    continue
-                if index is None:
-                    index, postings = Shard(postings, mean_length, k1, b), Postings()
-                place, score = index.top(body.split(b" "), np.frombuffer(batch.column("weights")[i].as_py(), "<f8"), k)
-                order = np.lexsort((index.ids[place], -score))[:k]
-                place = place[order]
-                out.append((part, row, name, -score[order], index.nameless[place], index.ids[place]))
-            if out:
-                parts, rows, names, scores, nameless, ids = zip(*out, strict=True)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-                arrays = [pa.array(list(c), kind) for c, kind in zip((parts, rows, names, scores, nameless, ids), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["shard", "row", "query_id", "below", "nameless", "doc_id"])
-
-    dealt = indexed.union(asked).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(search, "shard int, row bigint, query_id bigint, below array<double>, nameless array<boolean>, doc_id array<bigint>")
+                    now, index, waiting = part, None, []
+                if own is not None and index is None:
+                    postings = Postings()
+                    for name, body in zip(own.field("id").to_pylist(), own.field("body"), strict=True):
+                        postings.add(name, body.as_py())
+                    index = Shard(postings, mean_length, k1, b)
+                if asked is not None:
+                    waiting.append(asked)
+                while index is not None and waiting:
+                    yield answers(part, index, waiting.pop())
+
+    def answers(part: int, index: Shard, asked: pa.StructArray) -> pa.RecordBatch:
+        out: list[tuple[int, int, int | None, np.ndarray, np.ndarray, np.ndarray]] = []
+        for row, name, words, weights in zip(*(asked.field(c) for c in ("row", "query_id", "words", "weights")), strict=True):
+            place, score = index.top(words.as_py().split(b" "), np.frombuffer(weights.as_py(), "<f8"), k)
+            order = np.lexsort((index.ids[place], -score))[:k]
+            place = place[order]
+            out.append((part, row.as_py(), name.as_py(), -score[order], index.nameless[place], index.ids[place]))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+        arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["shard", "row", "query_id", "below", "nameless", "doc_id"])
+
+    met = indexed.crossJoin(dealt.hint("shuffle_replicate_nl")).select("shard", F.when(F.col("kind") == 0, F.col("docs")).alias("docs"), "queries")
+    found = met.mapInArrow(search, "shard int, row bigint, query_id bigint, below array<double>, nameless array<boolean>, doc_id array<bigint>")
     tops = found.select("row", "query_id", (F.col("shard") % 64).alias("part"), F.arrays_zip("below", "nameless", "doc_id").alias("top"))
     # The best of a part of the shards, then of the parts: no group holds more than k rows of each of its members.
     best = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top")
