@@ -378,11 +378,16 @@ class Roles:
 
     @cached_property
     def sale_request_lines(self) -> DataFrame:
-        """Sale requests: the lines of each order, one per product, in order-date order."""
+        """Sale requests: the lines of each order, one per product, in order-date order.
+
+        Lines move once, by request: whoever gathers or joins them by it needs no further shuffle.
+        """
         lines = (
             self.raw("lineitem")
-            .groupBy(F.col("l_orderkey").alias("request_id"), F.col("l_partkey").alias("product_id"))
-            .agg(F.sum(F.col("l_quantity").cast("decimal(12,3)")).cast("decimal(12,3)").alias("quantity"))
+            .select(F.col("l_orderkey").alias("request_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("decimal(12,3)").alias("quantity"))
+            .repartition("request_id")
+            .groupBy("request_id", "product_id")
+            .agg(F.sum("quantity").cast("decimal(12,3)").alias("quantity"))
         )
         when = self.raw("orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("requested_at"))
         return lines.join(when, "request_id")
