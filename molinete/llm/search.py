@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,32 @@ from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; its most frequent words, which have block maxima; documents of a block; candidates scored at a time.
 SHARD, FREQUENT, BLOCK, CHUNK = 8192, 96, 64, 128
-#: Words of a shard; queries that lie in one row, and in one partition, where shards and queries meet.
-SHARD_WORDS, ROW_QUERIES, PART_QUERIES = 8_000_000, 512, 4096
+#: Words of a shard; queries that lie in one row, and in one partition, where shards and queries meet; words of the queries of a partition; documents
+#: that are scored side by side in the end.
+SHARD_WORDS, ROW_QUERIES, PART_QUERIES, PART_WORDS, SIDE = 8_000_000, 512, 16_384, 8_000_000, 64
 #: The unit roundoff of single precision.
 _UNIT = 2.0**-24
+#: A row of queries: their rows, ids and numbers of words; compressed, all their words once, each one's words by number, and weights.
+BLOCK_OF = [
+    pa.field(name, kind)
+    for name, kind in (
+        ("row", pa.list_(pa.int64())),
+        ("query_id", pa.list_(pa.int64())),
+        ("size", pa.list_(pa.int32())),
+        ("words", pa.binary()),
+        ("ids", pa.binary()),
+        ("weights", pa.binary()),
+    )
+]
+
+
+def squeeze(raw: bytes) -> bytes:
+    """Zstandard, behind the length in four bytes."""
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(packed: bytes) -> bytes:
+    return pa.decompress(packed[4:], decompressed_size=int.from_bytes(packed[:4], "little"), codec="zstd", asbytes=True)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -31,15 +54,18 @@ class Postings:
 
     def __init__(self):
         self.ids: list[int | None] = []
-        self.number: dict[bytes, int] = {}
-        self.word, self.times, self.sizes = array("i"), array("i"), array("q")
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # a new word gets the next number
+        self.word, self.times, self.sizes, self.lengths = array("i"), array("i"), array("q"), array("q")
 
     def add(self, name: int | None, text: bytes) -> None:
-        tally, number = Counter(words_of(text)), self.number
+        words, number = words_of(text), self.number
+        tally = Counter(words)
         self.ids.append(name)
-        self.word.extend([number.setdefault(w, len(number)) for w in tally])
+        self.word.extend(map(number.__getitem__, tally))
         self.times.extend(tally.values())
         self.sizes.append(len(tally))
+        self.lengths.append(len(words))
 
 
 class Shard:
@@ -50,9 +76,14 @@ class Shard:
         word, times = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (postings.word, postings.times))
         sizes = np.array(postings.sizes, np.int64)
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        length = np.bincount(doc, times, n)
+        length = np.array(postings.lengths, np.int64)
         self.k1, self.scale = k1, k1 * (1 - b + b * length / max(mean_length, 1e-9))
-        impact = times * np.float32(k1 + 1) / (times + self.scale.astype(np.float32)[doc])
+        # In single precision and in place: of arrays as long as the postings there are few at a time.
+        impact, below = times.astype(np.float32), self.scale.astype(np.float32)[doc]
+        below += impact
+        impact /= below
+        impact *= np.float32(k1 + 1)
+        del below
         # Words by falling document frequency; documents by the frequent word that marks them most, so that a block is of a kind.
         spread = np.bincount(word, minlength=len(number))
         by_spread = np.argsort(-spread, kind="stable")
@@ -60,6 +91,7 @@ class Shard:
         place[by_spread] = np.arange(len(number))
         for w, at in zip(number, place.tolist(), strict=True):
             number[w] = at
+        number.default_factory = None  # it would hold the table in a circle
         self.place = number
         word = place[word]
         dense = np.zeros((n, FREQUENT), np.float32)
@@ -79,20 +111,28 @@ class Shard:
         # By document, for the final scores.
         self.by_doc = np.concatenate([[0], np.cumsum(sizes)])
         self.source, self.word, self.times, self.position = order, word, times, np.full(len(number), -1, np.int32)
-        rare = ~top
-        word, doc, impact = word[rare], rank[doc[rare]], impact[rare]
-        sort = np.argsort(word, kind="stable")
-        self.doc, self.impact = doc[sort], impact[sort]
-        self.start = np.searchsorted(word[sort], np.arange(len(number) + 1))
+        rare = np.flatnonzero(~top)
+        rare = rare[np.argsort(word[rare], kind="stable")]
+        self.doc, self.impact = rank[doc[rare]], impact[rare]
+        many = spread[by_spread]
+        many[:FREQUENT] = 0
+        self.start = np.concatenate([[0], np.cumsum(many)])
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of words, -1 where no document holds them."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
 
     def top(self, words: list[bytes], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The places of the ``k`` best documents (more where scores tie) with a positive score, and their scores.
+        """:meth:`best` of a query whose words were not looked up."""
+        return self.best(self.places(words), weights, k)
+
+    def best(self, found: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the ``k`` best documents (more where scores tie) with a positive score, and their scores. ``found``: :meth:`places` of the words.
 
         Rare words are summed exactly. To that each block's maxima of the frequent words give an upper bound of its documents. The
         documents with the largest bounds are scored first; the k-th best score so far is the threshold, and a document is only scored
         while its bound reaches it, less what rounding in single precision can make of the two.
         """
-        found = np.fromiter(map(self.place.get, words, (-1 for _ in words)), np.int64, len(words))
         known, every = found >= 0, weights
         found, weights = found[known], weights[known]
         frequent = found < FREQUENT
@@ -100,7 +140,8 @@ class Shard:
         at, w = found[~frequent], weights[~frequent]
         first, size = self.start[at], self.start[at + 1] - self.start[at]
         ends = np.cumsum(size)
-        spot = np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        spot = np.repeat(first - ends + size, size)
+        spot += np.arange(len(spot))
         exact = np.bincount(self.doc[spot], self.impact[spot] * np.repeat(w, size), n)
         at, w = found[frequent], weights[frequent]
         bound = exact + (w @ self.maxima[at])[self.block]
@@ -128,22 +169,23 @@ class Shard:
             first_part = max(CHUNK, first_part * 2)
         if not len(best_at):
             return best_at, best
-        return best_at, self._score(best_at, found, np.flatnonzero(known), every, len(words))
+        self.position[found] = np.flatnonzero(known)
+        parts = [self._score(best_at[i : i + SIDE], every) for i in range(0, len(best_at), SIDE)]
+        self.position[found] = -1
+        return best_at, np.concatenate(parts)
 
-    def _score(self, places: np.ndarray, found: np.ndarray, position: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
+    def _score(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores in double precision, summed in the order of the query's words, so that equal texts tie in every shard."""
-        self.position[found] = position
-        out = np.empty(len(places))
-        for i, place in enumerate(self.source[places].tolist()):
-            start, end = self.by_doc[place], self.by_doc[place + 1]
-            at = self.position[self.word[start:end]]
-            hit = np.flatnonzero(at >= 0)
-            at, times = at[hit], self.times[start:end][hit]
-            each = np.zeros(width)
-            each[at] = times * (self.k1 + 1) / (times + self.scale[place]) * weights[at]
-            out[i] = each.sum()
-        self.position[found] = -1
-        return out
+        source = self.source[places]
+        first, size = self.by_doc[source], self.by_doc[source + 1] - self.by_doc[source]
+        spot = np.repeat(first - np.cumsum(size) + size, size)
+        spot += np.arange(len(spot))
+        at = self.position[self.word[spot]]
+        hit = np.flatnonzero(at >= 0)
+        at, times, row = at[hit], self.times[spot[hit]], np.repeat(np.arange(len(places)), size)[hit]
+        each = np.zeros((len(places), len(weights)))
+        each[row, at] = times * (self.k1 + 1) / (times + self.scale[source][row]) * weights[at]
+        return each.sum(axis=1)
 
 
 def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text: str) -> tuple[DataFrame, int, float]:
@@ -209,21 +251,44 @@ def top_documents(
     """
     weighted, n, mean_length = weighted_queries(docs, queries, doc_id=doc_id, text=text)
     shards = max(1, -(-n // shard), -(-int(n * mean_length) // SHARD_WORDS))
-    # An explicit number of ranges is kept as it is, and the gathering that follows needs no further shuffle.
+
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = pa.array([squeeze(b.as_py()) for b in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], ["shard", "id", "body"])
+
+    # A shard is one row where it is gathered and met, so its texts are compressed. Its number is its partition, so the
+    # gathering that follows needs no further shuffle.
     indexed = (
         docs.select(
             F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).cast("int").alias("shard"),
-            F.struct(F.col(doc_id).cast("long").alias("id"), text_of(text).cast("binary").alias("body")).alias("doc"),
+            F.col(doc_id).cast("long").alias("id"),
+            text_of(text).cast("binary").alias("body"),
         )
-        .repartitionByRange(shards, "shard")
+        .mapInArrow(squeezed, "shard int, id bigint, body binary")
+        .select("shard", F.struct("id", "body").alias("doc"))
+        .repartitionById(shards, "shard")
         .groupBy("shard")
         .agg(F.collect_list("doc").alias("docs"))
     )
-    asked = weighted.count()
-    rows, parts = max(1, -(-asked // ROW_QUERIES)), max(1, -(-asked // PART_QUERIES))
+    asked, terms = weighted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("weights") / 8), F.lit(0))).first()
+    parts = max(1, -(-asked // PART_QUERIES), -(-int(terms) // PART_WORDS))
+    rows = parts * max(1, -(-asked // (parts * ROW_QUERIES)))
+
+    def block_of(block: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        each = [[number.setdefault(w, len(number)) for w in q.split(b" ")] for q in block.column("words").to_pylist()]
+        ids = np.fromiter((i for q in each for i in q), "<i4").tobytes()
+        long = [squeeze(x) for x in (b" ".join(number), ids, b"".join(block.column("weights").to_pylist()))]
+        columns = [block.column("row").to_pylist(), block.column("query_id").to_pylist(), [len(q) for q in each], *long]
+        found = pa.StructArray.from_arrays([pa.array([c], f.type) for c, f in zip(columns, BLOCK_OF, strict=True)], fields=BLOCK_OF)
+        return pa.table({"block": block.column("block")[:1], "queries": found})
+
+    # Words are numbered within a row of queries, so that a shard looks each of them up once.
     blocks = (
-        weighted.groupBy(F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("block"))
-        .agg(F.collect_list(F.struct("row", "query_id", "words", "weights")).alias("queries"))
+        weighted.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int"))
+        .groupBy("block")
+        .applyInArrow(block_of, "block int, queries struct<row:array<bigint>,query_id:array<bigint>,size:array<int>,words:binary,ids:binary,weights:binary>")
         .select((F.col("block") % parts).alias("part"), F.lit(1).alias("kind"), "queries")
     )
     # Every part has a row without queries, and a shard's documents come along with that row alone. Rows of a part are in no order.
@@ -234,26 +299,29 @@ def top_documents(
         now, index, waiting = None, None, []
         for batch in batches:
             for i, part in enumerate(batch.column("shard").to_pylist()):
-                own, asked = batch.column("docs")[i].values, batch.column("queries")[i].values
+                own, asked = batch.column("docs")[i].values, batch.column("queries")[i]
                 if part != now:
                     now, index, waiting = part, None, []
                 if own is not None and index is None:
                     postings = Postings()
                     for name, body in zip(own.field("id").to_pylist(), own.field("body"), strict=True):
-                        postings.add(name, body.as_py())
-                    index = Shard(postings, mean_length, k1, b)
-                if asked is not None:
+                        postings.add(name, unsqueeze(body.as_py()))
+                    index, postings = Shard(postings, mean_length, k1, b), None
+                if asked.is_valid:
                     waiting.append(asked)
                 while index is not None and waiting:
                     yield answers(part, index, waiting.pop())
 
-    def answers(part: int, index: Shard, asked: pa.StructArray) -> pa.RecordBatch:
+    def answers(part: int, index: Shard, asked: pa.StructScalar) -> pa.RecordBatch:
         out: list[tuple[int, int, int | None, np.ndarray, np.ndarray, np.ndarray]] = []
-        for row, name, words, weights in zip(*(asked.field(c) for c in ("row", "query_id", "words", "weights")), strict=True):
-            place, score = index.top(words.as_py().split(b" "), np.frombuffer(weights.as_py(), "<f8"), k)
+        words, ids, weights = (unsqueeze(asked[c].as_py()) for c in ("words", "ids", "weights"))
+        ids, weights, begin = index.places(words.split(b" "))[np.frombuffer(ids, "<i4")], np.frombuffer(weights, "<f8"), 0
+        for row, name, size in zip(*(asked[c].as_py() for c in ("row", "query_id", "size")), strict=True):
+            own, begin = slice(begin, begin + size), begin + size
+            place, score = index.best(ids[own], weights[own], k)
             order = np.lexsort((index.ids[place], -score))[:k]
             place = place[order]
-            out.append((part, row.as_py(), name.as_py(), -score[order], index.nameless[place], index.ids[place]))
+            out.append((part, row, name, -score[order], index.nameless[place], index.ids[place]))
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
         arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, ["shard", "row", "query_id", "below", "nameless", "doc_id"])
