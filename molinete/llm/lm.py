@@ -20,7 +20,7 @@ CODED, KNOWN = 131_070, 131_070
 FIRST_TEXTS, TURNS = 64, 4
 #: The end of a text in the count table; no word holds a space.
 END = " "
-_BLOCK = 8192
+_BLOCK = 4096
 #: Texts and bytes that are scored side by side.
 TOGETHER, TOGETHER_BYTES = 512, 1 << 18
 
@@ -63,36 +63,28 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.where(~F.col("held_out")).select("body").mapInArrow(tally, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _blocks(table: np.ndarray, first: int, salt: int) -> pa.RecordBatch:
-    """The blocks of a task's counts that are not all zero; ``first`` is the number of the first."""
+def _blocks(table: np.ndarray, first: int) -> pa.RecordBatch:
+    """The blocks of a task's counts that are not all zero, in as few bytes a count as they take; ``first`` is the number of the first."""
     parts = table.reshape(-1, 2 * _BLOCK)
     used = np.flatnonzero(parts.any(axis=1))
-    kind = "<i4" if table.max(initial=0) < 1 << 31 else "<i8"
-    return pa.RecordBatch.from_arrays(
-        [pa.array(used + first, pa.int32()), pa.array(np.full(len(used), salt % 64), pa.int32()), pa.array([parts[i].astype(kind).tobytes() for i in used], pa.binary())], ["block", "salt", "counts"]
-    )
-
+    return pa.RecordBatch.from_arrays([pa.array(used + first, pa.int32()), pa.array([_bytes(parts[i]) for i in used], pa.binary())], ["block", "counts"])
 
-def _numbers(raw: bytes) -> np.ndarray:
-    """A block's counts, of four or eight bytes each."""
-    return np.frombuffer(raw, "<i4" if len(raw) == 8 * _BLOCK else "<i8")
 
+def _bytes(counts: np.ndarray) -> bytes:
+    most = int(counts.max(initial=0))
+    return counts.astype(next(k for k, n in (("u1", 8), ("<u2", 16), ("<i4", 31), ("<i8", 64)) if most < 1 << n)).tobytes()
 
-def _merged(blocks: DataFrame, *by: str) -> DataFrame:
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(2 * _BLOCK, np.int64)
-        for x in group.column("counts"):
-            total += _numbers(x.as_py())
-        return pa.table({"block": group.column("block")[:1], "salt": group.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    return blocks.groupBy(*by).applyInArrow(add, "block int, salt int, counts binary")
+def _numbers(raw: bytes) -> np.ndarray:
+    """A block's counts, of one to eight bytes each."""
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<i4", 8: "<i8"}[len(raw) // (2 * _BLOCK)])
 
 
 def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The odds in every slot of the hashed tables, three times: from all training texts, and from either half of them.
 
-    A task counts into tables of fixed size and hands over the blocks it has touched; blocks are summed in two steps, so that
-    no task sums more than a part of what all tasks hand over. Contexts inside words come from the count table: a word without
+    A task counts into tables of fixed size and hands over the blocks it has touched; a block of all tasks and both halves is summed and turned
+    into odds at once, so counts move once. Contexts inside words come from the count table: a word without
     a code as often as it stands in the texts, one with a code once, as a model of its kind. The result's size is fixed by the tables.
     """
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
@@ -101,45 +93,46 @@ def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -
 
     def of_half(half: int) -> DataFrame:
         def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables, salt, words = [BitCounts(n) for n in TABLES[:2]], 0, shared.value
+            tables, words = [BitCounts(n) for n in TABLES[:2]], shared.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 48):
                     found = batch_of(words, [words_of(b) for b in batch.column(0).slice(at, 48).to_pylist()])
-                    salt += len(found.bits)
                     for table, slots in zip(tables, found.slots, strict=True):
                         table.add(slots, found.bits)
-            yield from (_blocks(table.total(), (1 + half) * every + OFFSETS[k] // _BLOCK, salt) for k, table in enumerate(tables))
+            yield from (_blocks(table.total(), (1 + half) * every + OFFSETS[k] // _BLOCK) for k, table in enumerate(tables))
 
         return texts.where(~F.col("held_out") & (F.col("half") == half)).select("body").coalesce(tasks).mapInArrow(of_texts, schema)
 
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, salt, words = [BitCounts(n) for n in TABLES[2:]], 0, shared.value
+        tables, words = [BitCounts(n) for n in TABLES[2:]], shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 8_000):
                 part = [(w, n) for w, n in zip(*(c.to_pylist() for c in batch.slice(at, 8_000).columns), strict=True) if w != END.encode()]
                 owner, bits, _, slots = spelling(words, [w for w, _ in part])
                 times = np.array([1 if words.ids.get(w, words.coded) < words.coded else n for w, n in part], float)[owner]
-                salt += len(bits)
                 for table, own in zip(tables, slots, strict=True):
                     table.add(own, bits, times)
-        yield from (_blocks(table.total(), OFFSETS[k + 2] // _BLOCK, salt) for k, table in enumerate(tables))
+        yield from (_blocks(table.total(), OFFSETS[k + 2] // _BLOCK) for k, table in enumerate(tables))
 
-    schema = "block int, salt int, counts binary"
+    schema = "block int, counts binary"
     # A task's tables have their size whatever it reads, so there are only a few tasks for each core, however many files.
     tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
     made = of_half(0).union(of_half(1)).union(counts.select("word", "n").coalesce(tasks).mapInArrow(of_words, schema))
     odds = np.zeros(3 * OFFSETS[-1], np.int16)
     odds[:] = odds_of(np.zeros((1, 2)))[0]
-    # A half's blocks count for the half and for all.
-    both = F.when(F.col("block") >= every, F.array("block", F.col("block") % every)).otherwise(F.array("block"))
-
-    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [odds_of(_numbers(x.as_py()).reshape(-1, 2)).astype("<i2").tobytes() for x in batch.column("counts")]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(found, pa.binary())], ["block", "odds"])
 
-    parts = _merged(made, "block", "salt").select(F.explode(both).alias("block"), "salt", "counts")
-    for row in _merged(parts, "block").mapInArrow(quantise, "block int, odds binary").collect():
+    def summed(group: pa.Table) -> pa.Table:
+        # A half's blocks count for the half and for all.
+        totals: dict[int, np.ndarray] = {}
+        for block, raw in zip(group.column("block").to_pylist(), group.column("counts"), strict=True):
+            found = _numbers(raw.as_py())
+            for at in {block, block % every}:
+                totals.setdefault(at, np.zeros(2 * _BLOCK, np.int64))
+                totals[at] += found
+        as_odds = [odds_of(t.reshape(-1, 2)).astype("<i2").tobytes() for t in totals.values()]
+        return pa.table({"block": pa.array(list(totals), pa.int32()), "odds": pa.array(as_odds, pa.binary())})
+
+    for row in made.groupBy(F.col("block") % every).applyInArrow(summed, "block int, odds binary").collect():
         odds[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["odds"], "<i2")
     odds = odds.reshape(3, -1)
     odds[1:, OFFSETS[2] :] = odds[0, OFFSETS[2] :]  # contexts inside words do not come from the texts
