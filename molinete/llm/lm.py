@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molinete.llm.common import durable, held_out, text_of
-from molinete.llm.context_mixing import BYTES_BACK, OFFSETS, TABLES, BitCounts, Mixer, Model, Vocabulary, batch_of, huffman, learn_texts, no_levels, odds_of, refined_by, spelling
+from molinete.llm.context_mixing import BYTES_BACK, OFFSETS, TABLES, WORDS, BitCounts, Mixer, Model, Tokens, Vocabulary, batch_of, huffman, learn_texts, no_levels, odds_of, refined_by, spelling
 
 #: Words with a code of their own; words whose counts every worker holds (both bounds on what is broadcast).
 CODED, KNOWN = 131_070, 131_070
@@ -22,7 +22,7 @@ FIRST_TEXTS, TURNS = 64, 4
 END = " "
 _BLOCK = 4096
 #: Texts and bytes that are scored side by side.
-TOGETHER, TOGETHER_BYTES = 512, 1 << 18
+TOGETHER, TOGETHER_BYTES = 2048, 3 << 19
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -30,6 +30,37 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_in(bodies: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The same of many texts: how many words each has, and all words in a row."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(bodies.view(pa.string())))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.greater(pc.binary_length(words), 0)
+    return np.bincount(owner.filter(real).to_numpy(), minlength=len(bodies)), words.filter(real).view(pa.binary())
+
+
+def _listed(column: pa.Array) -> list:
+    """A column's values, sooner than one by one."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def tokens_of(vocabulary: Vocabulary, bodies: pa.Array) -> Tokens:
+    lengths, words = words_in(bodies)
+    places = words.dictionary_encode()
+    return Tokens.of(vocabulary, lengths, places.indices.to_numpy().astype(np.intp), _listed(places.dictionary))
+
+
+def in_turn(bodies: pa.Array) -> Iterator[pa.Array]:
+    """Texts in their order: at most ``TOGETHER`` texts and ``TOGETHER_BYTES`` bytes at a time, or one text."""
+    begin = held = 0
+    for i, size in enumerate(pc.binary_length(bodies).to_pylist()):
+        if i > begin and (i - begin == TOGETHER or held + size > TOGETHER_BYTES):
+            yield bodies.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < len(bodies):
+        yield bodies.slice(begin)
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str, folds: int) -> DataFrame:
     """``(row, doc_id, held_out, half, body)``; ``row`` tells rows apart that repeat an id, equal texts lie in one half."""
     return docs.select(
@@ -95,8 +126,8 @@ def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -
         def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tables, words = [BitCounts(n) for n in TABLES[:2]], shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 48):
-                    found = batch_of(words, [words_of(b) for b in batch.column(0).slice(at, 48).to_pylist()])
+                for part in (p for bodies in in_turn(batch.column(0)) for p in tokens_of(words, bodies).parts(WORDS)):
+                    found = batch_of(words, part)
                     for table, slots in zip(tables, found.slots, strict=True):
                         table.add(slots, found.bits)
             yield from (_blocks(table.total(), (1 + half) * every + OFFSETS[k] // _BLOCK) for k, table in enumerate(tables))
@@ -107,7 +138,7 @@ def hashed_counts(texts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -
         tables, words = [BitCounts(n) for n in TABLES[2:]], shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 8_000):
-                part = [(w, n) for w, n in zip(*(c.to_pylist() for c in batch.slice(at, 8_000).columns), strict=True) if w != END.encode()]
+                part = [(w, n) for w, n in zip(*map(_listed, batch.slice(at, 8_000).columns), strict=True) if w != END.encode()]
                 owner, bits, _, slots = spelling(words, [w for w, _ in part])
                 times = np.array([1 if words.ids.get(w, words.coded) < words.coded else n for w, n in part], float)[owner]
                 for table, own in zip(tables, slots, strict=True):
@@ -153,25 +184,31 @@ def fit_weights(texts: DataFrame, vocabulary: Vocabulary, odds: np.ndarray) -> M
         first, cells, begun = [], no_levels(), False
         model = Model(words, halves[0], Mixer.new(3), Mixer.new(1 + len(BYTES_BACK)))
 
-        def over(part: list[tuple[int, bytes]], rate: float, tally: tuple[np.ndarray, np.ndarray] | None) -> None:
+        def over(tokens: Tokens, own: np.ndarray, rate: float, tally: tuple[np.ndarray, np.ndarray] | None) -> None:
             for half in (0, 1):
-                model.tables = halves[1 - half]
-                learn_texts(model, [words_of(b) for h, b in part if h == half], rate, tally)
+                model.tables, rows = halves[1 - half], np.flatnonzero(own == half)
+                for at in range(0, len(rows), 16):
+                    learn_texts(model, tokens.of_texts(rows[at : at + 16]), rate, tally)
 
         def begin() -> None:
+            own, bodies = np.array([h for h, _ in first]), pa.array([b for _, b in first], pa.binary())
             for turn in range(TURNS):
-                over(first, 1.0 / (turn + 1), cells if turn == TURNS - 1 else None)
+                over(tokens_of(words, bodies), own, 1.0 / (turn + 1), cells if turn == TURNS - 1 else None)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 32):
-                part = list(zip(*(batch.column(c).slice(at, 32).to_pylist() for c in ("half", "body")), strict=True))
-                if begun:
-                    over(part, 1.0 / TURNS, cells)
-                    continue
-                first += part
-                if len(first) >= FIRST_TEXTS:
-                    begin()
-                    first, begun = [], True
+            done = 0
+            for bodies in in_turn(batch.column("body")):
+                own, tokens = batch.column("half").slice(done, len(bodies)).to_numpy(), tokens_of(words, bodies)
+                done += len(bodies)
+                for at in range(0, len(bodies), 32):
+                    if begun:
+                        rows = np.arange(at, min(at + 32, len(bodies)))
+                        over(tokens.of_texts(rows), own[rows], 1.0 / TURNS, cells)
+                        continue
+                    first += zip(own[at : at + 32].tolist(), bodies.slice(at, 32).to_pylist(), strict=True)
+                    if len(first) >= FIRST_TEXTS:
+                        begin()
+                        first, begun = [], True
         if not begun:
             begin()
         found = [x.astype("<f8").tobytes() for x in (model.words.weights, model.bytes.weights, *cells)]
@@ -215,8 +252,10 @@ def fit_model(texts: DataFrame, counts: DataFrame, *, coded: int = CODED, known:
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(256, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen += n * np.bincount(np.frombuffer(word, np.uint8), minlength=256)
+            words, times = _listed(batch.column(0)), batch.column(1).to_numpy()
+            raw = np.frombuffer(b"".join(words), np.uint8)
+            # Counts of a batch are far below 2^53, so their sums are exact.
+            seen += np.bincount(raw, np.repeat(times, [len(w) for w in words]), 256).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(seen)], ["byte", "n"])
 
     bytes_ = np.ones(256, np.int64)
@@ -273,18 +312,18 @@ def score_documents(docs: DataFrame, *, folds: int = 10, coded: int = CODED, kno
         for batch in batches:
             for rows in alike(pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False)):
                 part = batch.take(pa.array(rows))
-                raw = part.column("body").to_pylist()
-                bits, found = fitted.bits([words_of(b) for b in raw])
-                owner = np.repeat(np.arange(len(raw)), found.lengths)
-                here = found.ids >= 0
-                base = np.bincount(owner[here], logs[found.ids[here]], len(raw)) + end_log
-                seen = np.bincount(owner[here], minlength=len(raw)) + end_known
-                unknown: list[Counter] = [Counter() for _ in raw]
-                for i, w in zip(owner[~here].tolist(), found.unknown, strict=True):
-                    unknown[i][w] += 1
-                # In front, under a name no word has, the row itself, with what needs no join.
-                words = [[b" ", *u] for u in unknown]
-                times = [[0, *u.values()] for u in unknown]
+                found = tokens_of(fitted.vocabulary, part.column("body"))
+                bits = fitted.bits_of(found)
+                texts, distinct = len(rows), len(found.words)
+                owner, ids = np.repeat(np.arange(texts), found.lengths), found.ids.take(found.which)
+                here = ids >= 0
+                base = np.bincount(owner[here], logs[ids[here]], texts) + end_log
+                seen = np.bincount(owner[here], minlength=texts) + end_known
+                # In front, under a name no word has, the row itself, with what needs no join; then its unknown words.
+                pairs, times = np.unique(np.concatenate([np.arange(texts) * (distinct + 1), (owner * (distinct + 1) + 1 + found.which)[~here]]), return_counts=True)
+                whose, word = np.divmod(pairs, distinct + 1)
+                ends = np.append(0, np.cumsum(np.bincount(whose, minlength=texts))).astype(np.int32)
+                words = pa.array([b" ", *found.words], pa.binary()).take(pa.array(word))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in ("row", "doc_id", "held_out")),
@@ -292,9 +331,9 @@ def score_documents(docs: DataFrame, *, folds: int = 10, coded: int = CODED, kno
                         pa.array(seen),
                         pa.array(base),
                         pa.array(-bits * np.log10(2.0)),
-                        pa.array([len(b) for b in raw], pa.int64()),
-                        pa.array(words, pa.list_(pa.binary())),
-                        pa.array(times, pa.list_(pa.int64())),
+                        pc.binary_length(part.column("body")).cast(pa.int64()),
+                        pa.ListArray.from_arrays(ends, words),
+                        pa.ListArray.from_arrays(ends, pa.array(np.where(word > 0, times, 0))),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "seen", "base", "score", "n_bytes", "words", "times"],
                 )

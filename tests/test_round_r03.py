@@ -6,10 +6,11 @@ import re
 from decimal import Decimal as D
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from molinete.llm import lm, search
-from molinete.llm.context_mixing import batch_of
+from molinete.llm.context_mixing import _LEAST, _LEVELS, _PLAIN, _PLACES, BYTES_BACK, OFFSETS, SHORT, Mixer, Model, Tokens, Vocabulary, batch_of, huffman, odds_of, spelling
 from molinete.llm.search import top_documents
 from molinete.operators import admission
 from molinete.sources.roles import Roles
@@ -113,3 +114,63 @@ def test_lines_of_requests_move_once(spark, tmp_path):
     gathered = lines.hint("merge").groupBy("request_id").agg(F.collect_list("product_id").alias("products"))
     plan = gathered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("product_id") and "hashpartitioning(request_id" in plan and not re.search(r"hashpartitioning\(request_id#\d+L, product_id", plan)
+
+
+def _one_by_one(mixer, inputs, gate, bits, rate):
+    """Bits of information of one text, a bit at a time."""
+    weights, refined, shift, total = mixer.weights.copy(), (mixer.refined + _PLAIN) / 2, np.zeros((16, _PLACES)), 0.0
+    for begin in range(0, len(bits), SHORT):
+        seen, moves, shifts = np.zeros(16), np.zeros(weights.shape), np.zeros(shift.shape)
+        for i in range(begin, min(begin + SHORT, len(bits))):
+            x, g, bit = np.array([*(k[i] for k in inputs), 1], np.float32), gate[i], int(bits[i])
+            level = int((np.clip(weights[g] @ x, -9, 9) + 9) * 64)
+            p = np.clip(refined[g, level] + shift[g, level * _PLACES // _LEVELS], _LEAST, 1 - _LEAST)
+            total -= np.log2(p if bit else 1 - p)
+            seen[g] += 1
+            moves[g] += (bit - _PLAIN[level]) * x
+            shifts[g, level * _PLACES // _LEVELS] += bit - p
+        weights += (rate / (seen + 60))[:, None] * moves
+        shift += shifts * (rate / (SHORT / 2))
+    return total
+
+
+def test_texts_side_by_side_cost_what_they_cost_bit_by_bit():
+    """Rows of all texts that move together give each text's bits, whatever its length and its bits' gates; words are looked up once for all texts."""
+    rng = np.random.default_rng(6)
+    known = [b"the", b"of", b"and", b"a", b"w1"]
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, *a):
+            self.times += 1
+            return super().get(*a)
+
+    for most in (3, 60):  # rarely seen contexts, and nearly all of them often
+        words = Vocabulary(known, 4, huffman(np.array([5, 3, 2, 4, 4, 6])), huffman(np.arange(1, 257)))
+        words.ids = Asked(words.ids)
+        model = Model(words, odds_of(rng.integers(0, most, (OFFSETS[-1], 2))), Mixer.new(3), Mixer.new(1 + len(BYTES_BACK)))
+        model.words.weights += rng.normal(0, 0.2, model.words.weights.shape).astype(np.float32)
+        bodies = [" ".join(f"w{rng.integers(0, 9)}" if rng.random() < 0.3 else ["The", "of", "and", "a"][rng.integers(0, 4)] for _ in range(n)).encode() for n in (0, 1, 700, 3, 90, 41, 700)]
+        tokens = lm.tokens_of(words, pa.array(bodies, pa.binary()))
+        assert words.ids.times == len({w for b in bodies for w in lm.words_of(b)})
+        assert [[tokens.words[i] for i in t.which] for t in (tokens.of_texts(np.array([k])) for k in range(7))] == [lm.words_of(b) for b in bodies]
+        assert [n for t in tokens.parts(50) for n in t.lengths] == tokens.lengths.tolist() and len(list(tokens.parts(50))) > 2
+        got = model.bits_of(tokens)
+        for body, bits in zip(bodies, got, strict=True):
+            batch = batch_of(words, [lm.words_of(body)])
+            want = _one_by_one(model.words, *model.word_inputs(batch), batch.bits, model.rate)
+            _, bit, place, slots = spelling(words, batch.spelled)
+            want += _one_by_one(model.bytes, *model.byte_inputs(place, slots), bit, model.rate)
+            assert abs(bits - want) < 1e-3 * want
+    assert len(model.bits_of(Tokens.of(words, np.zeros(0, np.int64), np.zeros(0, np.intp), []))) == 0
+
+
+def test_words_are_cut_alike_one_by_one_and_in_columns():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x85AbÉß\x00") for _ in range(rng.randint(0, 30))).encode() for _ in range(500)]
+    bodies = pa.array(texts, pa.binary()).slice(3)
+    lengths, words = lm.words_in(bodies)
+    want = [lm.words_of(t) for t in texts[3:]]
+    assert lengths.tolist() == [len(t) for t in want] and words.to_pylist() == [w for t in want for w in t]
+    assert [t for part in lm.in_turn(bodies) for t in part.to_pylist()] == texts[3:]
