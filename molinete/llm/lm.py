@@ -49,11 +49,11 @@ def tokens_of(vocabulary: Vocabulary, bodies: pa.Array) -> Tokens:
     return Tokens.of(vocabulary, lengths, places.indices.to_numpy().astype(np.intp), _listed(places.dictionary))
 
 
-def in_turn(bodies: pa.Array) -> Iterator[pa.Array]:
-    """Texts in their order: at most ``TOGETHER`` texts and ``TOGETHER_BYTES`` bytes at a time, or one text."""
+def in_turn(bodies: pa.Array, step: int = 1) -> Iterator[pa.Array]:
+    """Texts in their order: at most ``TOGETHER`` texts and ``TOGETHER_BYTES`` bytes at a time, or one text; cut only before every ``step``-th one."""
     begin = held = 0
     for i, size in enumerate(pc.binary_length(bodies).to_pylist()):
-        if i > begin and (i - begin == TOGETHER or held + size > TOGETHER_BYTES):
+        if i > begin and i % step == 0 and (i - begin >= TOGETHER or held + size > TOGETHER_BYTES):
             yield bodies.slice(begin, i - begin)
             begin, held = i, 0
         held += size
@@ -197,7 +197,7 @@ def fit_weights(texts: DataFrame, vocabulary: Vocabulary, odds: np.ndarray) -> M
 
         for batch in batches:
             done = 0
-            for bodies in in_turn(batch.column("body")):
+            for bodies in in_turn(batch.column("body"), 32):
                 own, tokens = batch.column("half").slice(done, len(bodies)).to_numpy(), tokens_of(words, bodies)
                 done += len(bodies)
                 for at in range(0, len(bodies), 32):

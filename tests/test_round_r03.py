@@ -174,3 +174,12 @@ def test_words_are_cut_alike_one_by_one_and_in_columns():
     want = [lm.words_of(t) for t in texts[3:]]
     assert lengths.tolist() == [len(t) for t in want] and words.to_pylist() == [w for t in want for w in t]
     assert [t for part in lm.in_turn(bodies) for t in part.to_pylist()] == texts[3:]
+
+
+def test_groups_of_texts_are_cut_at_steps(monkeypatch):
+    """What is learned together does not hang on how many texts are looked up together."""
+    monkeypatch.setattr(lm, "TOGETHER_BYTES", 100)
+    bodies = pa.array([b"x" * (i % 40) for i in range(150)], pa.binary())
+    parts = list(lm.in_turn(bodies, 32))
+    assert [len(p) for p in parts] == [32, 32, 32, 32, 22] and [t for p in parts for t in p.to_pylist()] == bodies.to_pylist()
+    assert all(len(p) == 1 or sum(map(len, p.to_pylist())) <= 100 for p in lm.in_turn(bodies))
