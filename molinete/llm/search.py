@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: inverted shards with block maxima, pruned by the running threshold, merged under global statistics."""
+"""Exact BM25 top-k: inverted shards, written once; queries run over a shard side by side, frequent words as a matrix product, and every shard starts from the threshold of those before."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from molinete.llm.common import durable, text_of
 
-#: Documents of a shard; its most frequent words, which have block maxima; documents of a block; candidates scored at a time.
-SHARD, FREQUENT, BLOCK, CHUNK = 8192, 96, 64, 128
+#: Documents of a shard; words that may stand in its matrix, at most; one in so many documents holds each of them, at least.
+SHARD, FREQUENT, ONE_IN = 8192, 1536, 48
 #: Words of a shard; queries that lie in one row, and in one partition, where shards and queries meet; words of the queries of a partition; documents
-#: that are scored side by side in the end.
-SHARD_WORDS, ROW_QUERIES, PART_QUERIES, PART_WORDS, SIDE = 8_000_000, 512, 16_384, 8_000_000, 64
+#: that are scored side by side in the end; queries that run side by side; shards that a task goes through, at most.
+SHARD_WORDS, ROW_QUERIES, PART_QUERIES, PART_WORDS, SIDE, TOGETHER, SHARDS_OF_TASK = 8_000_000, 2048, 16_384, 8_000_000, 64, 256, 32
+#: Products of a matrix that take as long as one entry of a list; kinds that queries of a row are sorted by; documents of a lane.
+LIST_COST, KINDS, LANE = 300, 8, 16
 #: The unit roundoff of single precision.
 _UNIT = 2.0**-24
 #: A row of queries: their rows, ids and numbers of words; compressed, all their words once, each one's words by number, and weights.
@@ -49,74 +52,103 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class Lists(NamedTuple):
+    """The documents of a shard by their words: words by falling document frequency, and for each its documents in order and their times."""
+
+    ids: np.ndarray
+    nameless: np.ndarray
+    lengths: np.ndarray
+    words: list[bytes]
+    spread: np.ndarray
+    doc: np.ndarray
+    times: np.ndarray
+
+    def packed(self) -> list[bytes]:
+        return [squeeze(b" ".join(x) if isinstance(x, list) else x.tobytes()) for x in self]
+
+    @classmethod
+    def of(cls, packed: list[bytes]) -> Lists:
+        kinds = (np.int64, bool, np.int64, None, np.int32, np.int32, np.int32)
+        return cls(*(unsqueeze(x).split() if kind is None else np.frombuffer(unsqueeze(x), kind) for x, kind in zip(packed, kinds, strict=True)))
+
+
 class Postings:
-    """Documents as they come in: word numbers and their times, in compact arrays; no document's own words are kept."""
+    """Documents as they come in: the numbers of their words, one after the other, in compact arrays."""
 
     def __init__(self):
         self.ids: list[int | None] = []
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__  # a new word gets the next number
-        self.word, self.times, self.sizes, self.lengths = array("i"), array("i"), array("q"), array("q")
+        self.word, self.lengths = array("i"), array("q")
 
     def add(self, name: int | None, text: bytes) -> None:
-        words, number = words_of(text), self.number
-        tally = Counter(words)
+        words = words_of(text)
         self.ids.append(name)
-        self.word.extend(map(number.__getitem__, tally))
-        self.times.extend(tally.values())
-        self.sizes.append(len(tally))
+        self.word.extend(map(self.number.__getitem__, words))
         self.lengths.append(len(words))
 
+    def lists(self) -> Lists:
+        n, names = len(self.ids), list(self.number)
+        length = np.array(self.lengths, np.int64)
+        key = np.frombuffer(self.word, np.int32).astype(np.int64) if len(self.word) else np.zeros(0, np.int64)
+        key *= n
+        key += np.repeat(np.arange(n, dtype=np.int32), length)
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(first, append=len(key)).astype(np.int32)
+        key = key[first]
+        word = key // max(1, n)
+        key -= word * n
+        spread = np.bincount(word, minlength=len(names))
+        by_spread = np.argsort(-spread, kind="stable")
+        spot = runs((np.cumsum(spread) - spread)[by_spread], spread[by_spread])
+        ids = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
+        words = list(map(names.__getitem__, by_spread.tolist()))
+        return Lists(ids, np.array([i is None for i in self.ids], bool), length, words, spread[by_spread].astype(np.int32), key[spot].astype(np.int32), times[spot])
+
+
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first[0], first[0] + 1, ...``, ``size[0]`` numbers, then those of the next."""
+    ends = np.cumsum(size)
+    spot = np.repeat(first - ends + size, size)
+    spot += np.arange(len(spot))
+    return spot
+
 
 class Shard:
     """An inverted index of some documents, whose impacts are BM25 without the weight of the word."""
 
-    def __init__(self, postings: Postings, mean_length: float, k1: float, b: float):
-        ids, number, n = postings.ids, postings.number, len(postings.ids)
-        word, times = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (postings.word, postings.times))
-        sizes = np.array(postings.sizes, np.int64)
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        length = np.array(postings.lengths, np.int64)
-        self.k1, self.scale = k1, k1 * (1 - b + b * length / max(mean_length, 1e-9))
-        # In single precision and in place: of arrays as long as the postings there are few at a time.
-        impact, below = times.astype(np.float32), self.scale.astype(np.float32)[doc]
+    def __init__(self, postings: Postings | Lists, mean_length: float, k1: float, b: float):
+        own = postings.lists() if isinstance(postings, Postings) else postings
+        self.ids, self.nameless, n = own.ids, own.nameless, len(own.ids)
+        self.place = dict(zip(own.words, range(len(own.words)), strict=True))
+        self.k1, self.scale = k1, k1 * (1 - b + b * own.lengths / max(mean_length, 1e-9))
+        # Document and impact of an entry side by side, so that one look-up gets both; impacts are in single precision.
+        self.entry = np.empty(len(own.doc), np.int64)
+        self.entry.view(np.int32)[1::2] = own.doc
+        impact = own.times.astype(np.float32)
+        below = self.scale.astype(np.float32)[own.doc]
         below += impact
         impact /= below
         impact *= np.float32(k1 + 1)
         del below
-        # Words by falling document frequency; documents by the frequent word that marks them most, so that a block is of a kind.
-        spread = np.bincount(word, minlength=len(number))
-        by_spread = np.argsort(-spread, kind="stable")
-        place = np.empty(len(number), np.int32)
-        place[by_spread] = np.arange(len(number))
-        for w, at in zip(number, place.tolist(), strict=True):
-            number[w] = at
-        number.default_factory = None  # it would hold the table in a circle
-        self.place = number
-        word = place[word]
-        dense = np.zeros((n, FREQUENT), np.float32)
-        top = word < FREQUENT
-        dense[doc[top], word[top]] = impact[top]
-        rarity = np.log1p(n / np.maximum(1, spread[by_spread[:FREQUENT]])).astype(np.float32)
-        mark = np.argmax(dense[:, : len(rarity)] * rarity, axis=1) if len(rarity) else np.zeros(n, np.int64)
-        order = np.argsort(mark, kind="stable")
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n)
-        self.ids = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)[order]
-        self.nameless = np.array([i is None for i in ids], bool)[order]
-        self.dense = dense[order]
-        starts = np.arange(0, n, BLOCK)
-        self.block = np.arange(n) // BLOCK
-        self.maxima = np.ascontiguousarray(np.maximum.reduceat(self.dense, starts, axis=0).T) if n else np.zeros((FREQUENT, 0), np.float32)
-        # By document, for the final scores.
-        self.by_doc = np.concatenate([[0], np.cumsum(sizes)])
-        self.source, self.word, self.times, self.position = order, word, times, np.full(len(number), -1, np.int32)
-        rare = np.flatnonzero(~top)
-        rare = rare[np.argsort(word[rare], kind="stable")]
-        self.doc, self.impact = rank[doc[rare]], impact[rare]
-        many = spread[by_spread]
-        many[:FREQUENT] = 0
-        self.start = np.concatenate([[0], np.cumsum(many)])
+        self.impact = self.entry.view(np.float32)[::2]
+        self.impact[:] = impact
+        self.spread = own.spread.astype(np.int64)
+        self.start = np.cumsum(self.spread) - self.spread
+        # Frequent words by document, a row each; rows are filled up to whole lanes.
+        self.width = -(-n // LANE) * LANE
+        many = min(FREQUENT, int(np.searchsorted(-self.spread, -n / ONE_IN, side="right")))
+        top = int(self.spread[:many].sum())
+        self.dense = np.zeros((many, self.width), np.float32)
+        self.dense[np.repeat(np.arange(many), self.spread[:many]), own.doc[:top]] = impact[:top]
+        del impact
+        # By document, for the final scores. Numbers of 16 bits are sorted by counting.
+        order = np.argsort(own.doc.astype(np.uint16) if n <= 1 << 16 else own.doc, kind="stable")
+        self.word = np.repeat(np.arange(len(own.words), dtype=np.int32), self.spread)[order]
+        self.times = own.times[order]
+        self.by_doc = np.concatenate([[0], np.cumsum(np.bincount(own.doc, minlength=n))])
+        self.position = np.zeros(len(own.words), np.int32)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The numbers of words, -1 where no document holds them."""
@@ -127,67 +159,141 @@ class Shard:
         return self.best(self.places(words), weights, k)
 
     def best(self, found: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The places of the ``k`` best documents (more where scores tie) with a positive score, and their scores. ``found``: :meth:`places` of the words.
+        """The places of the ``k`` best documents (more where scores tie) with a positive score, and their scores. ``found``: :meth:`places` of the words."""
+        for _, place, score in self.beating(found, weights, np.array([len(found)]), Tops(1, k)):
+            return place, score
+        return np.zeros(0, np.int64), np.zeros(0)
 
-        Rare words are summed exactly. To that each block's maxima of the frequent words give an upper bound of its documents. The
-        documents with the largest bounds are scored first; the k-th best score so far is the threshold, and a document is only scored
-        while its bound reaches it, less what rounding in single precision can make of the two.
+    def beating(self, found: np.ndarray, weights: np.ndarray, sizes: np.ndarray, tops: Tops) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For queries one after the other, ``(number, places, scores)`` of all documents that may be among the best with those of ``tops``, and a few
+        that nearly are. ``found`` and ``weights`` are those of all queries, ``sizes`` words each.
+
+        All documents are scored in single precision. What reaches the k-th best score, less what rounding can take from it, is scored in double
+        precision. All terms are positive, so a sum of n of them is off by n + 8 roundings of itself at most: one in each addition, and in a term four of the impact and two more.
         """
-        known, every = found >= 0, weights
-        found, weights = found[known], weights[known]
-        frequent = found < FREQUENT
-        n = len(self.ids)
-        at, w = found[~frequent], weights[~frequent]
-        first, size = self.start[at], self.start[at + 1] - self.start[at]
-        ends = np.cumsum(size)
-        spot = np.repeat(first - ends + size, size)
-        spot += np.arange(len(spot))
-        exact = np.bincount(self.doc[spot], self.impact[spot] * np.repeat(w, size), n)
-        at, w = found[frequent], weights[frequent]
-        bound = exact + (w @ self.maxima[at])[self.block]
-        column = np.zeros(FREQUENT, np.float32)
-        column[at] = w
-        # No impact is above k1 + 1, and each is kept to 4 roundings; a sum of n products adds n + 1 of them, whatever its order. Both
-        # sides of a comparison may be off by as much, hence twice; one more rounding covers the rest, which is in double precision.
-        slack = 2 * _UNIT * (self.k1 + 1) * float((len(at) + 2) * w.sum() + 5 * weights.sum())
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        threshold, todo = 0.0, np.flatnonzero(bound > 0)
-        first_part = min(CHUNK, len(todo))
-        while len(todo):
-            if len(todo) > first_part:
-                pick = np.argpartition(-bound[todo], first_part - 1)
-                part, todo = todo[pick[:first_part]], todo[pick[first_part:]]
-            else:
-                part, todo = todo, todo[:0]
-            score = exact[part] + self.dense[part] @ column
-            best_at, best = np.concatenate([best_at, part]), np.concatenate([best, score])
-            if len(best) > k:
-                threshold = np.partition(best, -k)[-k]
-                kept = best >= threshold - slack
-                best_at, best = best_at[kept], best[kept]
-            todo = todo[bound[todo] >= threshold - slack]
-            first_part = max(CHUNK, first_part * 2)
-        if not len(best_at):
-            return best_at, best
-        self.position[found] = np.flatnonzero(known)
-        parts = [self._score(best_at[i : i + SIDE], every) for i in range(0, len(best_at), SIDE)]
-        self.position[found] = -1
-        return best_at, np.concatenate(parts)
+        ends, k = np.cumsum(sizes), tops.k
+        for i in range(0, len(sizes) if self.width else 0, TOGETHER):
+            size = sizes[i : i + TOGETHER]
+            begin = np.cumsum(size) - size
+            own = slice(ends[i] - size[0], ends[i + len(size) - 1])
+            words, weight = found[own], weights[own]
+            rough, floor, room = self._rough(words, weight.astype(np.float32), size), tops.least()[i : i + TOGETHER], 1 - 2 * _UNIT * (size + 8)
+            new = np.flatnonzero(np.isneginf(floor))
+            if len(new):
+                seen = rough[new]
+                if self.width // LANE >= 4 * k:
+                    seen = seen.reshape(len(new), LANE, -1).max(axis=1)  # the best of a lane are different documents
+                floor[new] = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else 0
+            reach = rough >= np.maximum(np.nextafter((floor * room).astype(np.float32), np.float32(-1)), np.float32(1e-45))[:, None]
+            some = np.flatnonzero(reach.view(np.uint64))  # eight at a time
+            which, at = np.nonzero(reach.reshape(-1, 8)[some])
+            at += some[which] * 8
+            query, place = np.divmod(at, self.width)
+            bounds = np.searchsorted(query, np.arange(len(size) + 1))
+            for j in np.flatnonzero(np.diff(bounds)).tolist():
+                part = place[bounds[j] : bounds[j + 1]]
+                had = -tops.below[i + j, : tops.size[i + j]]
+                if len(part) + len(had) > k:  # the k-th best of both
+                    score = rough[j, part]
+                    part = part[score >= np.partition(np.concatenate([had, score]), -k)[-k] * room[j]]
+                if len(part):
+                    each = slice(begin[j], begin[j] + size[j])
+                    yield i + j, part, self._scores(part, words[each], weight[each])
+
+    def _rough(self, found: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The scores of all documents in single precision, a row a query."""
+        queries, n = len(sizes), len(self.ids)
+        query, known = np.repeat(np.arange(queries), sizes), found >= 0
+        query, found, weights = query[known], found[known], weights[known]
+        # Words that so many of these queries and documents hold that their lists, query by query, would take longer than a matrix product.
+        many = len(self.dense)
+        held = np.bincount(found[found < many], minlength=many)
+        chosen = np.flatnonzero(held * self.spread[:many] * LIST_COST > queries * n)
+        column = np.full(many + 1, -1, np.int64)
+        column[chosen] = np.arange(len(chosen))
+        at = column[np.minimum(found, many)]
+        dense = at >= 0
+        asked = np.zeros((queries, len(chosen)), np.float32)
+        asked[query[dense], at[dense]] = weights[dense]
+        out = asked @ self.dense[chosen]
+        rest = ~dense
+        query, found, weights = query[rest], found[rest], weights[rest]
+        first, size = self.start[found], self.spread[found]
+        bounds = np.searchsorted(query, np.arange(queries + 1))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        longest = int(np.diff(ends[bounds]).max(initial=0))
+        base, count = first - ends[:-1], np.arange(longest)
+        entry, term, place = np.empty(longest, np.int64), np.empty(longest, np.float32), np.empty(longest, np.int64)
+        for row, a, b in zip(out, bounds[:-1], bounds[1:], strict=True):
+            if a == b:
+                continue
+            times, m = size[a:b], ends[b] - ends[a]
+            spot = np.repeat(base[a:b] + ends[a], times)
+            spot += count[:m]
+            self.entry.take(spot, out=entry[:m], mode="clip")
+            np.multiply(entry[:m].view(np.float32)[::2], np.repeat(weights[a:b], times), out=term[:m])
+            np.right_shift(entry[:m], 32, out=place[:m])
+            np.add.at(row, place[:m], term[:m])
+        return out
+
+    def _scores(self, places: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        known = np.flatnonzero(found >= 0)
+        self.position[found[known]] = known + 1
+        parts = [self._score(places[i : i + SIDE], weights) for i in range(0, len(places), SIDE)]
+        self.position[found[known]] = 0
+        return np.concatenate(parts)
 
     def _score(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Scores in double precision, summed in the order of the query's words, so that equal texts tie in every shard."""
-        source = self.source[places]
-        first, size = self.by_doc[source], self.by_doc[source + 1] - self.by_doc[source]
-        spot = np.repeat(first - np.cumsum(size) + size, size)
-        spot += np.arange(len(spot))
-        at = self.position[self.word[spot]]
-        hit = np.flatnonzero(at >= 0)
-        at, times, row = at[hit], self.times[spot[hit]], np.repeat(np.arange(len(places)), size)[hit]
+        spots = [self.position.take(self.word[a:b]).nonzero()[0] for a, b in zip(self.by_doc[places].tolist(), self.by_doc[places + 1].tolist(), strict=True)]
+        row = np.repeat(np.arange(len(places)), list(map(len, spots)))
+        spot = np.concatenate(spots)
+        spot += self.by_doc[places][row]
+        at, times = self.position.take(self.word.take(spot)) - 1, self.times.take(spot)
         each = np.zeros((len(places), len(weights)))
-        each[row, at] = times * (self.k1 + 1) / (times + self.scale[source][row]) * weights[at]
+        each[row, at] = times * (self.k1 + 1) / (times + self.scale[places][row]) * weights[at]
         return each.sum(axis=1)
 
 
+class Tops:
+    """The best documents so far of the queries of a row."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.below = k, np.full((queries, k), np.inf)
+        self.nameless, self.ids, self.size = np.zeros((queries, k), bool), np.zeros((queries, k), np.int64), np.zeros(queries, np.int64)
+
+    def least(self) -> np.ndarray:
+        """The k-th best score of each query, minus infinity where there are fewer."""
+        return -self.below[:, -1]
+
+    def take(self, query: int, scores: np.ndarray, nameless: np.ndarray, ids: np.ndarray) -> None:
+        had = self.size[query]
+        rows = [np.concatenate([old[query, :had], new]) for old, new in ((self.below, -scores), (self.nameless, nameless), (self.ids, ids))]
+        order = np.lexsort(rows[::-1])[: self.k]
+        self.size[query] = len(order)
+        for kept, row in zip((self.below, self.nameless, self.ids), rows, strict=True):
+            kept[query, : len(order)] = row[order]
+
+
+def by_kind(number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """An order of queries that has those of frequent words in common side by side; ``number``: their words, ``sizes`` each."""
+    query, held = np.repeat(np.arange(len(sizes)), sizes), np.bincount(number)
+    top = np.argsort(-held, kind="stable")[: KINDS * 32]
+    column = np.full(len(held), -1)
+    column[top] = np.arange(len(top))
+    at = column[number]
+    marks = np.zeros((len(sizes), len(top)), np.float32)
+    marks[query[at >= 0], at[at >= 0]] = 1
+    marks *= np.log1p(len(sizes) / held[top]).astype(np.float32)
+    marks /= np.maximum(np.linalg.norm(marks, axis=1, keepdims=True), 1e-9)
+    center = marks[np.linspace(0, len(sizes) - 1, KINDS).astype(int)]
+    for _ in range(5):
+        kind = np.argmax(marks @ center.T, axis=1)
+        center = np.stack([marks[kind == i].sum(axis=0) for i in range(KINDS)])
+        center /= np.maximum(np.linalg.norm(center, axis=1, keepdims=True), 1e-9)
+    return np.argsort(kind, kind="stable")
+
+
 def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text: str) -> tuple[DataFrame, int, float]:
     """``(row, query_id, words, weights)``, the words joined by spaces and the weights as 64-bit floats, from statistics of all documents; the number of documents and their mean length."""
 
@@ -240,10 +346,11 @@ def top_documents(
     """``(query_id, rank, doc_id, score)``: for each row of ``queries`` its ``k`` best documents by BM25, ties by smaller id.
 
     Statistics are those of all documents. Documents are dealt to shards of about ``shard`` rows (and ``SHARD_WORDS`` words) by hash of their
-    id and text. Queries lie in parts of about ``PART_QUERIES``. Every shard meets every part in a task of its own, which reads both from where
-    they were written once: what is written grows with documents and queries, not with their product. The task builds the shard's index and
-    then runs the part's queries on it, so its memory holds one shard and one part. Every
-    shard returns its exact top k, and the best k of those are the best of all. A word's weight is its times in the query times
+    id and text; each shard's lists are made once and written. Queries lie in parts of about ``PART_QUERIES``. A task takes up to
+    ``SHARDS_OF_TASK`` shards one after the other and meets every query of a part with each, reading both from where they were written once: what is
+    written grows with documents and queries, not with their product. Its memory holds one shard, one row of queries and the part's best documents so far;
+    the k-th best of those is what a document of the next shard must reach. Every
+    task returns its exact top k, and the best k of those are the best of all. A word's weight is its times in the query times
     ``ln(1 + (N - n + 0.5) / (n + 0.5))``.
 
     Null texts are empty. A document needs a word of the query, so a query may have fewer than ``k`` rows and one without words
@@ -257,9 +364,19 @@ def top_documents(
             body = pa.array([squeeze(b.as_py()) for b in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], ["shard", "id", "body"])
 
-    # A shard is one row where it is gathered and met, so its texts are compressed. Its number is its partition, so the
+    def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, part in enumerate(batch.column("shard").to_pylist()):
+                own, postings = batch.column("docs")[i].values, Postings()
+                for name, body in zip(own.field("id").to_pylist(), own.field("body"), strict=True):
+                    postings.add(name, unsqueeze(body.as_py()))
+                lists, postings = postings.lists(), None
+                index = pa.StructArray.from_arrays([pa.array([x], pa.binary()) for x in lists.packed()], Lists._fields)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), index], ["shard", "index"])
+
+    # A shard is one row where it is gathered, so its texts are compressed. Its number is its partition, so the
     # gathering that follows needs no further shuffle.
-    indexed = (
+    indexed = durable(
         docs.select(
             F.pmod(F.xxhash64(F.col(doc_id), text_of(text)), F.lit(shards)).cast("int").alias("shard"),
             F.col(doc_id).cast("long").alias("id"),
@@ -270,16 +387,19 @@ def top_documents(
         .repartitionById(shards, "shard")
         .groupBy("shard")
         .agg(F.collect_list("doc").alias("docs"))
+        .mapInArrow(inverted, f"shard int, index struct<{', '.join(f'{x}: binary' for x in Lists._fields)}>")
     )
     asked, terms = weighted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("weights") / 8), F.lit(0))).first()
     parts = max(1, -(-asked // PART_QUERIES), -(-int(terms) // PART_WORDS))
     rows = parts * max(1, -(-asked // (parts * ROW_QUERIES)))
+    tasks = max(1, min(shards, max(-(-2 * docs.sparkSession.sparkContext.defaultParallelism // parts), -(-shards // SHARDS_OF_TASK))))
 
     def block_of(block: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
-        each = [[number.setdefault(w, len(number)) for w in q.split(b" ")] for q in block.column("words").to_pylist()]
-        ids = np.fromiter((i for q in each for i in q), "<i4").tobytes()
-        long = [squeeze(x) for x in (b" ".join(number), ids, b"".join(block.column("weights").to_pylist()))]
+        each = [np.fromiter((number.setdefault(w, len(number)) for w in q.split(b" ")), "<i4") for q in block.column("words").to_pylist()]
+        order = by_kind(np.concatenate(each), np.array([len(q) for q in each]))
+        each, block = [each[i] for i in order.tolist()], block.take(order)
+        long = [squeeze(x) for x in (b" ".join(number), np.concatenate(each).tobytes(), b"".join(block.column("weights").to_pylist()))]
         columns = [block.column("row").to_pylist(), block.column("query_id").to_pylist(), [len(q) for q in each], *long]
         found = pa.StructArray.from_arrays([pa.array([c], f.type) for c, f in zip(columns, BLOCK_OF, strict=True)], fields=BLOCK_OF)
         return pa.table({"block": block.column("block")[:1], "queries": found})
@@ -296,37 +416,36 @@ def top_documents(
     dealt = blocks.union(opening).repartitionByRange(parts, "part")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, index, waiting = None, None, []
+        now, index, waiting, tops = None, None, [], {}
         for batch in batches:
             for i, part in enumerate(batch.column("shard").to_pylist()):
-                own, asked = batch.column("docs")[i].values, batch.column("queries")[i]
+                own, asked = batch.column("index")[i], batch.column("queries")[i]
                 if part != now:
                     now, index, waiting = part, None, []
-                if own is not None and index is None:
-                    postings = Postings()
-                    for name, body in zip(own.field("id").to_pylist(), own.field("body"), strict=True):
-                        postings.add(name, unsqueeze(body.as_py()))
-                    index, postings = Shard(postings, mean_length, k1, b), None
+                if own.is_valid and index is None:
+                    index = Shard(Lists.of([own[c].as_py() for c in Lists._fields]), mean_length, k1, b)
                 if asked.is_valid:
                     waiting.append(asked)
                 while index is not None and waiting:
-                    yield answers(part, index, waiting.pop())
-
-    def answers(part: int, index: Shard, asked: pa.StructScalar) -> pa.RecordBatch:
-        out: list[tuple[int, int, int | None, np.ndarray, np.ndarray, np.ndarray]] = []
-        words, ids, weights = (unsqueeze(asked[c].as_py()) for c in ("words", "ids", "weights"))
-        ids, weights, begin = index.places(words.split(b" "))[np.frombuffer(ids, "<i4")], np.frombuffer(weights, "<f8"), 0
-        for row, name, size in zip(*(asked[c].as_py() for c in ("row", "query_id", "size")), strict=True):
-            own, begin = slice(begin, begin + size), begin + size
-            place, score = index.best(ids[own], weights[own], k)
-            order = np.lexsort((index.ids[place], -score))[:k]
-            place = place[order]
-            out.append((part, row, name, -score[order], index.nameless[place], index.ids[place]))
+                    answer(index, waiting.pop(), tops)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-        arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["shard", "row", "query_id", "below", "nameless", "doc_id"])
-
-    met = indexed.crossJoin(dealt.hint("shuffle_replicate_nl")).select("shard", F.when(F.col("kind") == 0, F.col("docs")).alias("docs"), "queries")
+        for names, best in tops.values():
+            out = [(now, *name, best.below[i, :m], best.nameless[i, :m], best.ids[i, :m]) for i, (name, m) in enumerate(zip(names, best.size.tolist(), strict=True)) if m]
+            if out:
+                arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["shard", "row", "query_id", "below", "nameless", "doc_id"])
+
+    def answer(index: Shard, asked: pa.StructScalar, tops: dict[int, tuple[list[tuple[int, int]], Tops]]) -> None:
+        rows, names, sizes = (asked[c].as_py() for c in ("row", "query_id", "size"))
+        words, ids, weights = (unsqueeze(asked[c].as_py()) for c in ("words", "ids", "weights"))
+        found = index.places(words.split(b" "))[np.frombuffer(ids, "<i4")]
+        if rows[0] not in tops:
+            tops[rows[0]] = (list(zip(rows, names, strict=True)), Tops(len(rows), k))
+        best = tops[rows[0]][1]
+        for i, place, score in index.beating(found, np.frombuffer(weights, "<f8"), np.array(sizes), best):
+            best.take(i, score, index.nameless[place], index.ids[place])
+
+    met = indexed.coalesce(tasks).crossJoin(dealt.hint("shuffle_replicate_nl")).select("shard", F.when(F.col("kind") == 0, F.col("index")).alias("index"), "queries")
     found = met.mapInArrow(search, "shard int, row bigint, query_id bigint, below array<double>, nameless array<boolean>, doc_id array<bigint>")
     tops = found.select("row", "query_id", (F.col("shard") % 64).alias("part"), F.arrays_zip("below", "nameless", "doc_id").alias("top"))
     # The best of a part of the shards, then of the parts: no group holds more than k rows of each of its members.
