@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; words that may stand in its matrix, at most; one in so many documents holds each of them, at least.
-SHARD, FREQUENT, ONE_IN = 8192, 1536, 48
-#: Words of a shard; queries that lie in one row, and in one partition, where shards and queries meet; words of the queries of a partition; documents
-#: that are scored side by side in the end; queries that run side by side; shards that a task goes through, at most.
-SHARD_WORDS, ROW_QUERIES, PART_QUERIES, PART_WORDS, SIDE, TOGETHER, SHARDS_OF_TASK = 8_000_000, 2048, 16_384, 8_000_000, 64, 256, 32
+SHARD, FREQUENT, ONE_IN = 8192, 1024, 32
+#: Bytes of a shard; queries that lie in one row, and in one partition, where shards and queries meet; words of the queries of a partition; terms
+#: that are added up side by side in the end; queries that run side by side; shards that a task goes through, at most.
+SHARD_BYTES, ROW_QUERIES, PART_QUERIES, PART_WORDS, TERMS, TOGETHER, SHARDS_OF_TASK = 48_000_000, 2048, 16_384, 8_000_000, 1 << 18, 128, 32
 #: Products of a matrix that take as long as one entry of a list; kinds that queries of a row are sorted by; documents of a lane.
 LIST_COST, KINDS, LANE = 300, 8, 16
 #: The unit roundoff of single precision.
@@ -88,23 +88,28 @@ class Postings:
         self.lengths.append(len(words))
 
     def lists(self) -> Lists:
+        """The documents by their words. Their words are let go on the way, so that no two forms of them are held together longer than it takes."""
         n, names = len(self.ids), list(self.number)
+        self.number.clear()
         length = np.array(self.lengths, np.int64)
         key = np.frombuffer(self.word, np.int32).astype(np.int64) if len(self.word) else np.zeros(0, np.int64)
+        self.word = array("i")
         key *= n
         key += np.repeat(np.arange(n, dtype=np.int32), length)
         key.sort()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         times = np.diff(first, append=len(key)).astype(np.int32)
         key = key[first]
-        word = key // max(1, n)
-        key -= word * n
-        spread = np.bincount(word, minlength=len(names))
+        del first
+        doc = (key % max(1, n)).astype(np.int32)
+        key //= max(1, n)
+        spread = np.bincount(key, minlength=len(names))
+        del key
         by_spread = np.argsort(-spread, kind="stable")
         spot = runs((np.cumsum(spread) - spread)[by_spread], spread[by_spread])
         ids = np.array([np.iinfo(np.int64).max if i is None else i for i in self.ids], np.int64)
         words = list(map(names.__getitem__, by_spread.tolist()))
-        return Lists(ids, np.array([i is None for i in self.ids], bool), length, words, spread[by_spread].astype(np.int32), key[spot].astype(np.int32), times[spot])
+        return Lists(ids, np.array([i is None for i in self.ids], bool), length, words, spread[by_spread].astype(np.int32), doc[spot], times[spot])
 
 
 def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -160,9 +165,8 @@ class Shard:
 
     def best(self, found: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The places of the ``k`` best documents (more where scores tie) with a positive score, and their scores. ``found``: :meth:`places` of the words."""
-        for _, place, score in self.beating(found, weights, np.array([len(found)]), Tops(1, k)):
-            return place, score
-        return np.zeros(0, np.int64), np.zeros(0)
+        found = list(self.beating(found, weights, np.array([len(found)]), Tops(1, k)))
+        return np.concatenate([np.zeros(0, np.int64), *(x for _, x, _ in found)]), np.concatenate([np.zeros(0), *(x for _, _, x in found)])
 
     def beating(self, found: np.ndarray, weights: np.ndarray, sizes: np.ndarray, tops: Tops) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For queries one after the other, ``(number, places, scores)`` of all documents that may be among the best with those of ``tops``, and a few
@@ -189,16 +193,20 @@ class Shard:
             which, at = np.nonzero(reach.reshape(-1, 8)[some])
             at += some[which] * 8
             query, place = np.divmod(at, self.width)
-            bounds = np.searchsorted(query, np.arange(len(size) + 1))
+            bounds, some = np.searchsorted(query, np.arange(len(size) + 1)), []
             for j in np.flatnonzero(np.diff(bounds)).tolist():
                 part = place[bounds[j] : bounds[j + 1]]
                 had = -tops.below[i + j, : tops.size[i + j]]
                 if len(part) + len(had) > k:  # the k-th best of both
                     score = rough[j, part]
                     part = part[score >= np.partition(np.concatenate([had, score]), -k)[-k] * room[j]]
-                if len(part):
-                    each = slice(begin[j], begin[j] + size[j])
-                    yield i + j, part, self._scores(part, words[each], weight[each])
+                side = max(1, TERMS // max(1, int(size[j])))
+                some += [(j, part[at : at + side]) for at in range(0, len(part), side)]
+            terms = np.cumsum([len(part) * size[j] for j, part in some]) // TERMS
+            for same in np.split(np.arange(len(some)), np.flatnonzero(np.diff(terms)) + 1):
+                group = [some[at] for at in same.tolist()]
+                for (j, part), score in zip(group, self._scores(group, words, weight, begin, size) if group else (), strict=True):
+                    yield i + j, part, score
 
     def _rough(self, found: np.ndarray, weights: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The scores of all documents in single precision, a row a query."""
@@ -236,23 +244,29 @@ class Shard:
             np.add.at(row, place[:m], term[:m])
         return out
 
-    def _scores(self, places: np.ndarray, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        known = np.flatnonzero(found >= 0)
-        self.position[found[known]] = known + 1
-        parts = [self._score(places[i : i + SIDE], weights) for i in range(0, len(places), SIDE)]
-        self.position[found[known]] = 0
-        return np.concatenate(parts)
-
-    def _score(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores in double precision, summed in the order of the query's words, so that equal texts tie in every shard."""
-        spots = [self.position.take(self.word[a:b]).nonzero()[0] for a, b in zip(self.by_doc[places].tolist(), self.by_doc[places + 1].tolist(), strict=True)]
-        row = np.repeat(np.arange(len(places)), list(map(len, spots)))
-        spot = np.concatenate(spots)
+    def _scores(self, some: list[tuple[int, np.ndarray]], found: np.ndarray, weights: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Scores in double precision, summed in the order of the query's words, so that equal texts tie in every shard. ``some``: queries and places; ``begin``, ``sizes``: where a query's words are."""
+        spots, ats = [], []
+        for j, places in some:
+            each = found[begin[j] : begin[j] + sizes[j]]
+            known = np.flatnonzero(each >= 0)
+            self.position[each[known]] = known + 1
+            for a, b in zip(self.by_doc[places].tolist(), self.by_doc[places + 1].tolist(), strict=True):
+                at = self.position.take(self.word[a:b])
+                spot = at.nonzero()[0]
+                ats.append(at[spot])
+                spots.append(spot)
+            self.position[each[known]] = 0
+        places, hits = np.concatenate([x for _, x in some]), np.array(list(map(len, spots)))
+        query = np.repeat([j for j, _ in some], [len(x) for _, x in some])
+        row, at, spot = np.repeat(np.arange(len(places)), hits), np.concatenate(ats), np.concatenate(spots)
+        at -= 1
         spot += self.by_doc[places][row]
-        at, times = self.position.take(self.word.take(spot)) - 1, self.times.take(spot)
-        each = np.zeros((len(places), len(weights)))
-        each[row, at] = times * (self.k1 + 1) / (times + self.scale[places][row]) * weights[at]
-        return each.sum(axis=1)
+        times, ends = self.times[spot], np.cumsum(sizes[query])
+        terms = np.zeros(ends[-1])
+        terms[(ends - sizes[query])[row] + at] = times * (self.k1 + 1) / (times + self.scale[places][row]) * weights[begin[query][row] + at]
+        cuts = [0, *ends[np.cumsum([len(x) for _, x in some]) - 1].tolist()]
+        return [terms[a:b].reshape(len(x), -1).sum(axis=1) for a, b, (_, x) in zip(cuts, cuts[1:], some, strict=False)]
 
 
 class Tops:
@@ -294,25 +308,26 @@ def by_kind(number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.argsort(kind, kind="stable")
 
 
-def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text: str) -> tuple[DataFrame, int, float]:
-    """``(row, query_id, words, weights)``, the words joined by spaces and the weights as 64-bit floats, from statistics of all documents; the number of documents and their mean length."""
+def statistics(indexed: DataFrame) -> tuple[DataFrame, int, float]:
+    """``(word, n)``, the number of documents that hold a word, from the lists of all shards; the number of documents and their mean length."""
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows, total = Counter(), 0, 0
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for index in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, spread, lengths = map(unsqueeze, index)
+                length = np.frombuffer(lengths, np.int64)
+                words = [b" ", b"  ", *words.split()]  # no word holds a space
+                n = np.concatenate([[len(length), length.sum()], np.frombuffer(spread, np.int32)])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+
+    spread = durable(indexed.select("index.words", "index.spread", "index.lengths").mapInArrow(counted, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    sums = {bytes(r["word"]): r["n"] for r in spread.where(F.col("word").isin(bytearray(b" "), bytearray(b"  "))).collect()}
+    n, length = sums.get(b" ", 0), sums.get(b"  ", 0)
+    return spread, n, length / max(1, n)
 
-        def flush() -> pa.RecordBatch:
-            words, n = [b" ", b"  ", *seen], [rows, total, *seen.values()]  # no word holds a space
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for body in batch.column(0):
-                words = words_of(body.as_py())
-                rows, total = rows + 1, total + len(words)
-                seen.update(set(words))
-            if len(seen) > 500_000:
-                yield flush()
-                seen, rows, total = Counter(), 0, 0
-        yield flush()
+def weighted_queries(spread: DataFrame, n: int, queries: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """``(row, query_id, words, weights)``, the words joined by spaces and the weights as 64-bit floats; ``spread``, ``n``: :func:`statistics` of all documents."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,16 +343,13 @@ def weighted_queries(docs: DataFrame, queries: DataFrame, *, doc_id: str, text:
                 ["row", "query_id", "words", "times"],
             )
 
-    spread = durable(docs.select(text_of(text).cast("binary")).mapInArrow(tally, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    sums = {bytes(r["word"]): r["n"] for r in spread.where(F.col("word").isin(bytearray(b" "), bytearray(b"  "))).collect()}
-    n, length = sums.get(b" ", 0), sums.get(b"  ", 0)
     rows = queries.select(F.monotonically_increasing_id().alias("row"), text_of(text).cast("binary").alias("body"), F.col(doc_id).cast("long").alias("query_id"))
     each = rows.mapInArrow(terms, "row bigint, query_id bigint, words array<binary>, times array<int>").select("row", "query_id", F.explode(F.arrays_zip("words", "times")).alias("t"))
     idf = F.log1p((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
     named = each.select("row", "query_id", F.col("t.words").alias("word"), F.col("t.times").alias("times")).join(spread, "word")
     grouped = named.groupBy("row").agg(F.first("query_id").alias("query_id"), F.sort_array(F.collect_list(F.struct("word", (F.col("times") * idf).alias("weight")))).alias("t"))
     rows = grouped.select("row", F.col("t.word").alias("words"), F.col("t.weight").alias("weights"), "query_id")
-    return durable(rows.mapInArrow(packed, "row bigint, query_id bigint, words binary, weights binary")), n, length / max(1, n)
+    return durable(rows.mapInArrow(packed, "row bigint, query_id bigint, words binary, weights binary"))
 
 
 def top_documents(
@@ -345,7 +357,7 @@ def top_documents(
 ) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: for each row of ``queries`` its ``k`` best documents by BM25, ties by smaller id.
 
-    Statistics are those of all documents. Documents are dealt to shards of about ``shard`` rows (and ``SHARD_WORDS`` words) by hash of their
+    Statistics are those of all documents. Documents are dealt to shards of about ``shard`` rows (and ``SHARD_BYTES``) by hash of their
     id and text; each shard's lists are made once and written. Queries lie in parts of about ``PART_QUERIES``. A task takes up to
     ``SHARDS_OF_TASK`` shards one after the other and meets every query of a part with each, reading both from where they were written once: what is
     written grows with documents and queries, not with their product. Its memory holds one shard, one row of queries and the part's best documents so far;
@@ -356,8 +368,8 @@ def top_documents(
     Null texts are empty. A document needs a word of the query, so a query may have fewer than ``k`` rows and one without words
     none. Rows that repeat an id are documents (or queries) of their own; null ids come last among ties. Empty tables give no rows.
     """
-    weighted, n, mean_length = weighted_queries(docs, queries, doc_id=doc_id, text=text)
-    shards = max(1, -(-n // shard), -(-int(n * mean_length) // SHARD_WORDS))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_of(text))), F.lit(0))).first()
+    shards = max(1, -(-n // shard), -(-size // SHARD_BYTES))
 
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,6 +401,8 @@ def top_documents(
         .agg(F.collect_list("doc").alias("docs"))
         .mapInArrow(inverted, f"shard int, index struct<{', '.join(f'{x}: binary' for x in Lists._fields)}>")
     )
+    spread, n, mean_length = statistics(indexed)
+    weighted = weighted_queries(spread, n, queries, doc_id=doc_id, text=text)
     asked, terms = weighted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("weights") / 8), F.lit(0))).first()
     parts = max(1, -(-asked // PART_QUERIES), -(-int(terms) // PART_WORDS))
     rows = parts * max(1, -(-asked // (parts * ROW_QUERIES)))
