@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import suppress
 from itertools import repeat
 from typing import NamedTuple
 
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 from molinete.llm.common import durable, text_of
 
 #: Documents of a shard; words that may stand in its matrix, at most; one in so many documents holds each of them, at least.
-SHARD, FREQUENT, ONE_IN = 8192, 1024, 32
+SHARD, FREQUENT, ONE_IN = 4096, 640, 32
 #: Bytes of a shard; queries that lie in one row, and in one partition, where shards and queries meet; words of the queries of a partition; terms
 #: that are added up side by side in the end; queries that run side by side; shards that a task goes through, at most.
-SHARD_BYTES, ROW_QUERIES, PART_QUERIES, PART_WORDS, TERMS, TOGETHER, SHARDS_OF_TASK = 48_000_000, 2048, 16_384, 8_000_000, 1 << 18, 128, 32
-#: Products of a matrix that take as long as one entry of a list; kinds that queries of a row are sorted by; documents of a lane.
-LIST_COST, KINDS, LANE = 300, 8, 16
+SHARD_BYTES, ROW_QUERIES, PART_QUERIES, PART_WORDS, TERMS, TOGETHER, SHARDS_OF_TASK = 48_000_000, 2048, 16_384, 8_000_000, 1 << 18, 128, 64
+#: Products of a matrix that take as long as one entry of a list; kinds that queries of a row are sorted by; documents of a lane; entries of lists that are added up at a time.
+LIST_COST, KINDS, LANE, PIECE = 300, 8, 16, 1 << 16
 #: The unit roundoff of single precision.
 _UNIT = 2.0**-24
 #: A row of queries: their rows, ids and numbers of words; compressed, all their words once, each one's words by number, and weights.
@@ -47,6 +49,12 @@ def unsqueeze(packed: bytes) -> bytes:
     return pa.decompress(packed[4:], decompressed_size=int.from_bytes(packed[:4], "little"), codec="zstd", asbytes=True)
 
 
+def give_back() -> None:
+    """Memory that was let go of and that the C library still holds goes back to the system, where it can do that."""
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """A-Z lower-cased, cut at the six ASCII white-space characters."""
     return text.lower().split()
@@ -126,21 +134,27 @@ class Shard:
     def __init__(self, postings: Postings | Lists, mean_length: float, k1: float, b: float):
         own = postings.lists() if isinstance(postings, Postings) else postings
         self.ids, self.nameless, n = own.ids, own.nameless, len(own.ids)
-        self.place = dict(zip(own.words, range(len(own.words)), strict=True))
-        self.k1, self.scale = k1, k1 * (1 - b + b * own.lengths / max(mean_length, 1e-9))
+        self.spread = own.spread.astype(np.int64)
+        self.start = np.cumsum(self.spread) - self.spread
+        # By document, for the final scores. Numbers of 16 bits are sorted by counting.
+        order = np.argsort(own.doc.astype(np.uint16) if n <= 1 << 16 else own.doc, kind="stable")
+        self.times = own.times.astype(np.min_scalar_type(own.times.max(initial=0)))[order]
+        self.word = np.repeat(np.arange(len(own.words), dtype=np.int32), self.spread)[order]
+        del order
+        self.by_doc = np.concatenate([[0], np.cumsum(np.bincount(own.doc, minlength=n))])
+        self.position = np.zeros(len(own.words), np.int32)
         # Document and impact of an entry side by side, so that one look-up gets both; impacts are in single precision.
-        self.entry = np.empty(len(own.doc), np.int64)
-        self.entry.view(np.int32)[1::2] = own.doc
+        self.k1, self.scale = k1, k1 * (1 - b + b * own.lengths / max(mean_length, 1e-9))
         impact = own.times.astype(np.float32)
         below = self.scale.astype(np.float32)[own.doc]
         below += impact
         impact /= below
         impact *= np.float32(k1 + 1)
         del below
+        self.entry = np.empty(len(own.doc), np.int64)
+        self.entry.view(np.int32)[1::2] = own.doc
         self.impact = self.entry.view(np.float32)[::2]
         self.impact[:] = impact
-        self.spread = own.spread.astype(np.int64)
-        self.start = np.cumsum(self.spread) - self.spread
         # Frequent words by document, a row each; rows are filled up to whole lanes.
         self.width = -(-n // LANE) * LANE
         many = min(FREQUENT, int(np.searchsorted(-self.spread, -n / ONE_IN, side="right")))
@@ -148,12 +162,7 @@ class Shard:
         self.dense = np.zeros((many, self.width), np.float32)
         self.dense[np.repeat(np.arange(many), self.spread[:many]), own.doc[:top]] = impact[:top]
         del impact
-        # By document, for the final scores. Numbers of 16 bits are sorted by counting.
-        order = np.argsort(own.doc.astype(np.uint16) if n <= 1 << 16 else own.doc, kind="stable")
-        self.word = np.repeat(np.arange(len(own.words), dtype=np.int32), self.spread)[order]
-        self.times = own.times[order]
-        self.by_doc = np.concatenate([[0], np.cumsum(np.bincount(own.doc, minlength=n))])
-        self.position = np.zeros(len(own.words), np.int32)
+        self.place = dict(zip(own.words, range(len(own.words)), strict=True))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """The numbers of words, -1 where no document holds them."""
@@ -227,15 +236,17 @@ class Shard:
         rest = ~dense
         query, found, weights = query[rest], found[rest], weights[rest]
         first, size = self.start[found], self.spread[found]
-        bounds = np.searchsorted(query, np.arange(queries + 1))
         ends = np.concatenate([[0], np.cumsum(size)])
+        # The lists of a query go in pieces of PIECE entries or so, whatever its length.
+        piece = (ends[:-1] - ends[np.searchsorted(query, query)]) // PIECE
+        bounds = np.concatenate([[0], np.flatnonzero((query[1:] != query[:-1]) | (piece[1:] != piece[:-1])) + 1, [len(query)]])
         longest = int(np.diff(ends[bounds]).max(initial=0))
         base, count = first - ends[:-1], np.arange(longest)
         entry, term, place = np.empty(longest, np.int64), np.empty(longest, np.float32), np.empty(longest, np.int64)
-        for row, a, b in zip(out, bounds[:-1], bounds[1:], strict=True):
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if a == b:
                 continue
-            times, m = size[a:b], ends[b] - ends[a]
+            row, times, m = out[query[a]], size[a:b], ends[b] - ends[a]
             spot = np.repeat(base[a:b] + ends[a], times)
             spot += count[:m]
             self.entry.take(spot, out=entry[:m], mode="clip")
@@ -382,8 +393,9 @@ def top_documents(
                 own, postings = batch.column("docs")[i].values, Postings()
                 for name, body in zip(own.field("id").to_pylist(), own.field("body"), strict=True):
                     postings.add(name, unsqueeze(body.as_py()))
-                lists, postings = postings.lists(), None
-                index = pa.StructArray.from_arrays([pa.array([x], pa.binary()) for x in lists.packed()], Lists._fields)
+                lists, postings, own = postings.lists(), None, None
+                index, lists = pa.StructArray.from_arrays([pa.array([x], pa.binary()) for x in lists.packed()], Lists._fields), None
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), index], ["shard", "index"])
 
     # A shard is one row where it is gathered, so its texts are compressed. Its number is its partition, so the
@@ -437,7 +449,9 @@ def top_documents(
                 if part != now:
                     now, index, waiting = part, None, []
                 if own.is_valid and index is None:
+                    give_back()
                     index = Shard(Lists.of([own[c].as_py() for c in Lists._fields]), mean_length, k1, b)
+                    give_back()
                 if asked.is_valid:
                     waiting.append(asked)
                 while index is not None and waiting:

@@ -27,6 +27,7 @@ def test_shards_one_after_the_other_find_the_best_of_all(monkeypatch):
     """Queries run side by side over shard after shard; only documents that may be among the best so far are scored in double precision."""
     monkeypatch.setattr(search, "TOGETHER", 16)
     monkeypatch.setattr(search, "TERMS", 100)
+    monkeypatch.setattr(search, "PIECE", 50)
     rng = random.Random(6)
     texts = texts_of(rng, 1000)
     parts = [(i, texts[i : i + 200]) for i in range(0, len(texts), 200)]
